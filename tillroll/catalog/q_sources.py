@@ -1 +1,93 @@
-"""Registered queries: sources and sinks (S)."""
+"""Registered queries: sources and sinks (S). File round trips write to a fresh folder under
+the session's reliable checkpoint directory (shared storage on a cluster)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from tillroll.catalog import register
+from tillroll.catalog.bases import sql, tx
+from tillroll.operators import clean as C
+from tillroll.operators import insights as I
+from tillroll.plans.metrics import long_metrics
+from tillroll.session import ensure_checkpoint_dir
+from tillroll.sources import files as S
+from tillroll.sources import sinks as K
+from tillroll.sources.fixtures import dirty
+from tillroll.sources.tables import table
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/tillroll-scratch/{name}-{uuid.uuid4().hex}"
+
+
+register("load_metadata", lambda s, d: (lambda t: t.agg(
+    F.count(F.lit(1)).alias("rows_loaded"), F.lit(len(t.columns)).cast("bigint").alias("columns_loaded"),
+    F.date_format(F.min("InvoiceDate"), "yyyy-MM-dd").alias("date_min"),
+    F.date_format(F.max("InvoiceDate"), "yyyy-MM-dd").alias("date_max"),
+    F.coalesce(F.timestamp_diff("DAY", F.min("InvoiceDate"), F.max("InvoiceDate")), F.lit(0)).cast("bigint").alias("days")))(
+    C.prepare(dirty(s, d))),
+    sql("prepared", """
+SELECT count(*) AS rows_loaded, CAST(8 AS BIGINT) AS columns_loaded, strftime(min(InvoiceDate), '%Y-%m-%d') AS date_min,
+  strftime(max(InvoiceDate), '%Y-%m-%d') AS date_max, coalesce(datesub('day', min(InvoiceDate), max(InvoiceDate)), 0) AS days
+FROM prepared"""))
+
+register("date_range", lambda s, d: tx(s, d).agg(
+    F.date_format(F.min("InvoiceDate"), "yyyy-MM-dd").alias("min"),
+    F.date_format(F.max("InvoiceDate"), "yyyy-MM-dd").alias("max"),
+    F.coalesce(F.timestamp_diff("DAY", F.min("InvoiceDate"), F.max("InvoiceDate")), F.lit(0)).cast("bigint").alias("days")),
+    sql("tx", """
+SELECT strftime(min(InvoiceDate), '%Y-%m-%d') AS min, strftime(max(InvoiceDate), '%Y-%m-%d') AS max,
+  coalesce(datesub('day', min(InvoiceDate), max(InvoiceDate)), 0) AS days FROM tx"""))
+
+register("src_dispatch", lambda s, d: S.load_file(s, f"{d.rstrip('/')}/orders.parquet"), sql("none", "SELECT * FROM orders"))
+
+
+def _csv(s, d):
+    path = scratch(s, "dirty-csv")
+    dirty(s, d).write.option("header", True).csv(path)
+    return C.clean(S.read_csv(s, path))
+
+
+register("src_csv", _csv)
+
+
+def _encodings(s, d):
+    path = scratch(s, "conv-csv")
+    conv = table(s, d, "conversations", "conv_id", "turn", "role", "text")
+    schema = "conv_id string, turn string, role string, text string"
+    conv.where(F.col("turn") % 2 == 0).write.option("header", True).option("encoding", "UTF-8").csv(f"{path}/utf8")
+    conv.where(F.col("turn") % 2 == 1).write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/latin1")
+    return S.read_csv_auto(s, path, schema=schema, multiline=True)
+
+
+register("src_csv_encoding", _encodings)
+
+
+def _csv_or_sample(s, d):
+    path = scratch(s, "upload")
+    dirty(s, d).write.option("header", True).csv(f"{path}/sales.csv")
+    return S.load_or_sample(s, f"{path}/sales.csv")
+
+
+register("src_csv_or_sample", _csv_or_sample)
+register("sink_metrics_json", lambda s, d: K.metrics_documents(long_metrics(tx(s, d))))
+register("sink_insights_json", lambda s, d: K.insights_documents(
+    I.key_insights(I.insight_metrics(tx(s, d), ["Country"]), ["Country"]), ["Country"]))
+
+
+def _history(s, d):
+    root = scratch(s, "history")
+    t = tx(s, d)
+    runs = t.groupBy(F.col("Country").alias("dataset_id")).agg(
+        F.count(F.lit(1)).alias("cleaned_rows"), F.lit("sales.csv").alias("filename"))
+    K.append_history(runs, root, "datasets")
+    K.append_history(runs, root, "datasets")
+    return K.read_history(s, root, "datasets")
+
+
+register("sink_history", _history)

@@ -119,9 +119,6 @@ def box_stats(df: DataFrame, column: str, low: float | None = None, high: float
         cond = cond & ((v <= high) if high_inclusive else (v < high))
     d = df.where(cond & v.isNotNull()).select(*by, v.alias("_x"))
     q = percentiles(d, "_x", [0.25, 0.5, 0.75], by)
-    if not by:
-        # A global aggregate always yields one row, also over an empty range.
-        q = d.agg(F.count(F.lit(1)).alias("_n0")).crossJoin(q).drop("_n0")
     x = attach(d, q, by)
     iqr = F.col("p75") - F.col("p25")
     lo_f, hi_f = F.col("p25") - 1.5 * iqr, F.col("p75") + 1.5 * iqr
@@ -129,7 +126,8 @@ def box_stats(df: DataFrame, column: str, low: float | None = None, high: float
                            F.min(F.when(F.col("_x") >= lo_f, F.col("_x"))).alias("wl"),
                            F.max(F.when(F.col("_x") <= hi_f, F.col("_x"))).alias("wh"),
                            F.count_if((F.col("_x") < lo_f) | (F.col("_x") > hi_f)).alias("out"))
-    j = (q.join(a, on=list(by), how="left") if by else q.crossJoin(a)) if by else q.crossJoin(a)
+    # Without keys both sides are global aggregates: one row each, also over an empty range.
+    j = q.join(a, on=list(by), how="left") if by else q.crossJoin(a)
     return j.select(*by, F.lit(column).alias("column"), F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
                     ratio("p25").alias("q1"), ratio("p50").alias("median"), ratio("p75").alias("q3"),
                     ratio(F.col("p75") - F.col("p25")).alias("iqr"), ratio("wl").alias("whisker_low"),

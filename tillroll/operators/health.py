@@ -15,8 +15,11 @@ from tillroll.operators.windows import monthly_growth
 
 
 def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    # Without keys both sides are one-row aggregates.
-    return left.crossJoin(right) if not by else left.join(right, on=list(by), how="left")
+    """Left join on the keys; without keys the right side is an aggregate of at most one
+    row (possibly none, e.g. no growth with a single month), broadcast by construction."""
+    if by:
+        return left.join(right, on=list(by), how="left")
+    return left.join(F.broadcast(right), on=F.lit(True), how="left")
 
 
 def metrics_row(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

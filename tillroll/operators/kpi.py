@@ -67,7 +67,7 @@ def summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         ratio(F.coalesce(safe_div(F.col("_items"), tx), F.lit(0.0))).alias("avg_items_per_transaction"),
         F.date_format("_start", "yyyy-MM-dd").alias("date_start"),
         F.date_format("_end", "yyyy-MM-dd").alias("date_end"),
-        F.coalesce(F.timestampdiff("DAY", F.col("_start"), F.col("_end")), F.lit(0)).cast("bigint").alias("days"))
+        F.coalesce(F.timestamp_diff("DAY", F.col("_start"), F.col("_end")), F.lit(0)).cast("bigint").alias("days"))
 
 
 # ----------------------------------------------------------------------- K2-K5 revenue
@@ -181,27 +181,30 @@ def rfm(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     per = customer_spend_raw(df, by)
     x = attach(per, ref, by)
     return x.select(*by, "CustomerID",
-                    F.timestampdiff("DAY", F.col("_last"), F.col("_ref")).cast("bigint").alias("recency"),
+                    F.timestamp_diff("DAY", F.col("_last"), F.col("_ref")).cast("bigint").alias("recency"),
                     F.col("_tx").cast("bigint").alias("frequency"), money("_spent").alias("monetary"))
 
 
 def rfm_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean recency, frequency and monetary value."""
-    r = rfm(df, by)
-    return r.groupBy(*by).agg(ratio(_mean("recency")).alias("avg_recency"),
-                              ratio(_mean("frequency")).alias("avg_frequency"),
-                              ratio(safe_div(F.sum("monetary"), F.count("monetary"))).alias("avg_monetary"))
+    known = known_customers(df)
+    ref = known.groupBy(*by).agg(F.max("InvoiceDate").alias("_ref"))
+    x = attach(customer_spend_raw(df, by), ref, by).withColumn(
+        "recency", F.timestamp_diff("DAY", F.col("_last"), F.col("_ref")))
+    return x.groupBy(*by).agg(ratio(_mean("recency")).alias("avg_recency"),
+                              ratio(_mean("_tx")).alias("avg_frequency"),
+                              ratio(_mean("_spent")).alias("avg_monetary"))
 
 
 def customer_overview(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Customers, repeat (>1 invoice), one-time (=1), mean / median value, one-time %."""
-    spend = customer_spend(df, by)
+    spend = customer_spend_raw(df, by).withColumn("total_spent", money("_spent"))
     med = percentiles(spend, "total_spent", [0.5], by, names=["_median"])
     a = spend.groupBy(*by).agg(
         F.count(F.lit(1)).alias("customer_count"),
-        F.count_if(F.col("transaction_count") > 1).alias("active_customers"),
-        F.count_if(F.col("transaction_count") == 1).alias("one_time_customers"),
-        safe_div(F.sum("total_spent"), F.count("total_spent")).alias("_mean"))
+        F.count_if(F.col("_tx") > 1).alias("active_customers"),
+        F.count_if(F.col("_tx") == 1).alias("one_time_customers"),
+        _mean("_spent").alias("_mean"))
     j = a.crossJoin(med) if not by else a.join(med, on=list(by))
     return j.select(*by, F.col("customer_count").cast("bigint").alias("customer_count"),
                     F.col("active_customers").cast("bigint").alias("active_customers"),
@@ -304,10 +307,10 @@ def country_performance(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def geo_overview(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Countries covered and revenue share outside the top country (0 with one country)."""
-    c = country_performance(df, by)
-    a = c.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("total_revenue").alias("_top"),
-                           F.sum("total_revenue").alias("_total"))
-    share = F.when(F.col("_n") > 1, (1 - safe_div(F.col("_top"), F.col("_total"))) * 100).otherwise(F.lit(0.0))
+    c = (_nonnull(df, ["Country"]).groupBy(*by, "Country").agg(F.sum("Revenue").alias("_rev")))
+    a = c.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("_rev").alias("_top"),
+                           F.sum("_rev").alias("_total"))
+    share = F.when(F.col("_n") > 1, (1 - safe_div(_dbl("_top"), _dbl("_total"))) * 100).otherwise(F.lit(0.0))
     return a.select(*by, F.col("_n").cast("bigint").alias("countries_covered"),
                     ratio(share).alias("international_percentage"))
 

@@ -13,13 +13,16 @@ from tillroll.schema import RAW_TEXT_SCHEMA, SUPPORTED_EXTENSIONS
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8",
-             schema=RAW_TEXT_SCHEMA) -> DataFrame:
+             schema=RAW_TEXT_SCHEMA, multiline: bool = False) -> DataFrame:
     """CSV with header, every column read as text (``clean`` types it; dates day-first).
 
-    A fixed schema avoids an inference pass over the data.
+    A fixed schema avoids an inference pass over the data. ``multiline`` allows quoted
+    line breaks inside fields; it makes each file one task (not splittable), so it is off
+    for transaction files, which have no such fields.
     """
     return (spark.read.schema(schema).option("header", True).option("encoding", encoding)
-            .option("mode", "PERMISSIVE").csv(paths if isinstance(paths, str) else list(paths)))
+            .option("multiLine", multiline).option("mode", "PERMISSIVE")
+            .csv(paths if isinstance(paths, str) else list(paths)))
 
 
 def file_encodings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
@@ -33,7 +36,8 @@ def file_encodings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataF
             .agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")))
 
 
-def read_csv_auto(spark: SparkSession, path: str, glob: str = "*.csv", schema=RAW_TEXT_SCHEMA) -> DataFrame:
+def read_csv_auto(spark: SparkSession, path: str, glob: str = "*.csv", schema=RAW_TEXT_SCHEMA,
+                  multiline: bool = False) -> DataFrame:
     """UTF-8 files read as UTF-8, the others as latin-1, then unioned by name.
 
     Spark's CSV reader replaces bad bytes instead of failing, so the choice is made from
@@ -45,9 +49,9 @@ def read_csv_auto(spark: SparkSession, path: str, glob: str = "*.csv", schema=RA
     latin = [r.file for r in verdict if not r.utf8]
     parts = []
     if utf8:
-        parts.append(read_csv(spark, utf8, "UTF-8", schema))
+        parts.append(read_csv(spark, utf8, "UTF-8", schema, multiline))
     if latin:
-        parts.append(read_csv(spark, latin, "ISO-8859-1", schema))
+        parts.append(read_csv(spark, latin, "ISO-8859-1", schema, multiline))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
