@@ -1,4 +1,18 @@
-"""Exact percentiles per group (linear interpolation between closest ranks)."""
+"""Exact percentiles per group (linear interpolation between closest ranks, as pandas,
+NumPy and DuckDB's ``quantile_cont`` do).
+
+Two exact strategies:
+
+* ``builtin``: Spark's ``percentile`` with all probabilities in one call. Each task keeps a
+  value -> count map and the final merge holds every distinct value of a group in one task:
+  right for narrow columns (quantities, a few thousand customers' totals).
+* ``distributed``: value counts are aggregated by a shuffle, then ranked with the range-
+  partitioned running count of :mod:`tillroll.plans.prefix`; the two values around each
+  rank are picked by a filtered aggregate. No task ever holds a whole group, so it also
+  works for near-unique columns (row revenue) at any size.
+
+``accuracy`` switches to the approximate sketch (``percentile_approx``) instead.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +21,59 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.plans.prefix import running_total
+
+DEFAULT_METHOD = "distributed"
+
 
 def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                names: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
-    """One row per ``by`` group with one DOUBLE column per probability.
+                names: Sequence[str] | None = None, accuracy: int | None = None,
+                method: str | None = None) -> DataFrame:
+    """One row per ``by`` group with one DOUBLE column per probability."""
+    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
+    method = method or DEFAULT_METHOD
+    v = F.col(col).cast("double")
+    parr = F.array(*[F.lit(float(p)) for p in probs])
+    if accuracy is not None:
+        r = df.groupBy(*by).agg(F.percentile_approx(v, parr, F.lit(accuracy)).alias("_p"))
+    elif method == "distributed":
+        return distributed_percentiles(df, col, probs, by, names)
+    else:
+        r = df.groupBy(*by).agg(F.percentile(v, parr).alias("_p"))
+    return r.select(*by, *[F.col("_p")[i].cast("double").alias(n) for i, n in enumerate(names)])
+
 
-    Exact by default (Spark ``percentile``: partial aggregation of a value->count map, so
-    the cost grows with the distinct values of a group, not with its rows). ``accuracy``
-    switches to the approximate sketch (``percentile_approx``) for very wide columns.
+def distributed_percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
+                            names: Sequence[str] | None = None) -> DataFrame:
+    """Exact percentiles without gathering a group into one task.
+
+    1. ``(by, value) -> count``: a partial aggregate, so repeated values collapse map-side.
+    2. running count over the values in order, per group, spread over range slices.
+    3. for rank position h = (N - 1) p, the values at floor(h) and ceil(h) are the rows
+       whose count interval [before, before + count) contains them; one grouped aggregate
+       picks them for every probability at once.
+    4. lo + (hi - lo) (h - floor(h)).
     """
+    by = list(by)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     v = F.col(col).cast("double")
-    if accuracy is None:
-        aggs = [F.percentile(v, F.lit(p)).alias(n) for p, n in zip(probs, names)]
-    else:
-        aggs = [F.percentile_approx(v, F.lit(p), F.lit(accuracy)).cast("double").alias(n)
-                for p, n in zip(probs, names)]
-    return df.groupBy(*by).agg(*aggs)
+    freq = df.where(v.isNotNull()).groupBy(*by, v.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_total(freq, [F.col("_x").asc()], "_n", by)
+    before = F.col("_running") - F.col("_n")
+    aggs = [F.first("_group_total").alias("_N")]
+    for i, p in enumerate(probs):
+        h = (F.col("_group_total") - 1) * float(p)
+        for tag, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            hit = (before <= pos) & (pos < F.col("_running"))
+            aggs.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{tag}{i}"))
+    a = ranked.groupBy(*by).agg(*aggs)
+    outs = []
+    for i, (p, n) in enumerate(zip(probs, names)):
+        h = (F.col("_N") - 1) * float(p)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        outs.append(F.when(F.floor(h) == F.ceil(h), lo).otherwise(lo + (hi - lo) * (h - F.floor(h))).alias(n))
+    if not by:
+        # A global percentile over no rows is one NULL row, as with the built-in aggregate.
+        one = df.sparkSession.range(1).select()
+        return one.join(a, on=F.lit(True), how="left").select(*outs)
+    return a.select(*by, *outs)
