@@ -2,7 +2,7 @@
 
 Each query is run to completion with the ``noop`` sink (all rows computed, nothing
 collected). ``pipeline`` is the end-to-end run of the studied service: validate + clean the
-faulty table, persist it once, compute every KPI section, health and insights per country.
+faulty table, persist it once, compute every KPI section, health scores and insights.
 """
 
 from __future__ import annotations
@@ -14,13 +14,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark import StorageLevel  # noqa: E402
-
 from tillroll.catalog import queries  # noqa: E402
-from tillroll.operators import insights as I  # noqa: E402
-from tillroll.operators import validate as V  # noqa: E402
-from tillroll.operators.clean import clean  # noqa: E402
-from tillroll.plans.metrics import long_metrics  # noqa: E402
+from tillroll.plans import pipeline as flow  # noqa: E402
 from tillroll.session import local_session  # noqa: E402
 from tillroll.sources.fixtures import dirty  # noqa: E402
 
@@ -35,23 +30,20 @@ def run(df) -> None:
 
 
 def pipeline(spark, sf: str) -> None:
-    raw = dirty(spark, sf)
-    run(V.report(raw))
-    cleaned = clean(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    r = flow.run(dirty(spark, sf))
     try:
-        run(long_metrics(cleaned))
-        m = I.insight_metrics(cleaned, ["Country"]).persist(StorageLevel.MEMORY_AND_DISK)
-        run(I.assemble(m, ["Country"]))
-        run(I.key_insights(m, ["Country"]))
-        m.unpersist()
+        run(r.validation)
+        run(r.metrics)
+        run(r.insights)
+        run(r.key_insights)
     finally:
-        cleaned.unpersist()
+        r.release()
 
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = local_session(cpus, shuffle_partitions=max(8, cpus * 2), app="tillroll-bench")
+    spark = local_session(cpus, shuffle_partitions=cpus, app="tillroll-bench")
     qs = queries()
     # Warm-up: JVM start, code generation of the scan path (not timed).
     run(qs["kpi_summary"](spark, sf))

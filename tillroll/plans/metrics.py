@@ -66,13 +66,13 @@ SOURCES: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {
 }
 
 
-def long_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def long_metrics(df: DataFrame, by: Sequence[str] = (), health: DataFrame | None = None) -> DataFrame:
     """All sections as rows; ``df`` should be persisted by the caller (it is read by
-    every section)."""
+    every section). ``health`` may pass health scores already computed for these rows."""
     by = list(by)
     parts = []
     for section, group, source, key, values, texts in SPEC:
-        src = SOURCES[source](df, by)
+        src = health if (source == "health" and health is not None) else SOURCES[source](df, by)
         k = F.col(key).cast("string") if key else F.lit("")
         items = [F.struct(F.lit(section).alias("section"), F.lit(f"{group}.{m}" if group else m).alias("metric"),
                           k.alias("key"), F.col(m).cast("double").alias("value"),

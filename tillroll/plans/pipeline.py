@@ -1,0 +1,76 @@
+"""The studied service's upload flow as one Spark run: validate -> clean -> KPIs -> health
+-> insights -> history, for one dataset or for many at once (``by``).
+
+The raw input and the cleaned table are persisted (MEMORY_AND_DISK: recomputed from
+lineage if an executor is lost) because every section reads them; everything else stays
+lazy until the sinks run.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from typing import Sequence
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tillroll.operators import insights as I
+from tillroll.operators import validate as V
+from tillroll.operators.clean import clean
+from tillroll.plans.metrics import long_metrics
+from tillroll.plans.report import clean_report
+from tillroll.sources import sinks
+
+
+@dataclass
+class Run:
+    validation: DataFrame
+    cleaned: DataFrame
+    cleaning_report: DataFrame
+    metrics: DataFrame
+    insight_metrics: DataFrame
+    insights: DataFrame
+    key_insights: DataFrame
+    persisted: list
+
+    def release(self) -> None:
+        for df in self.persisted:
+            df.unpersist()
+
+
+def run(raw: DataFrame, by: Sequence[str] = (), report: bool = False) -> Run:
+    """Build every result of one upload run (the cleaned table and the per-business metrics
+    row are computed here; the rest runs when a result is used).
+
+    ``by`` names dataset / business key columns of ``raw``: every step (mode fill,
+    thresholds, KPIs, insights) is then computed per key, for all keys in the same jobs.
+    """
+    by = list(by)
+    raw_p = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    cleaned = clean(raw_p, by).persist(StorageLevel.MEMORY_AND_DISK)
+    # Materialise the cleaned table before planning what reads it: the distributed
+    # percentiles checkpoint their ranked slices while their plans are built, and would
+    # otherwise each recompute the cleaning.
+    cleaned.count()
+    m = I.insight_metrics(cleaned, by).persist(StorageLevel.MEMORY_AND_DISK)
+    m.count()
+    health = m.select(*by, "revenue_health", "customer_health", "product_health", "overall_health")
+    return Run(validation=V.report(raw_p),
+               cleaned=cleaned,
+               cleaning_report=clean_report(raw_p) if report else raw_p.sparkSession.createDataFrame([], "step string"),
+               metrics=long_metrics(cleaned, by, health=health),
+               insight_metrics=m,
+               insights=I.assemble(m, by),
+               key_insights=I.key_insights(m, by),
+               persisted=[m, cleaned, raw_p])
+
+
+def store(r: Run, root: str, dataset_id: str | None = None, by: Sequence[str] = ()) -> None:
+    """Append the run's records to the history tables under ``root``."""
+    key = list(by)
+    ds = F.lit(dataset_id) if dataset_id else F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+    runs = r.cleaned.groupBy(*key).agg(F.count(F.lit(1)).alias("cleaned_rows")).withColumn("dataset_id", ds)
+    sinks.append_history(runs.drop(*key), root, "datasets")
+    sinks.append_history(r.metrics.withColumn("dataset_id", ds).drop(*key), root, "dataset_metrics")
+    sinks.append_history(r.insights.withColumn("dataset_id", ds).drop(*key), root, "insights")

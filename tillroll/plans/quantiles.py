@@ -6,10 +6,11 @@ Two exact strategies:
 * ``builtin``: Spark's ``percentile`` with all probabilities in one call. Each task keeps a
   value -> count map and the final merge holds every distinct value of a group in one task:
   right for narrow columns (quantities, a few thousand customers' totals).
-* ``distributed``: value counts are aggregated by a shuffle, then ranked with the range-
-  partitioned running count of :mod:`tillroll.plans.prefix`; the two values around each
-  rank are picked by a filtered aggregate. No task ever holds a whole group, so it also
-  works for near-unique columns (row revenue) at any size.
+* ``distributed``: value counts are aggregated by a shuffle, cut into value slices at
+  approximate quantile boundaries and ranked with per-slice running counts plus slice
+  offsets; the two values around each rank are picked by a filtered aggregate. No task
+  ever holds a whole group, so it also works for near-unique columns (row revenue) at
+  any size.
 
 ``accuracy`` switches to the approximate sketch (``percentile_approx``) instead.
 """
@@ -18,10 +19,9 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.plans.prefix import running_total
 
 DEFAULT_METHOD = "distributed"
 
@@ -43,37 +43,61 @@ def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[st
     return r.select(*by, *[F.col("_p")[i].cast("double").alias(n) for i, n in enumerate(names)])
 
 
+def slice_bounds(values: DataFrame, col: str, slices: int) -> list[float]:
+    """``slices - 1`` approximate quantile boundaries of ``col`` (one small aggregate; the
+    boundary list, at most ``slices`` numbers, is the only thing read on the driver)."""
+    if slices <= 1:
+        return []
+    probs = [i / slices for i in range(1, slices)]
+    row = values.agg(F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), F.lit(10000))).first()
+    return sorted(set(float(b) for b in (row[0] or []) if b is not None))
+
+
 def distributed_percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                            names: Sequence[str] | None = None) -> DataFrame:
+                            names: Sequence[str] | None = None, slices: int | None = None) -> DataFrame:
     """Exact percentiles without gathering a group into one task.
 
-    1. ``(by, value) -> count``: a partial aggregate, so repeated values collapse map-side.
-    2. running count over the values in order, per group, spread over range slices.
-    3. for rank position h = (N - 1) p, the values at floor(h) and ceil(h) are the rows
-       whose count interval [before, before + count) contains them; one grouped aggregate
-       picks them for every probability at once.
-    4. lo + (hi - lo) (h - floor(h)).
+    1. ``(by, value) -> count``: a partial aggregate, so repeated values collapse map-side
+       and every distinct value is one row (a hot value is one row, not a third of them).
+    2. The values are cut into slices at approximate quantile boundaries; the slice of a
+       value is a pure function of it, so the slices need no checkpoint to stay stable.
+    3. Per (group, slice) totals give each slice its offset (a window over the small slice
+       table); inside a slice the running count is a window partitioned by (group, slice).
+    4. For rank position h = (N - 1) p the values at floor(h) and ceil(h) are the rows
+       whose count interval [before, before + count) contains them, picked for all
+       probabilities by one grouped aggregate; result lo + (hi - lo) (h - floor(h)).
     """
     by = list(by)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
+    spark = df.sparkSession
     v = F.col(col).cast("double")
     freq = df.where(v.isNotNull()).groupBy(*by, v.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(freq, [F.col("_x").asc()], "_n", by)
-    before = F.col("_running") - F.col("_n")
-    aggs = [F.first("_group_total").alias("_N")]
+    bounds = slice_bounds(freq, "_x", slices or spark.sparkContext.defaultParallelism * 4)
+    barr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    sliced = freq.withColumn("_s", F.size(F.filter(barr, lambda b: b < F.col("_x"))))
+    totals = sliced.groupBy(*by, "_s").agg(F.sum("_n").alias("_t"))
+    before_w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_s", F.coalesce(F.sum("_t").over(before_w), F.lit(0)).alias("_off"),
+                            F.sum("_t").over(Window.partitionBy(*by)).alias("_grand"))
+    # One row per (group, slice): bounded by the slice count when there is no ``by``.
+    off = F.broadcast(offsets) if not by else offsets
+    inside = Window.partitionBy(*by, "_s").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sliced.withColumn("_run", F.sum("_n").over(inside)).join(off, on=[*by, "_s"])
+    running = F.col("_off") + F.col("_run")
+    before = running - F.col("_n")
+    aggs = [F.first("_grand").alias("_grand")]
     for i, p in enumerate(probs):
-        h = (F.col("_group_total") - 1) * float(p)
+        h = (F.col("_grand") - 1) * float(p)
         for tag, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (before <= pos) & (pos < F.col("_running"))
+            hit = (before <= pos) & (pos < running)
             aggs.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{tag}{i}"))
     a = ranked.groupBy(*by).agg(*aggs)
     outs = []
     for i, (p, n) in enumerate(zip(probs, names)):
-        h = (F.col("_N") - 1) * float(p)
+        h = (F.col("_grand") - 1) * float(p)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         outs.append(F.when(F.floor(h) == F.ceil(h), lo).otherwise(lo + (hi - lo) * (h - F.floor(h))).alias(n))
     if not by:
         # A global percentile over no rows is one NULL row, as with the built-in aggregate.
-        one = df.sparkSession.range(1).select()
-        return one.join(a, on=F.lit(True), how="left").select(*outs)
+        return spark.range(1).select().join(a, on=F.lit(True), how="left").select(*outs)
     return a.select(*by, *outs)
