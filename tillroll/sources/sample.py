@@ -7,6 +7,8 @@ and price are drawn independently of each other.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,9 +44,9 @@ def sample_transactions(spark: SparkSession, n_rows: int = 10000, num_partitions
     prices = F.array(*[F.lit(p[2]) for p in PRODUCTS])
     k = len(PRODUCTS)
     start = F.lit(START).cast(T.TimestampNTZType())
-    span_us = F.unix_micros(F.lit(END).cast("timestamp")) - F.unix_micros(F.lit(START).cast("timestamp"))
-    step = F.when(F.lit(n_rows) > 1, span_us / (n_rows - 1)).otherwise(F.lit(0))
-    ts = F.timestamp_add("MICROSECOND", (i * step).cast("bigint"), start)
+    span_us = int((datetime.fromisoformat(END) - datetime.fromisoformat(START)).total_seconds() * 1_000_000)
+    step = span_us / (n_rows - 1) if n_rows > 1 else 0.0
+    ts = F.timestamp_add("MICROSECOND", (i * F.lit(step)).cast("bigint"), start)
     qty = (1 + (i * 13) % 19).cast("double")
     base = spark.range(0, n_rows, 1, num_partitions)
     return base.select(
