@@ -169,7 +169,8 @@ register("clean_pipeline", lambda s, d: output(cleaned(s, d)), sql("cleaned", f"
 
 # C18
 register("clean_sanitize",
-         lambda s, d: C.sanitize(table(s, d, "conversations", "conv_id", "turn", "role", "text"), ["text"]),
+         lambda s, d: C.sanitize(table(s, d, "conversations", "conv_id", "turn", "role", "text", spread_out=True),
+                                 ["text"]),
          sql("none", f"""
 SELECT conv_id, turn, role,
   regexp_replace({STRIP_SQL.format(x="regexp_replace(coalesce(text, ''), '[\\x00-\\x1f\\x7f]', '', 'g')")}, '\\s+', ' ', 'g') AS text
@@ -266,7 +267,8 @@ UNION ALL SELECT 'error', 'negative_price', p_neg, printf('Found %d rows with ne
 
 EMAIL_SQL = r"'^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$'"
 
-register("dq_email", lambda s, d: V.email_candidates(table(s, d, "documents", "lang", "text"), "text", ["lang"]),
+register("dq_email", lambda s, d: V.email_candidates(table(s, d, "documents", "lang", "text", spread_out=True),
+                                                    "text", ["lang"]),
          sql("none", f"""
 SELECT lang, count(*) AS candidates, count(*) FILTER (WHERE regexp_matches(t, {EMAIL_SQL})) AS valid,
   count(*) FILTER (WHERE NOT regexp_matches(t, {EMAIL_SQL})) AS invalid

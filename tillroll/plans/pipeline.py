@@ -66,11 +66,26 @@ def run(raw: DataFrame, by: Sequence[str] = (), report: bool = False) -> Run:
                persisted=[m, cleaned, raw_p])
 
 
-def store(r: Run, root: str, dataset_id: str | None = None, by: Sequence[str] = ()) -> None:
-    """Append the run's records to the history tables under ``root``."""
+def store(r: Run, root: str, dataset_id: str | None = None, by: Sequence[str] = (),
+          batch: int | None = None) -> None:
+    """Write the run's records to the history tables under ``root``.
+
+    Records are keyed by ``dataset_id`` (given, or the ``by`` key values joined by '/').
+    With ``batch`` (a stream's epoch) each table is partitioned by it and the partition is
+    overwritten, so a batch replayed after a failure replaces its records instead of adding
+    them twice.
+    """
     key = list(by)
-    ds = F.lit(dataset_id) if dataset_id else F.concat_ws("/", *[F.col(k).cast("string") for k in key])
-    runs = r.cleaned.groupBy(*key).agg(F.count(F.lit(1)).alias("cleaned_rows")).withColumn("dataset_id", ds)
-    sinks.append_history(runs.drop(*key), root, "datasets")
-    sinks.append_history(r.metrics.withColumn("dataset_id", ds).drop(*key), root, "dataset_metrics")
-    sinks.append_history(r.insights.withColumn("dataset_id", ds).drop(*key), root, "insights")
+    ds = F.lit(dataset_id) if dataset_id or not key else F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+
+    def keyed(df: DataFrame) -> DataFrame:
+        out = df.withColumn("_ds", ds).drop(*key).withColumnRenamed("_ds", "dataset_id")
+        return out.withColumn("batch", F.lit(batch)) if batch is not None else out
+
+    runs = r.cleaned.groupBy(*key).agg(F.count(F.lit(1)).alias("cleaned_rows"))
+    for name, df in (("datasets", keyed(runs)), ("dataset_metrics", keyed(r.metrics)), ("insights", keyed(r.insights))):
+        if batch is None:
+            sinks.append_history(df, root, name)
+        else:
+            (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch", "dataset_id").parquet(f"{root.rstrip('/')}/{name}"))

@@ -6,6 +6,9 @@ Two exact strategies:
 * ``builtin``: Spark's ``percentile`` with all probabilities in one call. Each task keeps a
   value -> count map and the final merge holds every distinct value of a group in one task:
   right for narrow columns (quantities, a few thousand customers' totals).
+* ``auto`` (default): the frequency table ``(group, value) -> count`` is built first and
+  its row count checked (one small job); up to ``GATHER_MAX_DISTINCT`` rows the weighted
+  built-in aggregate runs on it, above that the ``distributed`` plan.
 * ``distributed``: value counts are aggregated by a shuffle, cut into value slices at
   approximate quantile boundaries and ranked with per-slice running counts plus slice
   offsets; the two values around each rank are picked by a filtered aggregate. No task
@@ -23,7 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-DEFAULT_METHOD = "distributed"
+DEFAULT_METHOD = "auto"
+# Largest (group, value) table that one task may hold while merging a percentile; above
+# it the value-slice plan is used. ~1M entries is tens of MB of hash map.
+GATHER_MAX_DISTINCT = 1_000_000
 
 
 def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -36,8 +42,9 @@ def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[st
     parr = F.array(*[F.lit(float(p)) for p in probs])
     if accuracy is not None:
         r = df.groupBy(*by).agg(F.percentile_approx(v, parr, F.lit(accuracy)).alias("_p"))
-    elif method == "distributed":
-        return distributed_percentiles(df, col, probs, by, names)
+    elif method in ("distributed", "auto"):
+        return distributed_percentiles(df, col, probs, by, names,
+                                       gather_max=GATHER_MAX_DISTINCT if method == "auto" else 0)
     else:
         r = df.groupBy(*by).agg(F.percentile(v, parr).alias("_p"))
     return r.select(*by, *[F.col("_p")[i].cast("double").alias(n) for i, n in enumerate(names)])
@@ -54,7 +61,8 @@ def slice_bounds(values: DataFrame, col: str, slices: int) -> list[float]:
 
 
 def distributed_percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                            names: Sequence[str] | None = None, slices: int | None = None) -> DataFrame:
+                            names: Sequence[str] | None = None, slices: int | None = None,
+                            gather_max: int = 0) -> DataFrame:
     """Exact percentiles without gathering a group into one task.
 
     1. ``(by, value) -> count``: a partial aggregate, so repeated values collapse map-side
@@ -72,6 +80,12 @@ def distributed_percentiles(df: DataFrame, col: str, probs: Sequence[float], by:
     spark = df.sparkSession
     v = F.col(col).cast("double")
     freq = df.where(v.isNotNull()).groupBy(*by, v.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    if gather_max > 0 and freq.count() <= gather_max:
+        # Checked size: every group's value -> count map fits one task, so the weighted
+        # built-in aggregate over the (already reduced) frequency table is exact and cheap.
+        parr = F.array(*[F.lit(float(p)) for p in probs])
+        r = freq.groupBy(*by).agg(F.percentile(F.col("_x"), parr, F.col("_n")).alias("_p"))
+        return r.select(*by, *[F.col("_p")[i].cast("double").alias(n) for i, n in enumerate(names)])
     bounds = slice_bounds(freq, "_x", slices or spark.sparkContext.defaultParallelism * 4)
     barr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
     sliced = freq.withColumn("_s", F.size(F.filter(barr, lambda b: b < F.col("_x"))))

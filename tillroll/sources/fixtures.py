@@ -20,12 +20,16 @@ def _joined(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ part (all inner, all on keys).
 
     The dimension side is assembled first (customer ⋈ nation), so the big fact join is a
-    single equi-join on the order key; AQE turns a join into a broadcast only when the
-    runtime size of a side is under ``spark.sql.autoBroadcastJoinThreshold``. ``nation``
-    (25 rows by the TPC-H specification) and ``region`` (5) are bounded and broadcast.
+    single sort-merge equi-join on the order key; for the other joins AQE picks a
+    broadcast only when the runtime size of a side is under the broadcast threshold.
+    ``nation`` (25 rows by the TPC-H specification) and ``region`` (5) are bounded and
+    broadcast.
     """
+    # lineitem x orders is a large-by-large join on the order key: sort-merge it (both
+    # sides shuffled on the key). Without the hint AQE may broadcast a small test
+    # lineitem and stream everything from a one-task dimension scan.
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity",
-               "l_extendedprice", "l_returnflag")
+               "l_extendedprice", "l_returnflag").hint("merge")
     od = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     cu_cols = ["c_custkey", "c_nationkey"] + (["c_mktsegment"] if keyed else [])
     cu = table(spark, sf_dir, "customer", *cu_cols)
