@@ -6,9 +6,10 @@ Two exact strategies:
 * ``builtin``: Spark's ``percentile`` with all probabilities in one call. Each task keeps a
   value -> count map and the final merge holds every distinct value of a group in one task:
   right for narrow columns (quantities, a few thousand customers' totals).
-* ``auto`` (default): the frequency table ``(group, value) -> count`` is built first and
-  its row count checked (one small job); up to ``GATHER_MAX_DISTINCT`` rows the weighted
-  built-in aggregate runs on it, above that the ``distributed`` plan.
+* ``auto`` (default): the frequency table ``(group, value) -> count`` is built first; if
+  the plan's row estimate of the input, or else the counted table (one small job), is at
+  most ``GATHER_MAX_DISTINCT`` rows, the weighted built-in aggregate runs on it; above that
+  the ``distributed`` plan.
 * ``distributed``: value counts are aggregated by a shuffle, cut into value slices at
   approximate quantile boundaries and ranked with per-slice running counts plus slice
   offsets; the two values around each rank are picked by a filtered aggregate. No task
@@ -32,6 +33,15 @@ DEFAULT_METHOD = "auto"
 GATHER_MAX_DISTINCT = 1_000_000
 
 
+def estimated_rows(df: DataFrame) -> int:
+    """Upper estimate of the row count from the plan alone (no job runs): Catalyst's size
+    estimate (exact for caches and scans, an upper bound above aggregates and filters)
+    divided by the row width of the schema."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    width = max(1, int(df._jdf.schema().defaultSize()))
+    return size // width
+
+
 def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
                 names: Sequence[str] | None = None, accuracy: int | None = None,
                 method: str | None = None) -> DataFrame:
@@ -80,7 +90,7 @@ def distributed_percentiles(df: DataFrame, col: str, probs: Sequence[float], by:
     spark = df.sparkSession
     v = F.col(col).cast("double")
     freq = df.where(v.isNotNull()).groupBy(*by, v.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    if gather_max > 0 and freq.count() <= gather_max:
+    if gather_max > 0 and (estimated_rows(df) <= gather_max or freq.count() <= gather_max):
         # Checked size: every group's value -> count map fits one task, so the weighted
         # built-in aggregate over the (already reduced) frequency table is exact and cheap.
         parr = F.array(*[F.lit(float(p)) for p in probs])
