@@ -32,10 +32,8 @@ def run(df) -> None:
 def pipeline(spark, sf: str) -> None:
     r = flow.run(dirty(spark, sf))
     try:
-        run(r.validation)
-        run(r.metrics)
-        run(r.insights)
-        run(r.key_insights)
+        flow.execute([lambda: run(r.validation), lambda: run(r.metrics), lambda: run(r.insights),
+                      lambda: run(r.key_insights)])
     finally:
         r.release()
 

@@ -8,8 +8,9 @@ lazy until the sinks run.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -89,3 +90,14 @@ def store(r: Run, root: str, dataset_id: str | None = None, by: Sequence[str] =
         else:
             (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch", "dataset_id").parquet(f"{root.rstrip('/')}/{name}"))
+
+
+def execute(actions: Sequence[Callable[[], None]], threads: int = 4) -> None:
+    """Run independent sinks as concurrent Spark jobs (one driver thread each).
+
+    Their plans share the persisted inputs; running them together keeps the executors busy
+    while each job waits on its small stages. Errors are re-raised.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        for f in [pool.submit(a) for a in actions]:
+            f.result()

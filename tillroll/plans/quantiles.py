@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_METHOD = "auto"
 # Largest (group, value) table that one task may hold while merging a percentile; above
-# it the value-slice plan is used. ~1M entries is tens of MB of hash map.
-GATHER_MAX_DISTINCT = 1_000_000
+# it the value-slice plan is used. 2M entries is on the order of 100 MB of hash map.
+GATHER_MAX_DISTINCT = 2_000_000
 
 
 def estimated_rows(df: DataFrame) -> int:
