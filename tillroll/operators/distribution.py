@@ -49,24 +49,30 @@ def profile_unique(df: DataFrame, by: Sequence[str] = (), approx: bool = False)
 def describe_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """D3: count, mean, sample std, min, exact quartiles, max for each column, as rows.
 
-    ``DataFrame.summary`` is avoided: its quartiles are approximate.
+    The plain statistics of all columns come from one aggregate; for the quartiles the
+    columns are unpivoted into (column, value) rows and ranked in one percentile
+    computation grouped by column. ``DataFrame.summary`` is avoided: its quartiles are
+    approximate.
     """
-    parts = []
-    for c in columns:
+    by = list(by)
+    aggs = []
+    for i, c in enumerate(columns):
         v = F.col(c).cast(T.DoubleType())
-        base = df.groupBy(*by).agg(F.count(c).alias("count"),
-                                   (F.sum(F.col(c)).cast(T.DoubleType()) / F.count(c)).alias("_mean"),
-                                   F.stddev_samp(v).alias("_std"), F.min(v).alias("_min"), F.max(v).alias("_max"))
-        q = percentiles(df, c, [0.25, 0.5, 0.75], by)
-        j = base.crossJoin(q) if not by else base.join(q, on=list(by))
-        parts.append(j.select(*by, F.lit(c).alias("column"), F.col("count").cast("bigint").alias("count"),
-                              ratio("_mean").alias("mean"), ratio("_std").alias("std"), ratio("_min").alias("min"),
-                              ratio("p25").alias("p25"), ratio("p50").alias("p50"), ratio("p75").alias("p75"),
-                              ratio("_max").alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        aggs += [F.count(c).cast("bigint").alias(f"n{i}"),
+                 (F.sum(F.col(c)).cast(T.DoubleType()) / F.count(c)).alias(f"m{i}"),
+                 F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    wide = df.groupBy(*by).agg(*aggs)
+    stack = "stack({}, {}) as (column, count, _mean, _std, _min, _max)".format(
+        len(columns), ", ".join(f"'{c}', n{i}, m{i}, s{i}, lo{i}, hi{i}" for i, c in enumerate(columns)))
+    base = wide.selectExpr(*by, stack)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(T.DoubleType()).alias("_v"))
+                                for c in columns]))
+    long = df.select(*by, cells.alias("_e")).select(*by, F.col("_e.column").alias("column"), F.col("_e._v").alias("_v"))
+    q = percentiles(long, "_v", [0.25, 0.5, 0.75], [*by, "column"])
+    j = base.join(q, on=[*by, "column"], how="left")
+    return j.select(*by, "column", "count", ratio("_mean").alias("mean"), ratio("_std").alias("std"),
+                    ratio("_min").alias("min"), ratio("p25").alias("p25"), ratio("p50").alias("p50"),
+                    ratio("p75").alias("p75"), ratio("_max").alias("max"))
 
 
 def trim_p99(df: DataFrame, column: str, by: Sequence[str] = (), lower: float | None = 1,
