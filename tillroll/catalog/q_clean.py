@@ -165,7 +165,7 @@ UNION ALL SELECT 'summary', 'rows_removed_percentage', round((1 - CAST((SELECT c
 """, ctes=derive_sql("valid", "vd")))
 
 # C17
-register("clean_pipeline", lambda s, d: output(cleaned(s, d)), sql("cleaned", f"SELECT {CLEAN_COLS_SQL} FROM cleaned"))
+register("clean_chain", lambda s, d: output(cleaned(s, d)), sql("cleaned", f"SELECT {CLEAN_COLS_SQL} FROM cleaned"))
 
 # C18
 register("clean_sanitize",

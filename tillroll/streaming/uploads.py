@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillroll.plans import pipeline
+from tillroll.plans import upload_run
 from tillroll.schema import RAW_TEXT_SCHEMA
 
 
@@ -29,9 +29,9 @@ def upload_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: in
 def process_batch(history_root: str):
     """foreachBatch handler: the whole upload run for every file of the batch."""
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        run = pipeline.run(batch, by=["dataset_id"])
+        run = upload_run.run(batch, by=["dataset_id"])
         try:
-            pipeline.store(run, history_root, by=["dataset_id"], batch=epoch_id)
+            upload_run.store(run, history_root, by=["dataset_id"], batch=epoch_id)
         finally:
             run.release()
     return handle
