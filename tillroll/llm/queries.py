@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bitpack, chat_format, packing
+from tillroll.llm import bitpack, chat_format, packing, quality_rules
 from tillroll.llm.common import read, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,3 +48,12 @@ def op10_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, model = shared_path(spark, "token-blocks"), tokenizer_file()
     bitpack.write_blocks(documents(spark, sf_dir), path, model, bitpack.vocabulary_size(model))
     return bitpack.read_documents(spark.read.parquet(path))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE["op4_quality_rules"] = quality_rules.ORACLE_SQL
