@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bitpack, chat_format, packing, quality_rules, quality_trees
+from tillroll.llm import bitpack, chat_format, packing, quality_rules, quality_trees, toxicity
 from tillroll.llm.common import read, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,3 +63,9 @@ ORACLE["op4_quality_rules"] = quality_rules.ORACLE_SQL
 def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_trees.score(docs, quality_trees.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels"))).drop("spans")
