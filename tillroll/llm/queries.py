@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bitpack, chat_format, packing, quality_rules, quality_trees, toxicity
+from tillroll.llm import bitpack, chat_format, decontaminate, packing, quality_rules, quality_trees, toxicity
 from tillroll.llm.common import read, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,3 +69,9 @@ def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels"))).drop("spans")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.report(decontaminate.decontaminate(documents(spark, sf_dir), items))

@@ -112,6 +112,7 @@ class Tagger:
     weights: np.ndarray
     trans: np.ndarray
     link: np.ndarray                   # logistic weights: constant, log odds of the largest marginal, log1p expected count
+    bias: float = 0.0                  # added to every emission; -10 in a model without labelled tokens
     seen: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -126,7 +127,7 @@ class Tagger:
                 new = set(words)
             w = self.weights
             known.update((x, float(sum(w[i & (DIMS - 1)] for i in cue_ids(x.lower())))) for x in new)
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.float64, len(words)) + self.bias
 
     def tag(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Text number and marginal of every token."""
@@ -189,6 +190,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Tagger:
     marked = token_cues([np.unique(d) for d in docs], table, toxic)
     model = Tagger(np.zeros(DIMS), np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0]))
     if not marked.any():
+        model.bias = -10.0
         return model
     rng = np.random.default_rng(seed)
     toxic_chains, clean_chains = [], []
