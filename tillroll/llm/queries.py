@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bitpack, chat_format, decontaminate, packing, quality_rules, quality_trees, toxicity
+from tillroll.llm import bitpack, chat_format, decontaminate, html_extract, packing, quality_rules, quality_trees, toxicity
 from tillroll.llm.common import read, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,3 +75,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.report(decontaminate.decontaminate(documents(spark, sf_dir), items))
+
+
+@query
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf_dir, "pages", "page_id", "url", "html"))
