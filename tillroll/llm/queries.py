@@ -6,7 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bitpack, chat_format, decontaminate, html_extract, packing, quality_rules, quality_trees, toxicity
+from tillroll.llm import (bitpack, chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules,
+                          quality_trees, toxicity)
 from tillroll.llm.common import read, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,3 +81,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(documents(spark, sf_dir))
