@@ -4,7 +4,7 @@ the bounded labelled sample that classifiers are fitted on."""
 from __future__ import annotations
 
 import uuid
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +81,15 @@ def labelled_ids(labels: DataFrame, label: str, parts: int, part: int, max_docs:
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id", parts, part))
     return (usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
+
+
+def keep_rows(docs: DataFrame, model, judge: Callable[[object, pa.Array], np.ndarray]) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text passes ``judge(model, texts)``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in text_slices(batches):
+            texts = piece.column(piece.schema.get_field_index("text"))
+            yield piece.filter(pa.array(judge(shared.value, texts)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import (bitpack, chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules,
-                          quality_trees, toxicity)
+                          quality_trees, sharding, toxicity)
 from tillroll.llm.common import read, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -86,3 +86,8 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(documents(spark, sf_dir))
+
+
+@query
+def op8_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
