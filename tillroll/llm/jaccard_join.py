@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import store, text_slices
 
 SHINGLE, PERCENT = 4, 85
-PIVOTS = 8  # pivots that a shell takes in a round
+PIVOTS = 64  # pivots that a shell takes in a round
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -221,31 +221,29 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     # Members of cells where the first pivot has not settled everything, in shells around it.
     rest = shared.join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance"), ["pivot", "node"])
     rest = rest.select("cell", "node", "distance", F.floor(F.col("distance") / delta).alias("shell"))
-    links = [tested.where("linked").select("a", "b")]
+    done = tested.select("a", "b")
     while True:
         member = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = member.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
         member = store(member.join(mixed, "cell"), "open-cells")
+        if member.isEmpty():
+            break
         turn = Window.partitionBy("cell", "shell").orderBy("node")
         pivot = member.withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= PIVOTS).drop("_r")
         p = pivot.select("cell", F.col("node").alias("p"), F.col("distance").alias("pd"), F.col("root").alias("proot"))
         pairs = (member.join(p, "cell").where((F.col("node") != F.col("p")) & (F.col("root") != F.col("proot"))
                                               & (F.abs(F.col("distance") - F.col("pd")) <= delta))
                  .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-                 .join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+                 .join(done, ["a", "b"], "left_anti"))
         pairs = store(pairs, "window-pairs")
         rest = member.join(pivot.select("cell", "node"), ["cell", "node"], "left_anti").drop("root")
-        if pairs.isEmpty():
-            if rest.isEmpty():
-                break
-            continue
-        new = distances(docs, known, pairs, size, percent)
-        tested = tested.unionByName(new)
-        links.append(new.where("linked").select("a", "b"))
-        union = links[0]
-        for more in links[1:]:
-            union = union.unionByName(more)
-        roots = components(union)
+        if not pairs.isEmpty():
+            new = distances(docs, known, pairs, size, percent)
+            done = done.unionByName(new.select("a", "b"))
+            links = new.where("linked").select("a", "b")
+            if not links.isEmpty():
+                # what is known of a component is one star, so the edges stay few
+                roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     grouped = known.where(F.col("doc_id").isNotNull()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     node_class = grouped.select("node", "root").distinct().join(least, "root").select("node", "component_id")
