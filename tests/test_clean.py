@@ -113,3 +113,22 @@ def test_fill_report_counts(spark):
                                  ("I2", "S", "d", "1", "01/01/2023 00:00", None, "C", None)], RAW_TEXT_SCHEMA)
     rep = {r.column: r.filled for r in C.fill_report(raw).collect()}
     assert rep == {"CustomerID": 1, "Description": 1, "Country": 1, "Quantity": 1, "UnitPrice": 1}
+
+
+def test_suspicious_stays_inside_a_group(spark):
+    rows_ = [(g, "i1", ts("2011-01-01 10:00:00")) for g in ("a", "b") for _ in range(2)]
+    df = spark.createDataFrame(rows_, "g string, InvoiceNo string, InvoiceDate timestamp_ntz")
+    assert C.suspicious(df).where("NeedsReview").count() == 4
+    assert C.suspicious(df, ["g"]).where("NeedsReview").count() == 0
+
+
+def test_bad_numbers_end_no_job(spark):
+    df = spark.createDataFrame([(q, "2") for q in ("1e16", "NaN", "-Infinity", "x", None, "3")], "Quantity string, UnitPrice string")
+    got = C.revenue_columns(C.cast_types(df)).collect()
+    assert sorted(float(r.Revenue) for r in got) == [0.0] * 5 + [6.0]
+
+
+def test_single_digit_and_iso_dates(spark):
+    texts = ["1/12/2010 8:26", "2010-12-01T08:26:00", "2010-12-01 08:26:00.5", "01/12/2010 08:26", "invalid"]
+    got = C.cast_types(spark.createDataFrame([(t,) for t in texts], "InvoiceDate string")).collect()
+    assert [r.InvoiceDate and r.InvoiceDate.replace(microsecond=0) for r in got] == [ts("2010-12-01 08:26:00")] * 4 + [None]

@@ -32,7 +32,8 @@ from tillroll.schema import (
 
 # Day-first text formats tried in order when InvoiceDate arrives as text.
 DEFAULT_DATE_FORMATS = ["dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss",
-                        "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd/MM/yyyy"]
+                        "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy H:mm[:ss]", "d/M/yyyy",
+                        "yyyy-MM-dd['T'][ ]HH:mm[:ss][.SSSSSS]"]
 
 DERIVED_COLUMNS = ["TransactionValue", "IsReturn", "SalesRevenue", "ReturnsValue", "NetRevenue",
                    "Revenue", "Year", "Month", "MonthName", "Quarter", "Weekday", "DayOfMonth",
@@ -94,6 +95,9 @@ def fill_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------ C4: types
+QTY_LIMIT = 1e14  # quantities are DECIMAL(18,3) inside products
+
+
 def parse_timestamp(col: Column, formats: Sequence[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats]).cast(T.TimestampNTZType())
 
@@ -106,7 +110,9 @@ def cast_types(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS
         if _has(df, c):
             cols[c] = F.col(c).cast("string")
     if _has(df, "Quantity"):
-        cols["Quantity"] = F.coalesce(F.col("Quantity").try_cast(T.DoubleType()), F.lit(0.0))
+        q = F.col("Quantity").try_cast(T.DoubleType())
+        # NaN, infinities and numbers beyond the exact range are bad numbers like any other text
+        cols["Quantity"] = F.when(F.abs(q) < QTY_LIMIT, q).otherwise(F.lit(0.0))
     if _has(df, "UnitPrice"):
         cols["UnitPrice"] = F.coalesce(F.col("UnitPrice").try_cast(PRICE_TYPE), F.lit(0).cast(PRICE_TYPE))
     if _has(df, "InvoiceDate"):
@@ -262,8 +268,9 @@ def multi_entries(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                                   F.sum("n").cast("bigint").alias("total_multiple_entry_rows"))
 
 
-def suspicious(df: DataFrame) -> DataFrame:
-    """NeedsReview = true where an invoice has more than 3 rows in one minute, else NULL.
+def suspicious(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """NeedsReview = true where an invoice of one ``by`` group has more than 3 rows in one
+    minute, else NULL.
 
     Counted with a partial aggregate on (invoice, minute) and joined back, so a hot invoice
     is pre-aggregated map-side instead of being gathered into one window partition; only
@@ -273,10 +280,11 @@ def suspicious(df: DataFrame) -> DataFrame:
         return df
     minute = F.date_trunc("minute", F.col("InvoiceDate"))
     d = df.withColumn("_minute", minute)
-    flagged = (d.groupBy("InvoiceNo", "_minute").agg(F.count(F.lit(1)).alias("_n"))
+    keys = [*by, "InvoiceNo", "_minute"]
+    flagged = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
                .where(F.col("_n") > SUSPICIOUS_MIN_ROWS)
-               .select("InvoiceNo", "_minute", F.lit(True).alias("NeedsReview")))
-    return d.join(flagged, on=["InvoiceNo", "_minute"], how="left").drop("_minute")
+               .select(*keys, F.lit(True).alias("NeedsReview")))
+    return d.join(flagged, on=keys, how="left").drop("_minute")
 
 
 # ------------------------------------------------------------------ C17: the whole chain
@@ -309,7 +317,7 @@ def clean(df: DataFrame, by: Sequence[str] = (),
         else out.withColumn("DataQualityScore", F.lit(1.0))
     if "QualityFlag" not in out.columns:
         out = out.withColumn("QualityFlag", F.lit(None).cast("string"))
-    return suspicious(out)
+    return suspicious(out, by)
 
 
 def sanitize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
