@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tillroll.plans.prefix import running_total
-from tillroll.plans.quantiles import percentiles
+from tillroll.plans.quantiles import percentiles, percentiles_of
 
 
 def test_running_total_matches_brute_force_with_hot_key(spark):
@@ -27,23 +27,45 @@ def test_running_total_matches_brute_force_with_hot_key(spark):
     assert got == expect
 
 
-def test_distributed_percentiles_equal_numpy(spark):
+def test_percentiles_equal_numpy_bit_for_bit(spark):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.normal(0, 100, 4000).round(2), np.full(3000, 7.5)])  # a hot value
     grp = np.where(np.arange(len(vals)) % 4 == 0, "a", "b")
-    df = spark.createDataFrame([(str(g), float(v)) for g, v in zip(grp, vals)], "g string, v double")
-    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    df = spark.createDataFrame([(str(g), float(v)) for g, v in zip(grp, vals)] + [("a", None)], "g string, v double")
+    probs = [0.0, 1.0, *np.linspace(0.003, 0.997, 60).tolist()]
+    names = [f"q{i}" for i in range(len(probs))]
     for by in ([], ["g"]):
-        got = {tuple(r[:len(by)]): list(r[len(by):])
-               for r in percentiles(df, "v", probs, by, method="distributed").collect()}
-        bi = {tuple(r[:len(by)]): list(r[len(by):]) for r in percentiles(df, "v", probs, by, method="builtin").collect()}
-        for key, values in got.items():
-            sel = vals if not by else vals[grp == key[0]]
-            assert np.allclose(values, np.quantile(sel, probs), rtol=0, atol=1e-9)
-            assert np.allclose(values, bi[key], rtol=0, atol=1e-9)
+        for slices in (1, 2, 37):
+            rows = percentiles(df, "v", probs, by, names, slices=slices).collect()
+            assert len(rows) == (2 if by else 1)
+            for r in rows:
+                sel = vals if not by else vals[grp == r[0]]
+                assert list(r[len(by):]) == np.quantile(sel, probs).tolist()
+
+
+def test_percentiles_of_many_distinct_values_and_a_hot_group(spark):
+    n = 2_400_000
+    df = spark.range(n).select((F.col("id") % 3 == 0).alias("hot"), F.when(F.col("id") % 3 != 0, F.col("id") % 7).alias("g"),
+                               (F.xxhash64("id") / 1000.0).alias("v"))
+    pdf = df.toPandas()
+    probs = [0.25, 0.5, 0.99]
+    got = {r[0]: list(r[1:]) for r in percentiles(df, "v", probs, ["g"]).collect()}
+    assert len(got) == 8  # the null key, with a third of the rows, is a group too
+    for key, values in got.items():
+        sel = pdf.v[pdf.g.isna() if key is None else pdf.g == key].to_numpy()
+        assert values == np.quantile(sel, probs).tolist()
+
+
+def test_percentiles_of_several_columns(spark):
+    df = spark.createDataFrame([("a", 1.0, 5), ("a", 2.0, None), ("a", 4.0, 9), ("b", None, 3), ("c", None, None)],
+                               "g string, v double, w int")
+    wanted = {"v": {"v50": 0.5}, "w": {"w0": 0.0, "w50": 0.5}}
+    got = {r.g: (r.v50, r.w0, r.w50) for r in percentiles_of(df, wanted, ["g"]).collect()}
+    assert got == {"a": (2.0, 5.0, 7.0), "b": (None, 3.0, 3.0)}
+    assert [tuple(r) for r in percentiles_of(df.limit(0), wanted).collect()] == [(None, None, None)]
 
 
 def test_percentiles_empty_input(spark):
     df = spark.createDataFrame([], "v double")
-    r = percentiles(df, "v", [0.5], method="distributed").collect()
+    r = percentiles(df, "v", [0.5]).collect()
     assert len(r) == 1 and r[0][0] is None

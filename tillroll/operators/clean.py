@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tillroll.functions.columns import dround, strip_ws, title_case
 from tillroll.plans.groups import attach
-from tillroll.plans.quantiles import percentiles
+from tillroll.plans.quantiles import percentiles_of
 from tillroll.schema import (
     EXTREME_FACTOR, EXTREME_QUANTILE, FLAG_EXTREME_PRICE, FLAG_EXTREME_QTY, PRICE_TYPE,
     QTY_DECIMAL, QUALITY_PENALTY, SUSPICIOUS_MIN_ROWS, UNKNOWN_COUNTRY, UNKNOWN_CUSTOMER,
@@ -228,12 +228,7 @@ def transaction_ref(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ C12: quality flags
 def quality_thresholds(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """q99 of Quantity and UnitPrice per group (exact, linear interpolation)."""
-    # Quantities take few distinct values: the in-task map of the built-in aggregate is small.
-    q = percentiles(df, "Quantity", [EXTREME_QUANTILE], by, names=["_q99_qty"], method="builtin")
-    p = percentiles(df, "UnitPrice", [EXTREME_QUANTILE], by, names=["_q99_price"])
-    if not by:
-        return q.crossJoin(p)
-    return q.join(p, on=list(by), how="full")
+    return percentiles_of(df, {"Quantity": {"_q99_qty": EXTREME_QUANTILE}, "UnitPrice": {"_q99_price": EXTREME_QUANTILE}}, by)
 
 
 def apply_quality_flags(df: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -1,127 +1,105 @@
-"""Exact percentiles per group (linear interpolation between closest ranks, as pandas,
-NumPy and DuckDB's ``quantile_cont`` do).
-
-Two exact strategies:
-
-* ``builtin``: Spark's ``percentile`` with all probabilities in one call. Each task keeps a
-  value -> count map and the final merge holds every distinct value of a group in one task:
-  right for narrow columns (quantities, a few thousand customers' totals).
-* ``auto`` (default): the frequency table ``(group, value) -> count`` is built first; if
-  the plan's row estimate of the input, or else the counted table (one small job), is at
-  most ``GATHER_MAX_DISTINCT`` rows, the weighted built-in aggregate runs on it; above that
-  the ``distributed`` plan.
-* ``distributed``: value counts are aggregated by a shuffle, cut into value slices at
-  approximate quantile boundaries and ranked with per-slice running counts plus slice
-  offsets; the two values around each rank are picked by a filtered aggregate. No task
-  ever holds a whole group, so it also works for near-unique columns (row revenue) at
-  any size.
+"""Exact percentiles per group (linear interpolation between closest ranks, with NumPy's arithmetic).
+
+One lazy plan serves every size, and no task ever holds a whole group:
+
+1. ``(by, value) -> count`` by a partial aggregate, so a hot value is one row.
+2. The values are cut into slices at approximate quantiles of that table: a one-row aggregate, found
+   again by binary search. The slice of a value is a pure function of it and of that row.
+3. Slice totals and a window over the small slice table tell which slices hold a wanted rank. All
+   other slices are dropped by a join.
+4. Running counts inside the kept slices give the two values around each rank.
 
 ``accuracy`` switches to the approximate sketch (``percentile_approx``) instead.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import shuffle_partitions
 
-DEFAULT_METHOD = "auto"
-# Largest (group, value) table that one task may hold while merging a percentile; above
-# it the value-slice plan is used. 2M entries is on the order of 100 MB of hash map.
-GATHER_MAX_DISTINCT = 2_000_000
-
-
-def estimated_rows(df: DataFrame) -> int:
-    """Upper estimate of the row count from the plan alone (no job runs): Catalyst's size
-    estimate (exact for caches and scans, an upper bound above aggregates and filters)
-    divided by the row width of the schema."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    width = max(1, int(df._jdf.schema().defaultSize()))
-    return size // width
+SKETCH_ACCURACY = 10_000  # least accuracy of the slice boundaries; four times the slices beyond that
 
 
 def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
                 names: Sequence[str] | None = None, accuracy: int | None = None,
-                method: str | None = None) -> DataFrame:
-    """One row per ``by`` group with one DOUBLE column per probability."""
-    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    method = method or DEFAULT_METHOD
-    v = F.col(col).cast("double")
-    parr = F.array(*[F.lit(float(p)) for p in probs])
-    if accuracy is not None:
-        r = df.groupBy(*by).agg(F.percentile_approx(v, parr, F.lit(accuracy)).alias("_p"))
-    elif method in ("distributed", "auto"):
-        return distributed_percentiles(df, col, probs, by, names,
-                                       gather_max=GATHER_MAX_DISTINCT if method == "auto" else 0)
-    else:
-        r = df.groupBy(*by).agg(F.percentile(v, parr).alias("_p"))
-    return r.select(*by, *[F.col("_p")[i].cast("double").alias(n) for i, n in enumerate(names)])
-
-
-def slice_bounds(values: DataFrame, col: str, slices: int) -> list[float]:
-    """``slices - 1`` approximate quantile boundaries of ``col`` (one small aggregate; the
-    boundary list, at most ``slices`` numbers, is the only thing read on the driver)."""
-    if slices <= 1:
-        return []
-    probs = [i / slices for i in range(1, slices)]
-    row = values.agg(F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), F.lit(10000))).first()
-    return sorted(set(float(b) for b in (row[0] or []) if b is not None))
-
-
-def distributed_percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                            names: Sequence[str] | None = None, slices: int | None = None,
-                            gather_max: int = 0) -> DataFrame:
-    """Exact percentiles without gathering a group into one task.
-
-    1. ``(by, value) -> count``: a partial aggregate, so repeated values collapse map-side
-       and every distinct value is one row (a hot value is one row, not a third of them).
-    2. The values are cut into slices at approximate quantile boundaries; the slice of a
-       value is a pure function of it, so the slices need no checkpoint to stay stable.
-    3. Per (group, slice) totals give each slice its offset (a window over the small slice
-       table); inside a slice the running count is a window partitioned by (group, slice).
-    4. For rank position h = (N - 1) p the values at floor(h) and ceil(h) are the rows
-       whose count interval [before, before + count) contains them, picked for all
-       probabilities by one grouped aggregate; result lo + (hi - lo) (h - floor(h)).
-    """
+                slices: int | None = None) -> DataFrame:
+    """One row per ``by`` group (a null key is a group) with one DOUBLE column per probability. Nulls
+    in ``col`` do not count; without ``by`` there is always one row, of NULLs if there are no values."""
     by = list(by)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    spark = df.sparkSession
     v = F.col(col).cast("double")
-    freq = df.where(v.isNotNull()).groupBy(*by, v.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    if gather_max > 0 and (estimated_rows(df) <= gather_max or freq.count() <= gather_max):
-        # Checked size: every group's value -> count map fits one task, so the weighted
-        # built-in aggregate over the (already reduced) frequency table is exact and cheap.
+    if accuracy is not None:
         parr = F.array(*[F.lit(float(p)) for p in probs])
-        r = freq.groupBy(*by).agg(F.percentile(F.col("_x"), parr, F.col("_n")).alias("_p"))
+        r = df.groupBy(*by).agg(F.percentile_approx(v, parr, F.lit(accuracy)).alias("_p"))
         return r.select(*by, *[F.col("_p")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    bounds = slice_bounds(freq, "_x", slices or spark.sparkContext.defaultParallelism * 4)
-    barr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    sliced = freq.withColumn("_s", F.size(F.filter(barr, lambda b: b < F.col("_x"))))
+
+    freq = df.where(v.isNotNull()).groupBy(*by, v.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    sliced = with_slices(freq, slices or shuffle_partitions(df.sparkSession))
+
     totals = sliced.groupBy(*by, "_s").agg(F.sum("_n").alias("_t"))
-    before_w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_s", F.coalesce(F.sum("_t").over(before_w), F.lit(0)).alias("_off"),
-                            F.sum("_t").over(Window.partitionBy(*by)).alias("_grand"))
-    # One row per (group, slice): bounded by the slice count when there is no ``by``.
-    off = F.broadcast(offsets) if not by else offsets
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_s", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_t").over(group).alias("_rows"))
+    places = [f((F.col("_rows") - 1) * float(p)) for p in probs for f in (F.floor, F.ceil)]
+    wanted = offsets.where(reduce(Column.__or__, [(p >= F.col("_off")) & (p < F.col("_off") + F.col("_t"))
+                                                  for p in places]))
+    wanted = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)],
+                           F.col("_s").alias("_slice"), "_off", "_rows")
+    # Without keys at most two slices per probability are wanted.
+    ranked = sliced.join(wanted if by else F.broadcast(wanted),
+                         reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)],
+                                F.col("_s") == F.col("_slice")))
+
     inside = Window.partitionBy(*by, "_s").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sliced.withColumn("_run", F.sum("_n").over(inside)).join(off, on=[*by, "_s"])
-    running = F.col("_off") + F.col("_run")
-    before = running - F.col("_n")
-    aggs = [F.first("_grand").alias("_grand")]
-    for i, p in enumerate(probs):
-        h = (F.col("_grand") - 1) * float(p)
-        for tag, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (before <= pos) & (pos < running)
-            aggs.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{tag}{i}"))
-    a = ranked.groupBy(*by).agg(*aggs)
-    outs = []
-    for i, (p, n) in enumerate(zip(probs, names)):
-        h = (F.col("_grand") - 1) * float(p)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        outs.append(F.when(F.floor(h) == F.ceil(h), lo).otherwise(lo + (hi - lo) * (h - F.floor(h))).alias(n))
-    if not by:
-        # A global percentile over no rows is one NULL row, as with the built-in aggregate.
-        return spark.range(1).select().join(a, on=F.lit(True), how="left").select(*outs)
-    return a.select(*by, *outs)
+    end = F.col("_off") + F.col("_run")
+    picks = [F.max(F.when((place >= end - F.col("_n")) & (place < end), F.col("_x"))).alias(f"_x{i}")
+             for i, place in enumerate(places)]
+    picked = (ranked.withColumn("_run", F.sum("_n").over(inside)).groupBy(*by)
+              .agg(F.max("_rows").alias("_rows"), *picks))
+    return picked.select(*by, *[between(F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}"), (F.col("_rows") - 1) * float(p)).alias(n)
+                                for i, (p, n) in enumerate(zip(probs, names))])
+
+
+def percentiles_of(df: DataFrame, wanted: dict[str, dict[str, float]], by: Sequence[str] = ()) -> DataFrame:
+    """Percentiles of several columns in one pass: ``{column: {name: probability}}``. One row per
+    ``by`` group that has a value in any of the columns."""
+    probs = sorted({p for names in wanted.values() for p in names.values()})
+    long = df.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(wanted)])))
+    found = percentiles(long, "_v", probs, [*by, "_c"], names=[f"_q{j}" for j in range(len(probs))])
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == i, F.col(f"_q{probs.index(p)}"))).alias(name)
+                                    for i, names in enumerate(wanted.values()) for name, p in names.items()])
+
+
+def with_slices(values: DataFrame, slices: int) -> DataFrame:
+    """Add ``_s``, the slice of ``_x``: about as many rows in each, whatever their groups. The broadcast
+    side is one row with an array of at most ``slices`` numbers."""
+    cuts = values.agg(F.percentile_approx("_x", F.array(*[F.lit(i / slices) for i in range(1, max(slices, 2))]),
+                                          F.lit(max(SKETCH_ACCURACY, 4 * slices))).alias("_cuts"))
+    return (values.crossJoin(F.broadcast(cuts))
+            .withColumn("_s", search(F.col("_x"), F.col("_cuts"), slices.bit_length())).drop("_cuts"))
+
+
+def search(x: Column, ordered: Column, steps: int) -> Column:
+    """How many numbers of an ordered array are below ``x``, by binary search in ``steps`` steps."""
+    def step(state: Column, _: Column) -> Column:
+        lo, hi = state["lo"], state["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        above = (lo < hi) & (F.get(ordered, mid) < x)
+        return F.struct(F.when(above, mid + 1).otherwise(lo).alias("lo"),
+                        F.when(above | (lo >= hi), hi).otherwise(mid).alias("hi"))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), whole, step, lambda state: state["lo"])
+
+
+def between(lo: Column, hi: Column, place: Column) -> Column:
+    """The value at a fractional rank: counted from the nearer neighbour, so that both ends are met."""
+    part = place - F.floor(place)
+    return F.when(part < 0.5, lo + (hi - lo) * part).otherwise(hi - (hi - lo) * (1 - part))
