@@ -52,6 +52,33 @@ def test_csv_roundtrip_and_encoding(spark):
     assert enc == {"a.csv": True, "b.csv": False}
     got = sorted(tuple(r) for r in S.read_csv_auto(spark, f"{d}/in").collect())
     assert got == sorted(rows)
+    assert S.read_csv_auto(spark, f"{d}/in").columns == RAW_TEXT_SCHEMA.names
     with pytest.raises(ValueError, match="Unsupported file type"):
         S.load_file(spark, f"{d}/test.txt")
     assert S.load_or_sample(spark, f"{d}/missing.csv", 100).count() == 100
+
+
+def upload(folder, name, *lines, encoding="utf-8"):
+    path = os.path.join(folder, name)
+    with open(path, "w", encoding=encoding) as f:
+        f.write("\n".join(lines) + "\n")
+    return path
+
+
+def test_csv_columns_go_by_header_name(spark):
+    d = tempfile.mkdtemp(prefix="tillroll-test-")
+    short = upload(d, "my short sales.csv", "Country,InvoiceNo,Näme", "UK,I1,é", encoding="utf-8-sig")
+    got = S.load_file(spark, short)
+    assert got.columns == ["Country", "InvoiceNo", "Näme"] and [tuple(r) for r in got.collect()] == [("UK", "I1", "é")]
+    assert any(r.code == "missing_columns" for r in V.report(got).collect())
+    # An index column without a name, as data frames are often exported.
+    index = S.load_file(spark, upload(d, "index.csv", ",Quantity,Country", "0,5,España", encoding="latin-1"))
+    assert index.columns[1:] == ["Quantity", "Country"] and index.first()[1:] == ("5", "España")
+
+
+def test_csv_files_of_another_header_are_refused(spark):
+    d = tempfile.mkdtemp(prefix="tillroll-test-")
+    upload(d, "a.csv", "InvoiceNo,Country", "I1,UK")
+    upload(d, "b.csv", "Country,InvoiceNo", "UK,I1")
+    with pytest.raises(Exception, match="header"):
+        S.read_csv(spark, d).collect()

@@ -9,10 +9,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.catalog import register
-from tillroll.catalog.bases import sql, tx
+from tillroll.catalog.bases import output, sql, tx
+from tillroll.catalog.q_clean import CLEAN_COLS_SQL
 from tillroll.operators import clean as C
 from tillroll.operators import insights as I
+from tillroll.operators import validate as V
 from tillroll.plans.metrics import long_metrics
+from tillroll.schema import REQUIRED_COLUMNS
 from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources import files as S
 from tillroll.sources import sinks as K
@@ -47,34 +50,53 @@ SELECT strftime(min(InvoiceDate), '%Y-%m-%d') AS min, strftime(max(InvoiceDate),
 register("src_dispatch", lambda s, d: S.load_file(s, f"{d.rstrip('/')}/orders.parquet"), sql("none", "SELECT * FROM orders"))
 
 
+def write_csv(df, path, encoding="UTF-8"):
+    """CSV with header; blanks around values are kept."""
+    (df.write.option("header", True).option("encoding", encoding)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def _csv(s, d):
     path = scratch(s, "dirty-csv")
-    dirty(s, d).write.option("header", True).csv(path)
-    return C.clean(S.read_csv(s, path))
+    write_csv(dirty(s, d), path)
+    return output(C.clean(S.read_csv(s, path)))
 
 
-register("src_csv", _csv)
+register("src_csv", _csv, sql("cleaned", f"SELECT {CLEAN_COLS_SQL} FROM cleaned"))
 
 
 def _encodings(s, d):
-    path = scratch(s, "conv-csv")
+    path = scratch(s, "conv csv")
     conv = table(s, d, "conversations", "conv_id", "turn", "role", "text")
-    schema = "conv_id string, turn string, role string, text string"
-    conv.where(F.col("turn") % 2 == 0).write.option("header", True).option("encoding", "UTF-8").csv(f"{path}/utf8")
-    conv.where(F.col("turn") % 2 == 1).write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/latin1")
-    return S.read_csv_auto(s, path, schema=schema, multiline=True)
+    write_csv(conv.where(F.col("turn") % 2 == 0), f"{path}/utf8")
+    write_csv(conv.where(F.col("turn") % 2 == 1), f"{path}/latin1", "ISO-8859-1")
+    return S.read_csv_auto(s, path, multiline=True)
 
 
-register("src_csv_encoding", _encodings)
+register("src_csv_encoding", _encodings, sql("none", """
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations"""))
 
 
 def _csv_or_sample(s, d):
-    path = scratch(s, "upload")
-    dirty(s, d).write.option("header", True).csv(f"{path}/sales.csv")
-    return S.load_or_sample(s, f"{path}/sales.csv")
+    """The file has its columns in reverse order and one more."""
+    path, raw = scratch(s, "upload"), dirty(s, d)
+    write_csv(raw.select(*reversed(raw.columns), F.lit("x").alias("Note")), f"{path}/my sales.csv")
+    return S.load_or_sample(s, f"{path}/my sales.csv")
+
+
+register("src_csv_or_sample", _csv_or_sample, sql("dirty", "SELECT *, 'x' AS Note FROM dirty"))
+
+
+def _missing(s, d):
+    path = scratch(s, "short-csv")
+    write_csv(dirty(s, d).select("Country", "Quantity", "InvoiceNo"), path)
+    loaded = S.read_csv(s, path)
+    return V.missing_columns(loaded).crossJoin(F.broadcast(loaded.agg(F.count("InvoiceNo").alias("invoice_rows"))))
 
 
-register("src_csv_or_sample", _csv_or_sample)
+register("val_missing_columns", _missing, sql("dirty", f"""
+SELECT c AS "column", c IN ('Country', 'Quantity', 'InvoiceNo') AS present, (SELECT count(InvoiceNo) FROM dirty) AS invoice_rows
+FROM (SELECT unnest([{", ".join(repr(c) for c in REQUIRED_COLUMNS)}]) AS c)"""))
 register("sink_metrics_json", lambda s, d: K.metrics_documents(long_metrics(tx(s, d))))
 register("sink_insights_json", lambda s, d: K.insights_documents(
     I.key_insights(I.insight_metrics(tx(s, d), ["Country"]), ["Country"]), ["Country"]))

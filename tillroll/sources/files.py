@@ -1,28 +1,35 @@
-"""Transaction files: CSV with a fixed text schema, per-file encoding detection, dispatch
-by file extension, and the read-or-sample fallback."""
+"""Transaction files: CSV with columns by header name, encoding detection per file, dispatch by file
+extension, and the read-or-sample fallback."""
 
 from __future__ import annotations
 
 import os
+import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.schema import RAW_TEXT_SCHEMA, SUPPORTED_EXTENSIONS
+from tillroll.schema import SUPPORTED_EXTENSIONS
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8",
-             schema=RAW_TEXT_SCHEMA, multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = False,
+             glob: str | None = None) -> DataFrame:
     """CSV with header, every column read as text (``clean`` types it; dates day-first).
 
-    A fixed schema avoids an inference pass over the data. ``multiline`` allows quoted
-    line breaks inside fields; it makes each file one task (not splittable), so it is off
-    for transaction files, which have no such fields.
+    Columns carry the names of the header, in any order; extra columns are kept and missing ones are
+    found by the validation. All files below ``path`` must share one header: a file with another one
+    fails when it is read, as its values would shift. This is not checked where a header name is blank,
+    since Spark makes up a name then. ``multiline`` allows quoted line breaks inside fields; it makes
+    each file one task (not splittable), so it is off for transaction files.
     """
-    return (spark.read.schema(schema).option("header", True).option("encoding", encoding)
-            .option("multiLine", multiline).option("mode", "PERMISSIVE")
-            .csv(paths if isinstance(paths, str) else list(paths)))
+    reader = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+              .option("multiLine", multiline).option("recursiveFileLookup", True))
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    schema = reader.csv(path).schema
+    blank = any(re.fullmatch(r"_c\d+", name) for name in schema.names)
+    return reader.schema(schema).option("enforceSchema", blank).csv(path)
 
 
 def file_encodings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
@@ -32,32 +39,32 @@ def file_encodings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataF
     undecoded; lines are checked in parallel and whole files are never held in memory.
     """
     lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
-    return (lines.groupBy(F.input_file_name().alias("file"))
+    return (lines.groupBy(F.col("_metadata.file_path").alias("file"))
             .agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")))
 
 
-def read_csv_auto(spark: SparkSession, path: str, glob: str = "*.csv", schema=RAW_TEXT_SCHEMA,
-                  multiline: bool = False) -> DataFrame:
-    """UTF-8 files read as UTF-8, the others as latin-1, then unioned by name.
+def header_name(name: str) -> str:
+    """A header name that was read as latin-1, decoded as UTF-8 where it is that, without byte order mark."""
+    try:
+        return name.encode("latin-1").decode("utf-8").removeprefix("\ufeff")
+    except UnicodeDecodeError:
+        return name
 
-    Spark's CSV reader replaces bad bytes instead of failing, so the choice is made from
-    the bytes (see :func:`file_encodings`). Only the file list (one row per file) reaches
-    the driver.
+
+def read_csv_auto(spark: SparkSession, path: str, glob: str = "*.csv", multiline: bool = False) -> DataFrame:
+    """UTF-8 files read as UTF-8, the others as latin-1, in one lazy plan.
+
+    Spark's CSV reader replaces bad bytes instead of failing. Latin-1 keeps every byte as one
+    character, so all files are read that way and the texts of files that hold only valid UTF-8 (see
+    :func:`file_encodings`) are decoded again. The list of files stays a DataFrame.
     """
-    verdict = file_encodings(spark, path, glob).collect()
-    utf8 = [r.file for r in verdict if r.utf8]
-    latin = [r.file for r in verdict if not r.utf8]
-    parts = []
-    if utf8:
-        parts.append(read_csv(spark, utf8, "UTF-8", schema, multiline))
-    if latin:
-        parts.append(read_csv(spark, latin, "ISO-8859-1", schema, multiline))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    raw = read_csv(spark, path, "ISO-8859-1", multiline, glob)
+    latin = file_encodings(spark, path, glob).where(~F.col("utf8")).select(F.col("file").alias("_latin_file"))
+    tagged = raw.withColumn("_file", F.col("_metadata.file_path"))
+    columns = [(F.col(f"`{name.replace('`', '``')}`"), header_name(name)) for name in raw.columns]
+    return tagged.join(latin, F.col("_file") == F.col("_latin_file"), "left").select(*[
+        F.when(F.col("_latin_file").isNull(), F.encode(c, "ISO-8859-1").cast("string")).otherwise(c).alias(name)
+        for c, name in columns])
 
 
 def load_file(spark: SparkSession, path: str, extensions: Sequence[str] = SUPPORTED_EXTENSIONS) -> DataFrame:
