@@ -39,6 +39,18 @@ def test_flat_marginals_follow_texts():
             assert np.allclose(got[doc == d][i:i + T.CHAIN], want)
 
 
+def test_link_settles_where_evidence_parts_almost_all():
+    rng = np.random.default_rng(5)
+    toxic = np.arange(6000) < 600
+    odds = np.where(toxic, 3.4, -3.3) + rng.normal(0, 0.05, 6000)
+    odds[-3:] = 0.5  # three clean documents between
+    x = np.stack([np.ones(6000), odds, np.where(toxic, rng.uniform(0.7, 3, 6000), rng.uniform(0, 0.2, 6000))], axis=1)
+    link = T.fit_link(x, toxic)
+    p = 1 / (1 + np.exp(-x @ link))
+    assert np.abs(link).max() < 100 and np.abs(x.T @ (p - toxic) + 0.05 * link).max() < 1e-3
+    assert p[toxic].min() > 0.9 and p[~toxic].max() < 0.3
+
+
 def test_held_out_accuracy_and_spans(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

@@ -182,6 +182,27 @@ def token_cues(words: list[np.ndarray], table: np.ndarray, toxic: np.ndarray) ->
         marked |= new
 
 
+def fit_link(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 100) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each halved until the loss falls: whole steps diverge
+    where the evidence parts almost all documents."""
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * w @ w)
+
+    link = np.zeros(x.shape[1])
+    now = loss(link)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ link, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(link))
+        step = np.linalg.solve(h, x.T @ (p - y) + ridge * link)
+        while (new := loss(link - step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if new >= now:
+            break
+        link, now = link - step, new
+    return link
+
+
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Tagger:
     toxic = np.asarray(toxic, bool)
     ids: dict[str, int] = {}
@@ -221,10 +242,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Tagger:
             model.weights -= RATE * grad / np.sqrt(squares)
             model.trans -= RATE * tgrad / np.sqrt(tsquares)
     x = np.concatenate([model.evidence(texts[i:i + 500]) for i in range(0, len(texts), 500)])
-    for _ in range(30):  # Newton steps of a ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ model.link, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        model.link -= np.linalg.solve(h, x.T @ (p - toxic) + 0.05 * model.link)
+    model.link = fit_link(x, toxic)
     return model
 
 
