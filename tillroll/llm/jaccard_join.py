@@ -15,9 +15,13 @@ next, as boundary documents of a window do.
 taken. Members are then dealt into shells by that distance; by the triangle inequality two members can
 only be linked if their distances to the pivot differ by at most the threshold, so a shell is joined with
 members in that window alone. Each shell takes new pivots, round after round, until every pair of members
-is either tested, ruled out by its window, or already in one component. Every link that joins two
+is either tested, ruled out by its window or sketch, or already in one component. Every link that joins two
 components is found, without all pairs of a group being formed.
 
+*Sketches.* A set's sketch holds the parity of its shingles in each of 1,024 places. Two sketches differ in at
+most as many bits as the sets differ in shingles, so a pair whose sketches differ in more bits than a link
+allows is ruled out for certain, inside the join, before any set moves. Only what is left is tested on whole sets.
+
 Sets are compared by 64-bit shingle hashes, and equal sets share a 64-bit node number.
 
 Defined results: a document's set has its distinct ``size``-word shingles, with fewer words the whole
@@ -42,6 +46,7 @@ from tillroll.llm.common import store, text_slices
 
 SHINGLE, PERCENT = 4, 85
 PIVOTS = 64  # pivots that a shell takes in a round
+SKETCH = [f"s{i}" for i in range(16)]  # a sketch as columns of 64 bits
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -76,6 +81,12 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in each place, as 64-bit numbers."""
+    odd = np.bincount((mix(s + _ODD) % np.uint64(64 * len(SKETCH))).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 @lru_cache(None)
 def size_class(n: int, percent: int = PERCENT) -> tuple[int, int, int]:
     """Number, least and largest size of the class of ``n``. The sizes of a linked pair are in one class
@@ -161,20 +172,35 @@ def shared_cells(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return store(ordered.mapInArrow(members, "cell long, pivot long, node long"), "shared-cells")
 
 
-def distances(docs: DataFrame, known: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Stored ``a, b, distance, linked`` of the distinct ``pairs`` (a, b) of nodes, exactly."""
+def cell_sets(docs: DataFrame, known: DataFrame, shared: DataFrame, size: int) -> DataFrame:
+    """Stored ``node, n, set, s0, s1, ...`` of all sets in shared cells: the texts move once."""
     first = known.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node")
+    wanted = shared.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(first, "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
-            found = [(n, s.tobytes()) for n, s in zip(piece.column(0).to_pylist(), shingle_sets(piece.column(1).to_pylist(), size)) if node_of(s) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())],
-                                             names=["node", "set"])
+            found = [(n, s) for n, s in zip(piece.column(0).to_pylist(), shingle_sets(piece.column(1).to_pylist(), size)) if node_of(s) == n]
+            marks = np.array([sketch(s) for _, s in found], np.int64).reshape(len(found), len(SKETCH))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
+                 pa.array([s.tobytes() for _, s in found], pa.binary())] + [pa.array(c) for c in marks.T], names=["node", "n", "set", *SKETCH])
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    whole = store(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "involved-sets")
+    schema = "node long, n long, set binary, " + ", ".join(f"{c} long" for c in SKETCH)
+    return store(texts.mapInArrow(sets, schema).dropDuplicates(["node"]), "cell-sets")
+
+
+def may_link(x: str, y: str, percent: int):
+    """Whether sizes and sketches (columns with prefixes ``x`` and ``y``) leave a link possible. Linked sets
+    differ in at most (100 - percent) / (100 + percent) of their sizes' sum."""
+    most = (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - percent)
+    bits = sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in SKETCH), F.lit(0))
+    return (F.abs(F.col(f"{x}n") - F.col(f"{y}n")) * (100 + percent) <= most) & (bits * (100 + percent) <= most)
+
 
+def distances(whole: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Stored ``a, b, distance, linked`` of the distinct ``pairs`` (a, b) of nodes, exactly, from the sets
+    in ``whole`` (node, set)."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             far, near = [], []
@@ -216,7 +242,9 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     delta = 1 - percent / 100 + 1e-9
     known = sizes(docs, size)
     shared = shared_cells(docs, size, percent)
-    tested = distances(docs, known, shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), size, percent)
+    whole = cell_sets(docs, known, shared, size)
+    marks = whole.select("node", "n", *SKETCH)
+    tested = distances(whole, shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), percent)
     roots = components(tested.where("linked").select("a", "b"))
     # Members of cells where the first pivot has not settled everything, in shells around it.
     rest = shared.join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance"), ["pivot", "node"])
@@ -230,15 +258,17 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
             break
         turn = Window.partitionBy("cell", "shell").orderBy("node")
         pivot = member.withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= PIVOTS).drop("_r")
-        p = pivot.select("cell", F.col("node").alias("p"), F.col("distance").alias("pd"), F.col("root").alias("proot"))
-        pairs = (member.join(p, "cell").where((F.col("node") != F.col("p")) & (F.col("root") != F.col("proot"))
-                                              & (F.abs(F.col("distance") - F.col("pd")) <= delta))
+        p = pivot.join(marks, "node").select("cell", F.col("node").alias("p"), F.col("distance").alias("pd"), F.col("root").alias("proot"),
+                                             F.col("n").alias("p_n"), *[F.col(c).alias(f"p_{c}") for c in SKETCH])
+        pairs = (member.join(marks, "node").join(p, "cell")
+                 .where((F.col("node") != F.col("p")) & (F.col("root") != F.col("proot"))
+                        & (F.abs(F.col("distance") - F.col("pd")) <= delta) & may_link("", "p_", percent))
                  .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
                  .join(done, ["a", "b"], "left_anti"))
         pairs = store(pairs, "window-pairs")
         rest = member.join(pivot.select("cell", "node"), ["cell", "node"], "left_anti").drop("root")
         if not pairs.isEmpty():
-            new = distances(docs, known, pairs, size, percent)
+            new = distances(whole, pairs, percent)
             done = done.unionByName(new.select("a", "b"))
             links = new.where("linked").select("a", "b")
             if not links.isEmpty():
