@@ -56,6 +56,16 @@ def test_every_linked_pair_shares_a_cell():
             assert set(J.cells(a).tolist()) & set(J.cells(b).tolist()), (len(a), len(b), common)
 
 
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 3000))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random()], rng.integers(0, 2**63, 40).astype(np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        bits = int(np.bitwise_count((J.sketch(a) ^ J.sketch(b)).view(np.uint64)).sum())
+        assert bits <= differ and (differ > 200 or bits * 2 > differ)
+
+
 @pytest.mark.parametrize("pivots", [1, 8])
 def test_chains_shells_and_edges(spark, monkeypatch, pivots):
     monkeypatch.setattr(J, "PIVOTS", pivots)
@@ -71,6 +81,7 @@ def test_chains_shells_and_edges(spark, monkeypatch, pivots):
                 now[rng.randrange(len(now))] = f"n{rng.random()}"
     passage = " ".join(f"p{i}" for i in range(60))
     docs += [(20_000 + i, passage + " " + " ".join(f"q{i}x{k}" for k in range(8 + i % 5))) for i in range(25)]
+    docs += [(30_000, "Same Words under one id " + passage), (30_000, "same words  under ONE id " + passage), (30_001, "same words under one id " + passage + " z")]
     docs += [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A b"), (5, "A b"), (None, "a b"), (6, "one two three four"), (7, "x " * 30_000),
              (8, "x " * 20_000), docs[0], (docs[1][0], "different text under the same number")]
     df = spark.createDataFrame([(*d, "t") for d in docs], "doc_id long, text string, node string")

@@ -173,7 +173,8 @@ def shared_cells(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def cell_sets(docs: DataFrame, known: DataFrame, shared: DataFrame, size: int) -> DataFrame:
-    """Stored ``node, n, set, s0, s1, ...`` of all sets in shared cells: the texts move once."""
+    """Stored ``node, n, set, s0, s1, ...`` of all sets in shared cells: the texts move once. A node has more
+    than one (equal) row only if rows that share its id have texts that differ in case or white space."""
     first = known.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = shared.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(first, "node")
 
@@ -185,9 +186,9 @@ def cell_sets(docs: DataFrame, known: DataFrame, shared: DataFrame, size: int) -
                 [pa.array([n for n, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
                  pa.array([s.tobytes() for _, s in found], pa.binary())] + [pa.array(c) for c in marks.T], names=["node", "n", "set", *SKETCH])
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
     schema = "node long, n long, set binary, " + ", ".join(f"{c} long" for c in SKETCH)
-    return store(texts.mapInArrow(sets, schema).dropDuplicates(["node"]), "cell-sets")
+    return store(texts.mapInArrow(sets, schema), "cell-sets")
 
 
 def may_link(x: str, y: str, percent: int):
@@ -214,9 +215,11 @@ def distances(whole: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(near, pa.bool_())],
                                              names=["a", "b", "distance", "linked"])
 
-    side = lambda c: whole.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
+    def side(c: str) -> DataFrame:  # only the sets of these pairs move
+        return whole.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")).join(pairs.select(c), c, "left_semi")
+
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
-    return store(both.mapInArrow(compare, "a long, b long, distance double, linked boolean"), "distances")
+    return store(both.mapInArrow(compare, "a long, b long, distance double, linked boolean").dropDuplicates(["a", "b"]), "distances")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,7 +246,7 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     known = sizes(docs, size)
     shared = shared_cells(docs, size, percent)
     whole = cell_sets(docs, known, shared, size)
-    marks = whole.select("node", "n", *SKETCH)
+    marks = whole.select("node", "n", *SKETCH).dropDuplicates(["node"])
     tested = distances(whole, shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), percent)
     roots = components(tested.where("linked").select("a", "b"))
     # Members of cells where the first pivot has not settled everything, in shells around it.
