@@ -16,6 +16,9 @@ from tillroll.llm.common import keep_rows, read, store
 from tillroll.llm.queries import tokenizer_file
 
 
+SHINGLE, PERCENT = 5, 80  # the limits of the near-duplicate stage; those of the op9 query are its own
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return keep_rows(docs, model, lambda m, texts: m.scores(texts.to_pylist()) < 0.3)
@@ -28,7 +31,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each class stays, once; rows without an id are in no class and stay."""
-    classes = jaccard_join.near_classes(docs)
+    classes = jaccard_join.near_classes(docs, SHINGLE, PERCENT)
     kept = docs.where(F.col("doc_id").isNotNull()).join(
         classes.where("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

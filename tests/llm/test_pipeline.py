@@ -57,3 +57,32 @@ def test_empty_and_odd_rows(spark):
         for name, stage in P.STAGES:
             docs = store(stage(spark, docs, SF), "odd")
         assert docs.count() == (n and docs.count()) and re.match("doc_id", docs.columns[0])
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def near(docs, size=5, percent=80):
+    """The kept (doc_id, text) rows by brute force: of each class the row with the smallest id."""
+    def shingles(text):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(ws[i:i + size]) for i in range(max(1, len(ws) - size + 1))} if ws else set()
+
+    sets, group = [shingles(t) for _, t in docs], list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    classes = defaultdict(list)
+    for g, row in zip(group, docs):
+        classes[g].append(row)
+    return sorted((min(c, key=lambda r: (r[0] is None, r[0] or 0)) for c in classes.values()), key=str)
+
+
+def test_near_copies_between_the_limits_of_op9_and_the_stage(spark):
+    base, tail = [f"w{i}" for i in range(500)], [f"t{i}" for i in range(140)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + tail[:100])), (3, " ".join(base + tail)), (4, "a b c d e f"), (5, "a b c d e g")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS)
+    got = P.drop_near_duplicates(spark, docs, SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == near(rows) and sorted(r.doc_id for r in got) == [1, 4, 5]
