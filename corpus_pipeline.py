@@ -7,12 +7,16 @@ next one's ``docs``. All stages but the last return the columns of ``documents``
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.llm import decontaminate as leaks
 from tillroll.llm import jaccard_join, packing, quality_trees, toxicity
-from tillroll.llm.common import keep_rows, read, store
+from tillroll.llm.common import keep_rows, read, store, text_slices
 from tillroll.llm.queries import tokenizer_file
 
 
@@ -30,18 +34,29 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each class stays, once; rows without an id are in no class and stay."""
-    classes = jaccard_join.near_classes(docs, SHINGLE, PERCENT)
-    kept = docs.where(F.col("doc_id").isNotNull()).join(
-        classes.where("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each class stays: of its smallest id, or without an id if no row of the class has one. Classes are
+    of rows, whatever their ids. Rows that are equal in id and text are one row; those without words are in no class."""
+    text = F.coalesce(F.concat(F.lit("="), "text"), F.lit(""))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)))
+    classes = jaccard_join.row_classes(docs.select("doc_id", "text", key.alias("key")), SHINGLE, PERCENT)
+    kept = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("_key"))
+    # Repeats go in the tasks that read them, so that the repeats of a row do not meet in one task.
+    once = docs.withColumn("_key", key).dropDuplicates(["_key"])
+    return once.join(kept.select("_key"), "_key", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share an id go together; a null id is an id like others."""
-    found = leaks.report(leaks.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text")))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """Each row goes by its own text; only rows that are equal in id and text go together."""
+    found = leaks.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+    bad = found.where(F.size("spans") > 0).select(F.col("key").alias("_key")).distinct()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in text_slices(batches):
+            at = [piece.column(piece.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text")]
+            yield piece.append_column("_key", pa.array(map(leaks.row_key, *at), pa.binary()))
+
+    rows = docs.mapInArrow(keyed, T.StructType(docs.schema.fields + [T.StructField("_key", T.BinaryType())]))
+    return rows.join(bad, "_key", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

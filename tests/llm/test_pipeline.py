@@ -86,3 +86,23 @@ def test_near_copies_between_the_limits_of_op9_and_the_stage(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS)
     got = P.drop_near_duplicates(spark, docs, SF).select("doc_id", "text").collect()
     assert sorted(map(tuple, got), key=str) == near(rows) and sorted(r.doc_id for r in got) == [1, 4, 5]
+
+
+def test_rows_of_one_id_or_none_are_judged_one_by_one(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first().text
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b") + " z"), (None, text("c")), (None, text("c")), (None, text("c") + " y"),
+            (None, text("d")), (None, text("a")), (3, text("e")), (3, text("e")), (3, text("e") + " x"), (4, None), (4, ""), (5, ""), (5, ""),
+            (6, "said " + item + " again"), (6, text("f")), (None, "seen " + item), (None, text("g"))]
+    docs = spark.createDataFrame([(*r, "en", "s", i) for i, r in enumerate(rows)], DOCS)
+    kept = store(P.drop_near_duplicates(spark, docs, SF), "rows")
+    got = sorted([(r.doc_id, r.text) for r in kept.collect()], key=str)
+    texts = [t for _, t in got if t]
+    classes = near([r for r in dict.fromkeys(rows)])
+    assert kept.columns == docs.columns and [r[0] for r in got] == [r[0] for r in classes]
+    assert len(near(got)) == len(got)  # no two of the kept rows are linked
+    assert {(1, text("a")), (1, text("b")), (None, text("d")), (4, None), (4, ""), (5, "")} <= set(got) and text("b") + " z" not in texts
+    assert got.count((5, "")) == 1 and sum(r[0] == 3 for r in got) == 1 and sum(t.startswith(text("c")) for t in texts) == 1
+
+    clean = [tuple(r) for r in P.drop_contaminated(spark, docs, SF).select("doc_id", "text").collect()]
+    assert sorted(clean, key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)

@@ -47,6 +47,10 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_SPELL).split()
 
 
+def row_key(doc_id: int | None, text: str | None) -> bytes:
+    return hashlib.blake2b(f"{doc_id}\0{text or ''}".encode(), digest_size=16).digest()
+
+
 @dataclass
 class Queries:
     """Windows of a block of items; terms are numbers in ``vocabulary``."""
@@ -136,7 +140,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
                 place.append(at[order])
                 ids.append(d)
                 sizes.append(len(ws))
-                keys.append(hashlib.blake2b(f"{d}\0{text or ''}".encode(), digest_size=16).digest())
+                keys.append(row_key(d, text))
                 doc.append(len(at))
             flat = np.concatenate(term)
             row = np.repeat(np.arange(len(ids)), doc)

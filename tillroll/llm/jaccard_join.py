@@ -121,16 +121,19 @@ def cells(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 # -------------------------------------------------------------------------------- DataFrames
-def sizes(docs: DataFrame, size: int) -> DataFrame:
-    """Stored ``doc_id, n_shingles, node`` of every row (node null for empty sets)."""
+def sizes(docs: DataFrame, size: int, *extra: str) -> DataFrame:
+    """Stored ``doc_id, n_shingles, node`` of every row (node null for empty sets) and its ``extra`` columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
             sets = shingle_sets(piece.column(1).to_pylist(), size)
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *piece.columns[2:]],
+                names=["doc_id", "n_shingles", "node", *extra])
 
-    return store(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long"), "set-sizes")
+    rows = docs.select("doc_id", "text", *extra)
+    schema = ["doc_id long, n_shingles long, node long"] + [f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra]
+    return store(rows.mapInArrow(run, ", ".join(schema)), "set-sizes")
 
 
 def shared_cells(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -240,10 +243,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
 
 
-def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of ``docs``."""
+def linked_nodes(docs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node, root`` of the nodes that are linked with another one; ``known``: the sizes of ``docs``."""
     delta = 1 - percent / 100 + 1e-9
-    known = sizes(docs, size)
     shared = shared_cells(docs, size, percent)
     whole = cell_sets(docs, known, shared, size)
     marks = whole.select("node", "n", *SKETCH).dropDuplicates(["node"])
@@ -277,9 +279,27 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
             if not links.isEmpty():
                 # what is known of a component is one star, so the edges stay few
                 roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return roots
+
+
+def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row of ``docs``."""
+    known = sizes(docs, size)
+    roots = linked_nodes(docs, known, size, percent)
     grouped = known.where(F.col("doc_id").isNotNull()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     node_class = grouped.select("node", "root").distinct().join(least, "root").select("node", "component_id")
     joined = known.join(node_class, "node", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def row_classes(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, key, class`` per row of ``rows`` (``doc_id, text, key``; the key is one of the row's id and text). Ids
+    decide nothing here, null ones neither; a row without words has a class of its key."""
+    own = rows.select(F.xxhash64("key").alias("doc_id"), "text", F.col("doc_id").alias("id"), "key")
+    known = sizes(own, size, "id", "key")
+    roots = linked_nodes(own, known, size, percent)
+    node = F.coalesce("root", "node")
+    return known.join(roots, "node", "left").select(
+        F.col("id").alias("doc_id"), "key", F.when(node.isNull(), F.col("key")).otherwise(node.cast("string").cast("binary")).alias("class"))
