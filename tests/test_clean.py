@@ -132,3 +132,17 @@ def test_single_digit_and_iso_dates(spark):
     texts = ["1/12/2010 8:26", "2010-12-01T08:26:00", "2010-12-01 08:26:00.5", "01/12/2010 08:26", "invalid"]
     got = C.cast_types(spark.createDataFrame([(t,) for t in texts], "InvoiceDate string")).collect()
     assert [r.InvoiceDate and r.InvoiceDate.replace(microsecond=0) for r in got] == [ts("2010-12-01 08:26:00")] * 4 + [None]
+
+
+def test_prices_below_a_cent_stay(spark):
+    # Expected values are those of floats, as in the reference.
+    texts = ["0.004", "1.005", "0.000001", "0.0049", "2.5", "9999999999999999.99", "-0.004", "0", "x", None]
+    raw = spark.createDataFrame([(f"I{i}", "S", "d", "1000", "01/02/2023 10:00", t, "C", "UK") for i, t in enumerate(texts)], RAW_TEXT_SCHEMA)
+    want = {f"I{i}": float(t) for i, t in enumerate(texts[:6])}
+    got = C.clean(raw).collect()
+    assert {r.InvoiceNo: float(r.UnitPrice) for r in got} == want
+    assert {r.InvoiceNo: float(r.Revenue) for r in got} == {k: round(1000 * v, 6) for k, v in want.items()}
+    report = {r.reason: r.removed for r in C.removal_report(C.prepare(raw)).collect()}
+    assert report == {"invalid_prices": 4, "total_removed": 4}
+    three = C.return_rate(C.clean(raw.where("InvoiceNo in ('I0', 'I1', 'I3')"))).first()
+    assert three.gross_sales == 1013.9

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.operators import clean as C
-from tillroll.sources.fixtures import DIRTY_SQL, SALES_KEYED_SQL, SALES_SQL, dirty, sales
+from tillroll.sources.fixtures import CENTS, DIRTY_SQL, SALES_KEYED_SQL, SALES_SQL, dirty, sales
 
 
 def tx(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,6 +41,11 @@ def output(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def cents(df: DataFrame) -> DataFrame:
+    """Prices as the fixtures and the SQL side have them, rounded here only."""
+    return df.withColumn("UnitPrice", F.col("UnitPrice").cast(CENTS))
+
+
 # ------------------------------------------------------------------------------- SQL
 def derive_sql(src: str, name: str) -> str:
     """C8 + C10 over ``src`` as CTE ``name``."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.catalog import register
-from tillroll.catalog.bases import STRIP_SQL, cleaned, derive_sql, output, sql, tx
+from tillroll.catalog.bases import STRIP_SQL, cents, cleaned, derive_sql, output, sql, tx
 from tillroll.operators import clean as C
 from tillroll.operators import kpi as K
 from tillroll.operators import validate as V
@@ -45,10 +45,10 @@ SELECT * FROM (
 WHERE filled > 0"""))
 
 # C4
-register("clean_cast", lambda s, d: C.prepare(dirty(s, d)), sql("prepared", "SELECT * FROM prepared"))
+register("clean_cast", lambda s, d: cents(C.prepare(dirty(s, d))), sql("prepared", "SELECT * FROM prepared"))
 
 # C5
-register("clean_filter_invalid", lambda s, d: C.filter_invalid(C.prepare(dirty(s, d))), sql("prepared", """
+register("clean_filter_invalid", lambda s, d: cents(C.filter_invalid(C.prepare(dirty(s, d)))), sql("prepared", """
 SELECT * FROM prepared WHERE InvoiceDate IS NOT NULL AND UnitPrice > 0 AND Quantity <> 0"""))
 
 # C6
@@ -113,7 +113,7 @@ SELECT x.InvoiceNo, x.StockCode, x.Quantity, CAST(x.UnitPrice AS DOUBLE) AS Unit
 FROM valid x CROSS JOIN c_q99 q"""))
 
 # C13
-register("clean_dedup", lambda s, d: C.dedup(C.valid_rows(dirty(s, d))), sql("cleaned", "SELECT * FROM c_dedup"))
+register("clean_dedup", lambda s, d: cents(C.dedup(C.valid_rows(dirty(s, d)))), sql("cleaned", "SELECT * FROM c_dedup"))
 
 # C14
 register("clean_multi_entries", lambda s, d: C.multi_entries(C.dedup(C.valid_rows(dirty(s, d)))), sql("cleaned", """

@@ -27,7 +27,7 @@ from tillroll.plans.quantiles import percentiles_of
 from tillroll.schema import (
     EXTREME_FACTOR, EXTREME_QUANTILE, FLAG_EXTREME_PRICE, FLAG_EXTREME_QTY, PRICE_TYPE,
     QTY_DECIMAL, QUALITY_PENALTY, SUSPICIOUS_MIN_ROWS, UNKNOWN_COUNTRY, UNKNOWN_CUSTOMER,
-    UNKNOWN_PRODUCT,
+    UNKNOWN_PRODUCT, VALUE_TYPE,
 )
 
 # Day-first text formats tried in order when InvoiceDate arrives as text.
@@ -103,7 +103,7 @@ def parse_timestamp(col: Column, formats: Sequence[str]) -> Column:
 
 
 def cast_types(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
-    """C4: ids and country -> text, numbers -> DOUBLE / DECIMAL(18,2) with bad -> 0,
+    """C4: ids and country -> text, numbers -> DOUBLE / DECIMAL(22,6) with bad -> 0,
     dates -> TIMESTAMP_NTZ with bad -> NULL."""
     cols = {}
     for c in ("InvoiceNo", "StockCode", "CustomerID", "Country"):
@@ -178,12 +178,12 @@ def standardize_text(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ C8 / C9: revenue
 def revenue_columns(df: DataFrame) -> DataFrame:
-    """Exact decimal transaction value, sales, returns and net revenue per row."""
+    """Decimal transaction value, sales, returns and net revenue per row."""
     if not _has(df, "Quantity", "UnitPrice"):
         return df
     q = F.col("Quantity")
-    tv = (q.cast(QTY_DECIMAL) * F.col("UnitPrice").cast(PRICE_TYPE))
-    zero = F.lit(0).cast(T.DecimalType(37, 5))
+    tv = (q.cast(QTY_DECIMAL) * F.col("UnitPrice").cast(PRICE_TYPE)).cast(VALUE_TYPE)
+    zero = F.lit(0).cast(VALUE_TYPE)
     return (df.withColumn("TransactionValue", tv)
             .withColumn("IsReturn", q < 0)
             .withColumn("SalesRevenue", F.when(q > 0, F.col("TransactionValue")).otherwise(zero))

@@ -19,14 +19,15 @@ RAW_SCHEMA = T.StructType([
     T.StructField("Description", T.StringType(), True),
     T.StructField("Quantity", T.DoubleType(), True),
     T.StructField("InvoiceDate", T.TimestampNTZType(), True),
-    T.StructField("UnitPrice", T.DecimalType(18, 2), True),
+    T.StructField("UnitPrice", T.DecimalType(22, 6), True),
     T.StructField("CustomerID", T.StringType(), True),
     T.StructField("Country", T.StringType(), True),
 ])
 
-# Money is exact: price DECIMAL(18,2), quantity DECIMAL(18,3) inside products.
-PRICE_TYPE = T.DecimalType(18, 2)
+# Prices keep six decimals; quantities are DECIMAL(18,3) inside products, and a product keeps six decimals.
+PRICE_TYPE = T.DecimalType(22, 6)
 QTY_DECIMAL = T.DecimalType(18, 3)
+VALUE_TYPE = T.DecimalType(38, 6)
 
 # ---------------------------------------------------------------------------------------
 # Fixed values (must equal the studied application's behaviour)

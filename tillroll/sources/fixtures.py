@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.schema import PRICE_TYPE
 from tillroll.sources.tables import table
 
+CENTS = T.DecimalType(18, 2)  # the type of prices in the given tables
+
 
 def _joined(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ part (all inner, all on keys).
@@ -57,7 +58,7 @@ def sales(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
         F.col("p_name").alias("Description"),
         _signed_qty().cast(T.DoubleType()).alias("Quantity"),
         F.col("o_orderdate").cast(T.TimestampNTZType()).alias("InvoiceDate"),
-        F.col("l_extendedprice").cast(PRICE_TYPE).alias("UnitPrice"),
+        F.col("l_extendedprice").cast(CENTS).alias("UnitPrice"),
         F.col("o_custkey").cast("string").alias("CustomerID"),
         F.col("n_name").alias("Country"),
     ]
@@ -71,7 +72,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _joined(spark, sf_dir)
     k = F.col("l_orderkey")
     q = _signed_qty()
-    price = F.col("l_extendedprice").cast(PRICE_TYPE)
+    price = F.col("l_extendedprice").cast(CENTS)
     base = j.select(
         k.alias("_k"),
         k.cast("string").alias("InvoiceNo"),
