@@ -8,8 +8,10 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.session import ensure_checkpoint_dir
 
@@ -93,3 +95,23 @@ def keep_rows(docs: DataFrame, model, judge: Callable[[object, pa.Array], np.nda
             yield piece.filter(pa.array(judge(shared.value, texts)))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``rank`` (long, from 1) in the total order ``order``. Range partitions are sorted and stored once, each row
+    with its place in its partition; the rows before a partition are a sum over one row per partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            places = pa.array(np.arange(seen + 1, seen + 1 + batch.num_rows))
+            yield batch.append_column("_part", pa.array(np.full(batch.num_rows, part))).append_column("_place", places)
+            seen += batch.num_rows
+
+    fields = df.schema.fields + [T.StructField("_part", T.LongType()), T.StructField("_place", T.LongType())]
+    placed = store(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, T.StructType(fields)), name)
+    sums = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per writing task, so the broadcast is bounded by the number of shuffle partitions.
+    offsets = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_place")).alias("rank"))

@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import (bitpack, chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules,
-                          quality_trees, sharding, toxicity)
+                          quality_trees, resampling, sharding, toxicity)
 from tillroll.llm.common import read, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -91,3 +91,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
+
+
+@query
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), read(spark, sf_dir, "benchmark", "text"))
+
+
+ORACLE["op11_importance_resample"] = resampling.ORACLE_SQL
