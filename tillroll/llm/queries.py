@@ -5,8 +5,9 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm import (bitpack, chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules,
+from tillroll.llm import (bitpack, chat_format, decontaminate, hard_negatives, html_extract, jaccard_join, packing, quality_rules,
                           quality_trees, resampling, sharding, toxicity)
 from tillroll.llm.common import read, shared_path
 
@@ -99,3 +100,12 @@ def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_importance_resample"] = resampling.ORACLE_SQL
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), F.col("id") % 100 == 0, label=label)
+
+
+ORACLE["op13_hard_negatives"] = hard_negatives.ORACLE_SQL
