@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import (bitpack, chat_format, decontaminate, hard_negatives, html_extract, jaccard_join, packing, quality_rules,
-                          quality_trees, resampling, sharding, toxicity)
+                          quality_trees, resampling, sharding, suffix_dedup, toxicity)
 from tillroll.llm.common import read, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -109,3 +109,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_hard_negatives"] = hard_negatives.ORACLE_SQL
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("spans")
