@@ -94,10 +94,11 @@ def number_rows(rows: DataFrame, vector: str, label: Column) -> DataFrame:
     return store(kept.mapInArrow(run, "tag long, id long, label long, v array<long>"), "vectors")
 
 
-def _tiles(anchors: DataFrame, rows: DataFrame, n_anchors: int) -> DataFrame:
-    """Groups (block, slot): the block's anchors, then the slot's share of all rows in no set order."""
+def _tiles(anchors: DataFrame, rows: DataFrame, n_anchors: int, n_rows: int) -> DataFrame:
+    """Groups (block, slot): the block's anchors, then the slot's share of all rows in no set order. A slot has a tile of rows
+    at least, as each one sends its own heaps."""
     blocks = -(-n_anchors // ANCHOR_ROWS)
-    slots = -(-2 * shuffle_partitions(rows.sparkSession) // blocks)
+    slots = min(-(-2 * shuffle_partitions(rows.sparkSession) // blocks), -(-n_rows // TILE_ROWS))
     left = anchors.select(F.pmod(F.xxhash64("tag"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
                           F.lit(0).alias("side"), "tag", "id", "label", "v", "found")
     right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("tag", F.lit(1)), F.lit(slots)).cast("int").alias("slot"),
@@ -232,7 +233,7 @@ def mine(rows: DataFrame, is_anchor: Column, vector: str = "embedding", label: C
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``; ``is_anchor`` is a condition on ``id``."""
     rows = number_rows(rows, vector, F.col("label") if label is None else label)
     anchors = rows.where(is_anchor)
-    n_anchors = anchors.count()
+    n_anchors, n_rows = anchors.count(), rows.count()
     if not n_anchors:
         return rows.sparkSession.createDataFrame([], _RESULT)
 
@@ -241,7 +242,7 @@ def mine(rows: DataFrame, is_anchor: Column, vector: str = "embedding", label: C
             yield _entries(_best(part, tiles, positives), part.tag).rename_columns(["anchor", "score", "id", "tag"])
 
     blank = F.array().cast("array<long>").alias("found")
-    best = _tiles(anchors.select("*", blank), rows, n_anchors).mapInArrow(first_pass, "anchor long, score long, id long, tag long")
+    best = _tiles(anchors.select("*", blank), rows, n_anchors, n_rows).mapInArrow(first_pass, "anchor long, score long, id long, tag long")
     best = store(_rank(best, ["anchor"], positives), "positives")
     # At most ``positives`` rows an anchor.
     found = best.groupBy(F.col("anchor").alias("tag")).agg(F.flatten(F.transform(
@@ -257,7 +258,7 @@ def mine(rows: DataFrame, is_anchor: Column, vector: str = "embedding", label: C
             yield _entries(heap, *wide, ids, tags, bound).rename_columns(
                 ["anchor_id", "anchor", "positive_id", "positive", "positive_score", "score", "id", "tag"])
 
-    near = _tiles(anchors.join(found, "tag"), rows, n_anchors).mapInArrow(
+    near = _tiles(anchors.join(found, "tag"), rows, n_anchors, n_rows).mapInArrow(
         second_pass, "anchor_id long, anchor long, positive_id long, positive long, positive_score long, score long, id long, tag long")
     return _rank(near, ["anchor", "positive"], negatives).select(
         "anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
