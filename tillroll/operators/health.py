@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.functions.columns import dround
+from tillroll.functions.columns import dround, ratio
 from tillroll.operators import kpi
 from tillroll.operators.topk import top_products
 from tillroll.operators.windows import monthly_growth
+from tillroll.plans.grains import Grains
 
 
 def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -23,14 +24,17 @@ def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def metrics_row(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per business with the figures used by health scores and insights."""
+    """One row per business with the figures used by health scores and insights, from the stored aggregates of
+    the rows (or from ``df`` itself if it is such)."""
+    df = df if isinstance(df, Grains) else Grains(df, by, ("total", "month", "weekday", "customer", "product"))
     s = kpi.summary(df, by).select(*by, "total_revenue", "total_transactions", "total_customers",
                                    "total_products", "date_start", "date_end",
                                    dround("avg_transaction_value", 2).alias("avg_transaction_value"))
-    c = kpi.customer_overview(df, by).select(*by, "customer_count", "one_time_customers",
-                                             dround("avg_customer_value", 2).alias("avg_customer_value"))
-    p = kpi.product_overview(df, by).select(*by, F.col("total_products").alias("product_rows"),
-                                            dround("avg_product_price", 2).alias("avg_product_price"))
+    c = kpi.customer_counts(df, by).select(*by, F.col("customer_count").cast("bigint").alias("customer_count"),
+                                           F.col("one_time_customers").cast("bigint").alias("one_time_customers"),
+                                           dround(ratio("_mean"), 2).alias("avg_customer_value"))
+    p = kpi.product_counts(df, by).select(*by, F.col("total_products").cast("bigint").alias("product_rows"),
+                                          dround(ratio("_mean"), 2).alias("avg_product_price"))
     g = monthly_growth(df, by).where("is_latest").select(*by, "revenue_mom", "revenue_trend")
     t = top_products(df, 1, by).select(*by, F.col("Description").alias("top_product_name"),
                                        F.col("total_revenue").alias("top_product_revenue"))
@@ -42,8 +46,8 @@ def metrics_row(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                        "avg_customer_value": 0.0})
 
 
-def health_from_metrics(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Scores 0..100 from a metrics row (rules of the studied application):
+def with_health(m: DataFrame) -> DataFrame:
+    """Add the scores 0..100 from a metrics row (rules of the studied application):
 
     revenue 50, +10 if revenue > 10000, +10 if invoices > 100, + min(20, mom) if mom > 0,
     - min(10, |mom|) if mom < 0; customer 50, +20 if customers > 50 else +10 if > 10, +10 if
@@ -63,13 +67,17 @@ def health_from_metrics(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     def clamp(x):
         return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x)).cast(T.DoubleType())
 
-    out = m.select(*by, clamp(r).alias("revenue_health"), clamp(c).alias("customer_health"),
-                   clamp(p).alias("product_health"))
+    out = m.withColumns({"revenue_health": clamp(r), "customer_health": clamp(c), "product_health": clamp(p)})
     overall = dround(F.col("revenue_health") * 0.5 + F.col("customer_health") * 0.3
                      + F.col("product_health") * 0.2, 1)
     return out.withColumn("overall_health", overall)
 
 
+def health_from_metrics(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The scores alone."""
+    return with_health(m).select(*by, "revenue_health", "customer_health", "product_health", "overall_health")
+
+
 def health_scores(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Revenue / customer / product / overall health per business."""
     return health_from_metrics(metrics_row(df, by), by)

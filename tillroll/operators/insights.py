@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.functions.columns import dround, fmt_label
-from tillroll.operators.health import health_from_metrics, metrics_row
+from tillroll.operators.health import metrics_row, with_health
 from tillroll.schema import MIN_INVOICES_FOR_AI
 
 # ---------------------------------------------------------------------------------------
@@ -63,10 +63,8 @@ def health_status(overall: Column) -> Column:
 
 def insight_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Metrics row + health scores + status, one row per business."""
-    m = metrics_row(df, by)
-    h = health_from_metrics(m, by)
-    j = m.crossJoin(h) if not by else m.join(h, on=list(by))
-    return j.withColumn("health_status", health_status(F.col("overall_health")))
+    m = with_health(metrics_row(df, by))
+    return m.withColumn("health_status", health_status(F.col("overall_health")))
 
 
 def _rows(m: DataFrame, by: Sequence[str], items: list[tuple[Column, Column]]) -> DataFrame:
@@ -78,6 +76,10 @@ def _rows(m: DataFrame, by: Sequence[str], items: list[tuple[Column, Column]]) -
 
 def key_insights(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Revenue, customer, product and growth insights whose conditions hold."""
+    return _rows(m, by, _key_insight_rules())
+
+
+def _key_insight_rules() -> list[tuple[Column, Column]]:
     rev, tx = F.col("total_revenue"), F.col("total_transactions")
     avg, best = F.col("avg_transaction_value"), F.coalesce(F.col("best_day"), F.lit("N/A"))
     cust, one = F.col("customer_count"), F.col("one_time_customers")
@@ -112,23 +114,30 @@ def key_insights(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                   F.lit("high"), "revenue", 0.9,
                   F.concat(F.lit("Investigate drivers of "), F.when(up, "growth").otherwise("decline"),
                            F.lit(" and "), F.when(up, "scale").otherwise("address"), F.lit(" accordingly.")))
-    return _rows(m, by, [(avg > 0, revenue), ((one > 0) & (cust > 0), customer),
-                         ((tp > 0) & (top_rev > 0), product), (mom.isNotNull(), growth)])
+    return [(avg > 0, revenue), ((one > 0) & (cust > 0), customer), ((tp > 0) & (top_rev > 0), product), (mom.isNotNull(), growth)]
 
 
 def growth_opportunities(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One-time > 50 % of customers; always bundling; fewer than 50 products."""
+    return _rows(m, by, _opportunity_rules())
+
+
+def _opportunity_rules() -> list[tuple[Column, Column]]:
     def item(t):
         return F.struct(F.lit(t[0]).alias("opportunity"), F.lit(t[1]).alias("potential_impact"),
                         F.lit(t[2]).alias("effort_required"))
     cust, one = F.col("customer_count"), F.col("one_time_customers")
-    return _rows(m, by, [(one > cust * 0.5, item(OPPORTUNITIES[0])), (F.lit(True), item(OPPORTUNITIES[1])),
-                         (F.col("product_rows") < 50, item(OPPORTUNITIES[2]))])
+    return [(one > cust * 0.5, item(OPPORTUNITIES[0])), (F.lit(True), item(OPPORTUNITIES[1])),
+            (F.col("product_rows") < 50, item(OPPORTUNITIES[2]))]
 
 
 def risk_warnings(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """I4: churn (one-time > 70 %), decline (growth < -10 %), concentration (> 40 % in the
     top product)."""
+    return _rows(m, by, _risk_rules())
+
+
+def _risk_rules() -> list[tuple[Column, Column]]:
     def item(risk, sev, mit):
         return F.struct((risk if isinstance(risk, Column) else F.lit(risk)).alias("risk"),
                         F.lit(sev).alias("severity"), F.lit(mit).alias("mitigation"))
@@ -137,9 +146,9 @@ def risk_warnings(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     conc = F.try_divide(top_rev, rev) * 100
     conc_text = F.concat(F.lit("High revenue concentration: Top product represents "), _fixed(conc, 1),
                          F.lit("% of revenue"))
-    return _rows(m, by, [(one > cust * 0.7, item(*RISK_CHURN)),
-                         (F.coalesce(F.col("revenue_mom"), F.lit(0.0)) < -10, item(*RISK_DECLINE)),
-                         ((rev > 0) & (top_rev > 0) & (conc > 40), item(conc_text, "medium", RISK_CONCENTRATION_MITIGATION))])
+    return [(one > cust * 0.7, item(*RISK_CHURN)),
+            (F.coalesce(F.col("revenue_mom"), F.lit(0.0)) < -10, item(*RISK_DECLINE)),
+            ((rev > 0) & (top_rev > 0) & (conc > 40), item(conc_text, "medium", RISK_CONCENTRATION_MITIGATION))]
 
 
 def summary_text(m: DataFrame) -> Column:
@@ -166,18 +175,13 @@ def recommendations(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def assemble(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per business: status, summary, counts of insights / opportunities / risks,
     enough-data flag (>= 10 invoices) and the rule engine used."""
-    k = key_insights(m, by).groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
-    o = growth_opportunities(m, by).groupBy(*by).agg(F.count(F.lit(1)).alias("_o"))
-    r = risk_warnings(m, by).groupBy(*by).agg(F.count(F.lit(1)).alias("_r"))
-    base = m.select(*by, "health_status", "overall_health", summary_text(m).alias("executive_summary"),
-                    (F.col("total_transactions") >= MIN_INVOICES_FOR_AI).alias("enough_data"))
-    for part in (k, o, r):
-        base = base.join(part, on=list(by), how="left") if by else base.crossJoin(part)
-    return base.select(*by, "health_status", "overall_health", "executive_summary",
-                       F.coalesce(F.col("_k"), F.lit(0)).cast("bigint").alias("insight_count"),
-                       F.coalesce(F.col("_o"), F.lit(0)).cast("bigint").alias("opportunity_count"),
-                       F.coalesce(F.col("_r"), F.lit(0)).cast("bigint").alias("risk_count"),
-                       "enough_data", F.lit("rules").alias("engine"))
+    def count(items: list[tuple[Column, Column]]) -> Column:
+        return F.size(F.filter(F.array(*[F.coalesce(cond, F.lit(False)) for cond, _ in items]), lambda holds: holds)).cast("bigint")
+
+    return m.select(*by, "health_status", "overall_health", summary_text(m).alias("executive_summary"),
+                    count(_key_insight_rules()).alias("insight_count"), count(_opportunity_rules()).alias("opportunity_count"),
+                    count(_risk_rules()).alias("risk_count"),
+                    (F.col("total_transactions") >= MIN_INVOICES_FOR_AI).alias("enough_data"), F.lit("rules").alias("engine"))
 
 
 def prompt_text(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.functions.columns import dround, money, ratio
-from tillroll.operators.kpi import daily_raw, product_performance_raw
+from tillroll.operators.kpi import daily_raw, monthly_raw, product_performance_raw
 from tillroll.plans.prefix import running_total
 from tillroll.schema import PARETO_SHARE
 
@@ -43,7 +43,7 @@ def monthly_growth(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     the trend is 'stable'. The first month has no growth and no trend. ``is_latest`` marks
     the headline month of each group.
     """
-    m = (df.groupBy(*by, "Year", "Month").agg(F.round(F.sum("Revenue"), 2).alias("_rev")))
+    m = monthly_raw(df, by).withColumn("_rev", F.round("_rev", 2))
     w = Window.partitionBy(*by).orderBy("Year", "Month")
     prev = F.lag("_rev").over(w)
     x = m.withColumn("_prev", prev).withColumn("_k", F.row_number().over(w)) \

@@ -1,8 +1,8 @@
 """Every KPI section as one long table ``(by..., section, metric, key, value, text)``.
 
-Sections are computed from the same (ideally persisted) cleaned frame and unioned; each
-becomes rows with ``inline`` over an array of structs, so there is no driver loop over
-metrics. An empty input gives a single status row 'No data available'.
+Sections read the stored aggregates of the cleaned rows (:mod:`tillroll.plans.grains`: two passes over the
+rows, whatever the number of sections) and are unioned; each becomes rows with ``inline`` over an array of
+structs, so there is no driver loop over metrics. An empty input gives a single status row 'No data available'.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from tillroll.operators import kpi as K
 from tillroll.operators import topk as T
 from tillroll.operators.health import health_scores
 from tillroll.operators.windows import monthly_growth
+from tillroll.plans.grains import Grains
 
 # (section, group, source, key column, numeric metrics, text metrics)
 SPEC: list[tuple[str, str | None, str, str | None, list[str], list[str]]] = [
@@ -66,10 +67,11 @@ SOURCES: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {
 }
 
 
-def long_metrics(df: DataFrame, by: Sequence[str] = (), health: DataFrame | None = None) -> DataFrame:
-    """All sections as rows; ``df`` should be persisted by the caller (it is read by
-    every section). ``health`` may pass health scores already computed for these rows."""
+def long_metrics(df: DataFrame | Grains, by: Sequence[str] = (), health: DataFrame | None = None) -> DataFrame:
+    """All sections as rows. ``df`` is a cleaned table or its stored aggregates; ``health`` may pass
+    health scores already computed for these rows."""
     by = list(by)
+    df = df if isinstance(df, Grains) else Grains(df, by)
     parts = []
     for section, group, source, key, values, texts in SPEC:
         src = health if (source == "health" and health is not None) else SOURCES[source](df, by)
@@ -81,8 +83,7 @@ def long_metrics(df: DataFrame, by: Sequence[str] = (), health: DataFrame | None
                            k.alias("key"), F.lit(None).cast("double").alias("value"),
                            F.col(m).cast("string").alias("text")) for m in texts]
         parts.append(src.select(*by, F.inline(F.array(*items))))
-    empty = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else df.agg(F.count(F.lit(1)).alias("_n"))) \
-        .where(F.col("_n") == 0) \
+    empty = df.totals().where(F.col("_start").isNull() & F.col("_rev").isNull() & (F.col("total_transactions") == 0)) \
         .select(*by, F.lit("_metadata").alias("section"), F.lit("error").alias("metric"), F.lit("").alias("key"),
                 F.lit(None).cast("double").alias("value"), F.lit("No data available").alias("text"))
     return reduce(DataFrame.unionByName, parts + [empty])

@@ -27,9 +27,9 @@ SKETCH_ACCURACY = 10_000  # least accuracy of the slice boundaries; four times t
 
 def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
                 names: Sequence[str] | None = None, accuracy: int | None = None,
-                slices: int | None = None) -> DataFrame:
+                slices: int | None = None, weight: str | None = None) -> DataFrame:
     """One row per ``by`` group (a null key is a group) with one DOUBLE column per probability. Nulls
-    in ``col`` do not count; without ``by`` there is always one row, of NULLs if there are no values."""
+    in ``col`` do not count; ``weight`` names a column that tells how often a row counts; without ``by`` there is always one row, of NULLs if there are no values."""
     by = list(by)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     v = F.col(col).cast("double")
@@ -38,7 +38,8 @@ def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[st
         r = df.groupBy(*by).agg(F.percentile_approx(v, parr, F.lit(accuracy)).alias("_p"))
         return r.select(*by, *[F.col("_p")[i].cast("double").alias(n) for i, n in enumerate(names)])
 
-    freq = df.where(v.isNotNull()).groupBy(*by, v.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    freq = df.where(v.isNotNull()).groupBy(*by, v.alias("_x")).agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     sliced = with_slices(freq, slices or shuffle_partitions(df.sparkSession))
 
     totals = sliced.groupBy(*by, "_s").agg(F.sum("_n").alias("_t"))
