@@ -146,3 +146,43 @@ def test_prices_below_a_cent_stay(spark):
     assert report == {"invalid_prices": 4, "total_removed": 4}
     three = C.return_rate(C.clean(raw.where("InvoiceNo in ('I0', 'I1', 'I3')"))).first()
     assert three.gross_sales == 1013.9
+
+
+def test_dates_by_shape(spark):
+    texts = {"2010/12/1 8:26": "2010-12-01 08:26:00", "20101201": "2010-12-01 00:00:00", "1/12/10 8:26": "2010-12-01 08:26:00",
+             "12/25/2010": "2010-12-25 00:00:00", "25.12.2010 8:26 pm": "2010-12-25 20:26:00", "1 Dec 2010 08:26": "2010-12-01 08:26:00",
+             "1-December-69": "1969-12-01 00:00:00", "Dec 1, 2010 8:26": "2010-12-01 08:26:00", "2010-12-01T08:26:00Z": "2010-12-01 08:26:00",
+             "2010-12-01 08:26:00 -0530": "2010-12-01 13:56:00", "13.13.2010": None, "30/02/2010": None, "2010-12": None, "": None,
+             "1 Foo 2010": None, "01/02/2010 25:00": None}
+    got = C.cast_types(spark.createDataFrame([(t, t) for t in texts], "InvoiceDate string, t string")).collect()
+    assert {r.t: r.InvoiceDate and str(r.InvoiceDate) for r in got} == texts
+
+
+def test_out_of_range_has_its_own_reason(spark):
+    raw = spark.createDataFrame([("I1", "S", "d", "1e15", "01/02/2023", "1.5", "C", "UK"), ("I2", "S", "d", "0.0004", "01/02/2023", "1000", "C", "UK"),
+                                 ("I3", "S", "d", "9e11", "01/02/2023", "9e14", "C", "UK")], RAW_TEXT_SCHEMA)
+    assert {r.reason: r.removed for r in C.removal_report(C.prepare(raw)).collect()} == {"out_of_range": 2, "total_removed": 2}
+    assert [(r.InvoiceNo, float(r.Revenue)) for r in C.clean(raw).collect()] == [("I2", 0.4)]
+
+
+def test_hot_invoice_minute(spark):
+    """A third of all rows in one (invoice, minute): flags as by a window, and the rows of the pair are spread in the join."""
+    data = [("hot", f"S{i}", "2023-01-01 10:00") for i in range(2000)]
+    data += [(f"I{i % 900}", f"S{i}", f"2023-01-01 10:{i % 4:02d}") for i in range(4000)] + [(None, "S", "2023-01-01 10:00")] * 9
+    df = spark.createDataFrame(data, "InvoiceNo string, StockCode string, t string").withColumn(
+        "InvoiceDate", F.to_timestamp("t").cast("timestamp_ntz"))
+    got = C.suspicious(df)
+    want = {}
+    for i, _, t in data:
+        want[i, t] = want.get((i, t), 0) + 1
+    flagged = sorted((i, t) for (i, t), n in want.items() if i and n > 3)
+    assert sorted((r.InvoiceNo, r.t) for r in got.where("NeedsReview").select("InvoiceNo", "t").distinct().collect()) == flagged
+    assert got.count() == len(data) and got.where("NeedsReview").count() == sum(want[k] for k in flagged)
+
+
+def test_clean_reads_its_profile_per_group(spark):
+    raw = spark.createDataFrame([(g, f"I{i}", "S", "d", "1", "01/01/2023", "1", "C", c) for g, cs in
+                                 {"a": ["x", "x", None], "b": ["y", "y", "z", None], None: [None]}.items() for i, c in enumerate(cs)],
+                                "g string, " + ", ".join(f"{c} string" for c in RAW_TEXT_SCHEMA.names))
+    got = {(r.g, r.InvoiceNo): r.Country for r in C.clean(raw, ["g"]).collect()}
+    assert got["a", "I2"] == "X" and got["b", "I3"] == "Y" and got[None, "I0"] == "Unknown"

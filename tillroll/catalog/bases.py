@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.operators import clean as C
-from tillroll.sources.fixtures import CENTS, DIRTY_SQL, SALES_KEYED_SQL, SALES_SQL, dirty, sales
+from tillroll.sources.fixtures import DIRTY_SQL, SALES_KEYED_SQL, SALES_SQL, dirty, sales
 
 
 def tx(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,16 +41,11 @@ def output(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def cents(df: DataFrame) -> DataFrame:
-    """Prices as the fixtures and the SQL side have them, rounded here only."""
-    return df.withColumn("UnitPrice", F.col("UnitPrice").cast(CENTS))
-
-
 # ------------------------------------------------------------------------------- SQL
 def derive_sql(src: str, name: str) -> str:
     """C8 + C10 over ``src`` as CTE ``name``."""
     return f"""{name}_v AS (
-  SELECT *, CAST(Quantity AS DECIMAL(18,3)) * CAST(UnitPrice AS DECIMAL(18,2)) AS TransactionValue FROM {src}),
+  SELECT *, CAST(CAST(Quantity AS DECIMAL(20,6)) * CAST(UnitPrice AS DECIMAL(18,6)) AS DECIMAL(38,6)) AS TransactionValue FROM {src}),
 {name} AS (
   SELECT *, Quantity < 0 AS IsReturn,
     CASE WHEN Quantity > 0 THEN TransactionValue ELSE 0 END AS SalesRevenue,
@@ -68,7 +63,11 @@ def derive_sql(src: str, name: str) -> str:
 TITLE_SQL = ("array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), "
              "lambda r: upper(r[1]) || lower(r[2:])), '')")
 STRIP_SQL = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-DATE_FORMATS_SQL = "['%d/%m/%Y %H:%M', '%d/%m/%Y %H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d', '%d/%m/%Y']"
+DATE_FORMATS_SQL = ("['%d/%m/%Y %H:%M', '%d/%m/%Y %H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d', '%d/%m/%Y', "
+                    "'%Y/%m/%d %H:%M', '%d %b %Y %H:%M', '%Y-%m-%dT%H:%M:%SZ']")
+
+# The limits beyond which rows are removed under their own reason.
+IN_RANGE_SQL = "(abs(Quantity) < 1e12 AND abs(Quantity) * CAST(UnitPrice AS DOUBLE) < 1e20)"
 
 PREPARED_SQL = f"""{DIRTY_SQL},
 c_mode AS (
@@ -84,7 +83,7 @@ prepared AS (
   SELECT InvoiceNo, StockCode, Description,
     coalesce(try_cast(Quantity AS DOUBLE), 0.0) AS Quantity,
     try_strptime(InvoiceDate, {DATE_FORMATS_SQL}) AS InvoiceDate,
-    CAST(coalesce(try_cast(UnitPrice AS DECIMAL(18,2)), 0) AS DECIMAL(18,2)) AS UnitPrice,
+    coalesce(try_cast(UnitPrice AS DECIMAL(22,6)), 0) AS UnitPrice,
     CustomerID, Country
   FROM c_filled)"""
 
@@ -94,7 +93,7 @@ valid AS (
     Quantity, InvoiceDate, UnitPrice, CustomerID,
     {TITLE_SQL.format(x=STRIP_SQL.format(x='Country'))} AS Country
   FROM prepared
-  WHERE InvoiceDate IS NOT NULL AND UnitPrice > 0 AND Quantity <> 0)"""
+  WHERE InvoiceDate IS NOT NULL AND UnitPrice > 0 AND Quantity <> 0 AND {IN_RANGE_SQL})"""
 
 CLEANED_SQL = f"""{VALID_SQL},
 c_q99 AS (SELECT quantile_cont(Quantity, 0.99) AS q99q, quantile_cont(CAST(UnitPrice AS DOUBLE), 0.99) AS q99p FROM valid),
@@ -132,3 +131,26 @@ def sql(base: str, body: str, ctes: str = "") -> str:
     parts = [p for p in (BASES[base], ctes.strip().rstrip(",")) if p]
     head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
     return head + body.strip()
+
+
+def keyed_sql(ctes: str) -> str:
+    """The CTEs of a base over the ``dirty`` table with a ``Region`` column, every step per region."""
+    pairs = [
+        ("n.n_name END AS Country", "n.n_name END AS Country, r.r_name AS Region"),
+        ("JOIN part p ON l.l_partkey = p.p_partkey),\ndirty AS", "JOIN part p ON l.l_partkey = p.p_partkey JOIN region r ON n.n_regionkey = r.r_regionkey),\ndirty AS"),
+        ("CustomerID, Country FROM dirty_base", "CustomerID, Country, Region FROM dirty_base"),
+        ("""  SELECT Country AS m FROM dirty WHERE Country IS NOT NULL
+  GROUP BY Country ORDER BY count(*) DESC, Country LIMIT 1),""",
+         """  SELECT Region, Country AS m FROM dirty WHERE Country IS NOT NULL
+  GROUP BY Region, Country QUALIFY row_number() OVER (PARTITION BY Region ORDER BY count(*) DESC, Country) = 1),"""),
+        ("coalesce(Country, (SELECT m FROM c_mode), 'Unknown') AS Country\n  FROM dirty)",
+         "coalesce(Country, m, 'Unknown') AS Country, Region\n  FROM dirty LEFT JOIN c_mode USING (Region))"),
+        ("CustomerID, Country\n  FROM c_filled", "CustomerID, Country, Region\n  FROM c_filled"),
+        ("AS Country\n  FROM prepared", "AS Country, Region\n  FROM prepared"),
+        ("c_q99 AS (SELECT quantile_cont", "c_q99 AS (SELECT Region, quantile_cont"), ("AS q99p FROM valid)", "AS q99p FROM valid GROUP BY Region)"),
+        ("FROM c_der x CROSS JOIN c_q99 q", "FROM c_der x JOIN c_q99 q USING (Region)"),
+        ("PARTITION BY InvoiceNo,", "PARTITION BY Region, InvoiceNo,"),
+    ]
+    for a, b in pairs:
+        ctes = ctes.replace(a, b)
+    return ctes

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.catalog import register
-from tillroll.catalog.bases import STRIP_SQL, cents, cleaned, derive_sql, output, sql, tx
+from tillroll.catalog.bases import BASES, IN_RANGE_SQL, STRIP_SQL, cleaned, derive_sql, keyed_sql, output, sql, tx
 from tillroll.operators import clean as C
 from tillroll.operators import kpi as K
 from tillroll.operators import validate as V
@@ -45,22 +45,23 @@ SELECT * FROM (
 WHERE filled > 0"""))
 
 # C4
-register("clean_cast", lambda s, d: cents(C.prepare(dirty(s, d))), sql("prepared", "SELECT * FROM prepared"))
+PREPARED_COLS_SQL = "* REPLACE (CAST(UnitPrice AS DOUBLE) AS UnitPrice)"
+register("clean_cast", lambda s, d: output(C.prepare(dirty(s, d))), sql("prepared", f"SELECT {PREPARED_COLS_SQL} FROM prepared"))
 
 # C5
-register("clean_filter_invalid", lambda s, d: cents(C.filter_invalid(C.prepare(dirty(s, d)))), sql("prepared", """
-SELECT * FROM prepared WHERE InvoiceDate IS NOT NULL AND UnitPrice > 0 AND Quantity <> 0"""))
+register("clean_filter_invalid", lambda s, d: output(C.filter_invalid(C.prepare(dirty(s, d)))), sql("prepared", f"""
+SELECT {PREPARED_COLS_SQL} FROM prepared WHERE InvoiceDate IS NOT NULL AND UnitPrice > 0 AND Quantity <> 0 AND {IN_RANGE_SQL}"""))
 
 # C6
-register("clean_removal_report", lambda s, d: C.removal_report(C.prepare(dirty(s, d))), sql("prepared", """
+register("clean_removal_report", lambda s, d: C.removal_report(C.prepare(dirty(s, d))), sql("prepared", f"""
 SELECT reason, removed FROM (
   SELECT CASE WHEN InvoiceDate IS NULL THEN 'invalid_dates' WHEN UnitPrice <= 0 THEN 'invalid_prices'
-              WHEN Quantity = 0 THEN 'zero_quantity' END AS reason, count(*) AS removed
+              WHEN Quantity = 0 THEN 'zero_quantity' WHEN NOT {IN_RANGE_SQL} THEN 'out_of_range' END AS reason, count(*) AS removed
   FROM prepared GROUP BY 1) t
 WHERE reason IS NOT NULL AND removed > 0
 UNION ALL
 SELECT 'total_removed', count(*) FROM prepared
-WHERE InvoiceDate IS NULL OR UnitPrice <= 0 OR Quantity = 0"""))
+WHERE InvoiceDate IS NULL OR UnitPrice <= 0 OR Quantity = 0 OR NOT {IN_RANGE_SQL}"""))
 
 # C7
 register("clean_text", lambda s, d: C.valid_rows(dirty(s, d)).select("InvoiceNo", "StockCode", "Description", "Country"),
@@ -113,7 +114,7 @@ SELECT x.InvoiceNo, x.StockCode, x.Quantity, CAST(x.UnitPrice AS DOUBLE) AS Unit
 FROM valid x CROSS JOIN c_q99 q"""))
 
 # C13
-register("clean_dedup", lambda s, d: cents(C.dedup(C.valid_rows(dirty(s, d)))), sql("cleaned", "SELECT * FROM c_dedup"))
+register("clean_dedup", lambda s, d: output(C.dedup(C.valid_rows(dirty(s, d)))), sql("cleaned", f"SELECT {PREPARED_COLS_SQL} FROM c_dedup"))
 
 # C14
 register("clean_multi_entries", lambda s, d: C.multi_entries(C.dedup(C.valid_rows(dirty(s, d)))), sql("cleaned", """
@@ -132,37 +133,53 @@ FROM c_dedup"""))
 # C16
 from tillroll.plans.report import clean_report  # noqa: E402
 
-register("clean_report", lambda s, d: clean_report(dirty(s, d)), sql("cleaned", """
-SELECT step, stat, value FROM (
-  SELECT 'missing_value_handling' AS step, 'CustomerID_filled' AS stat, CAST(count(*) FILTER (WHERE CustomerID IS NULL) AS DOUBLE) AS value FROM dirty
-  UNION ALL SELECT 'missing_value_handling', 'Description_filled', count(*) FILTER (WHERE Description IS NULL) FROM dirty
-  UNION ALL SELECT 'missing_value_handling', 'Country_filled', count(*) FILTER (WHERE Country IS NULL) FROM dirty
-  UNION ALL SELECT 'missing_value_handling', 'Quantity_filled', count(*) FILTER (WHERE Quantity IS NULL) FROM dirty
-  UNION ALL SELECT 'missing_value_handling', 'UnitPrice_filled', count(*) FILTER (WHERE UnitPrice IS NULL) FROM dirty
-  UNION ALL SELECT 'type_conversion', 'invalid_dates_found', count(*) FILTER (WHERE InvoiceDate IS NULL) FROM prepared
-  UNION ALL SELECT 'invalid_row_removal', 'invalid_dates', count(*) FILTER (WHERE InvoiceDate IS NULL) FROM prepared
-  UNION ALL SELECT 'invalid_row_removal', 'invalid_prices', count(*) FILTER (WHERE InvoiceDate IS NOT NULL AND UnitPrice <= 0) FROM prepared
-  UNION ALL SELECT 'invalid_row_removal', 'zero_quantity', count(*) FILTER (WHERE InvoiceDate IS NOT NULL AND UnitPrice > 0 AND Quantity = 0) FROM prepared
-  UNION ALL SELECT 'duplicate_removal', 'exact_duplicates_removed', (SELECT count(*) FROM valid) - (SELECT count(*) FROM c_dedup)
-  UNION ALL SELECT 'duplicate_removal', 'legitimate_multiple_entries', count(*) FROM (SELECT 1 FROM c_dedup GROUP BY InvoiceNo, StockCode HAVING count(*) > 1) t
-  UNION ALL SELECT 'duplicate_removal', 'total_multiple_entry_rows', coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM c_dedup GROUP BY InvoiceNo, StockCode HAVING count(*) > 1) t
-  UNION ALL SELECT 'duplicate_removal', 'suspicious_transactions_for_review', count(*) FILTER (WHERE NeedsReview) FROM cleaned
-) t WHERE value > 0
-UNION ALL SELECT 'invalid_row_removal', 'total_removed', CAST((SELECT count(*) FROM prepared) - (SELECT count(*) FROM valid) AS DOUBLE)
-UNION ALL SELECT 'derived_columns', 'gross_sales', CAST(round(sum(SalesRevenue), 2) AS DOUBLE) FROM vd
-UNION ALL SELECT 'derived_columns', 'total_returns', CAST(round(sum(ReturnsValue), 2) AS DOUBLE) FROM vd
-UNION ALL SELECT 'derived_columns', 'net_revenue', CAST(round(sum(SalesRevenue) - sum(ReturnsValue), 2) AS DOUBLE) FROM vd
-UNION ALL SELECT 'derived_columns', 'return_rate', CAST(round(coalesce(CASE WHEN sum(SalesRevenue) > 0 THEN sum(ReturnsValue) / sum(SalesRevenue) * 100 END, 0), 2) AS DOUBLE) FROM vd
-UNION ALL SELECT 'duplicate_removal', 'final_rows', CAST(count(*) AS DOUBLE) FROM cleaned
-UNION ALL SELECT 'duplicate_removal', 'rows_removed', CAST((SELECT count(*) FROM valid) - (SELECT count(*) FROM cleaned) AS DOUBLE)
-UNION ALL SELECT 'duplicate_removal', 'removal_rate', round(CAST((SELECT count(*) FROM valid) - (SELECT count(*) FROM cleaned) AS DOUBLE) / (SELECT count(*) FROM valid) * 100, 2)
-UNION ALL SELECT 'summary', 'original_rows', CAST(count(*) AS DOUBLE) FROM dirty
-UNION ALL SELECT 'summary', 'original_columns', 8.0
-UNION ALL SELECT 'summary', 'final_rows', CAST(count(*) AS DOUBLE) FROM cleaned
-UNION ALL SELECT 'summary', 'final_columns', 26.0
-UNION ALL SELECT 'summary', 'rows_removed', CAST((SELECT count(*) FROM dirty) - (SELECT count(*) FROM cleaned) AS DOUBLE)
-UNION ALL SELECT 'summary', 'rows_removed_percentage', round((1 - CAST((SELECT count(*) FROM cleaned) AS DOUBLE) / (SELECT count(*) FROM dirty)) * 100, 2)
-""", ctes=derive_sql("valid", "vd")))
+
+
+def report_sql(key: str | None = None) -> str:
+    """The report from the stages of the chain, for all rows or per ``key``."""
+    k, g, using = (f"{key}, ", f" GROUP BY {key}", f" JOIN {{}} USING ({key})") if key else ("", "", " CROSS JOIN {}")
+    stat = lambda step, name: f"SELECT {k}'{step}' AS step, '{name}' AS stat, CAST({name} AS DOUBLE) AS value FROM w"
+    counted = ([("missing_value_handling", f"{c}_filled") for c in ("CustomerID", "Description", "Country", "Quantity", "UnitPrice")]
+               + [("type_conversion", "invalid_dates_found")]
+               + [("invalid_row_removal", r) for r in ("invalid_dates", "invalid_prices", "zero_quantity", "out_of_range")]
+               + [("duplicate_removal", r) for r in ("exact_duplicates_removed", "legitimate_multiple_entries", "total_multiple_entry_rows",
+                                                     "suspicious_transactions_for_review")])
+    always = [("invalid_row_removal", "total_removed"), ("derived_columns", "gross_sales"), ("derived_columns", "total_returns"),
+              ("derived_columns", "net_revenue"), ("derived_columns", "return_rate"), ("duplicate_removal", "final_rows"),
+              ("duplicate_removal", "rows_removed"), ("duplicate_removal", "removal_rate"), ("summary", "original_rows"),
+              ("summary", "original_columns"), ("summary", "final_columns"), ("summary", "rows_removed_percentage")]
+    return f"""
+a AS (SELECT {k}count(*) AS original_rows, count(*) FILTER (WHERE CustomerID IS NULL) AS CustomerID_filled,
+  count(*) FILTER (WHERE Description IS NULL) AS Description_filled, count(*) FILTER (WHERE Country IS NULL) AS Country_filled,
+  count(*) FILTER (WHERE Quantity IS NULL) AS Quantity_filled, count(*) FILTER (WHERE UnitPrice IS NULL) AS UnitPrice_filled
+  FROM dirty{g}),
+b AS (SELECT {k}count(*) FILTER (WHERE InvoiceDate IS NULL) AS invalid_dates_found, count(*) FILTER (WHERE InvoiceDate IS NULL) AS invalid_dates,
+  count(*) FILTER (WHERE InvoiceDate IS NOT NULL AND UnitPrice <= 0) AS invalid_prices,
+  count(*) FILTER (WHERE InvoiceDate IS NOT NULL AND UnitPrice > 0 AND Quantity = 0) AS zero_quantity,
+  count(*) FILTER (WHERE InvoiceDate IS NOT NULL AND UnitPrice > 0 AND Quantity <> 0 AND NOT {IN_RANGE_SQL}) AS out_of_range
+  FROM prepared{g}),
+v AS (SELECT {k}count(*) AS valid_rows, CAST(round(sum(SalesRevenue), 2) AS DOUBLE) AS gross_sales,
+  CAST(round(sum(ReturnsValue), 2) AS DOUBLE) AS total_returns, CAST(round(sum(SalesRevenue) - sum(ReturnsValue), 2) AS DOUBLE) AS net_revenue,
+  round(coalesce(CASE WHEN sum(SalesRevenue) > 0 THEN CAST(sum(ReturnsValue) AS DOUBLE) / CAST(sum(SalesRevenue) AS DOUBLE) * 100 END, 0), 2) AS return_rate
+  FROM vd{g}),
+m AS (SELECT {k}count(*) FILTER (WHERE n > 1) AS legitimate_multiple_entries, coalesce(sum(n) FILTER (WHERE n > 1), 0) AS total_multiple_entry_rows
+  FROM (SELECT {k}count(*) AS n FROM c_dedup GROUP BY {k}InvoiceNo, StockCode) t{g}),
+f AS (SELECT {k}count(*) AS final_rows, count(*) FILTER (WHERE NeedsReview) AS suspicious_transactions_for_review FROM cleaned{g}),
+w AS (SELECT *, valid_rows - final_rows AS exact_duplicates_removed, valid_rows - final_rows AS rows_removed,
+  original_rows - valid_rows AS total_removed, round(CAST(valid_rows - final_rows AS DOUBLE) / valid_rows * 100, 2) AS removal_rate,
+  8 AS original_columns, 26 AS final_columns, original_rows - final_rows AS all_removed,
+  round((1 - CAST(final_rows AS DOUBLE) / original_rows) * 100, 2) AS rows_removed_percentage
+  FROM a{using.format("b")}{using.format("v")}{using.format("m")}{using.format("f")})
+SELECT * FROM ({" UNION ALL ".join(stat(*c) for c in counted)}) t WHERE value > 0
+UNION ALL {" UNION ALL ".join(stat(*c) for c in always)}
+UNION ALL SELECT {k}'summary', 'final_rows', CAST(final_rows AS DOUBLE) FROM w
+UNION ALL SELECT {k}'summary', 'rows_removed', CAST(all_removed AS DOUBLE) FROM w"""
+
+
+register("clean_report", lambda s, d: clean_report(dirty(s, d)),
+         f"WITH {BASES['cleaned']},\n{derive_sql('valid', 'vd')},{report_sql()}")
+register("clean_report_by_region", lambda s, d: clean_report(dirty(s, d, keyed=True), ["Region"]),
+         f"WITH {keyed_sql(BASES['cleaned'])},\n{derive_sql('valid', 'vd')},{report_sql('Region')}")
 
 # C17
 register("clean_chain", lambda s, d: output(cleaned(s, d)), sql("cleaned", f"SELECT {CLEAN_COLS_SQL} FROM cleaned"))
@@ -253,7 +270,7 @@ register("val_negative_price",
          lambda s, d: V.checks(dirty(s, d)).select(F.col("UnitPrice_negative").cast("bigint").alias("negative_price")),
          sql("dirty", "SELECT p_neg AS negative_price FROM chk", ctes=CHECKS_SQL))
 
-register("val_report", lambda s, d: V.report(dirty(s, d)), sql("dirty", """
+VAL_REPORT_SQL = """
 SELECT 'error' AS level, 'empty' AS code, CAST(0 AS BIGINT) AS count, 'File contains no data' AS message FROM chk WHERE n = 0
 UNION ALL SELECT 'error', 'Quantity_all_null', n, 'Column ''Quantity'' is completely empty' FROM chk WHERE n > 0 AND q_present = 0
 UNION ALL SELECT 'warning', 'Quantity_non_numeric', q_nonnum, 'Column ''Quantity'' is not numeric type' FROM chk WHERE n > 0 AND q_present > 0 AND q_nonnum > 0
@@ -262,8 +279,14 @@ UNION ALL SELECT 'warning', 'UnitPrice_non_numeric', p_nonnum, 'Column ''UnitPri
 UNION ALL SELECT 'error', 'InvoiceDate_all_null', n, 'InvoiceDate column is completely empty' FROM chk WHERE n > 0 AND d_present = 0
 UNION ALL SELECT 'warning', 'duplicate_rows', CAST(duplicate_rows AS BIGINT), printf('Found %d duplicate rows', CAST(duplicate_rows AS BIGINT)) FROM chk, dup WHERE n > 0 AND duplicate_rows > 0
 UNION ALL SELECT 'warning', 'negative_quantity', q_neg, printf('Found %d rows with negative quantities', q_neg) FROM chk WHERE n > 0 AND q_neg > 0
-UNION ALL SELECT 'error', 'negative_price', p_neg, printf('Found %d rows with negative prices', p_neg) FROM chk WHERE n > 0 AND p_neg > 0""",
-                                                                         ctes=CHECKS_SQL))
+UNION ALL SELECT 'error', 'negative_price', p_neg, printf('Found %d rows with negative prices', p_neg) FROM chk WHERE n > 0 AND p_neg > 0"""
+
+register("val_report", lambda s, d: V.report(dirty(s, d)), sql("dirty", VAL_REPORT_SQL, ctes=CHECKS_SQL))
+register("val_report_by_region", lambda s, d: V.report(dirty(s, d, keyed=True), by=["Region"]),
+         f"WITH {keyed_sql(BASES['dirty'])},\n" + CHECKS_SQL.replace("SELECT count(*) AS n,", "SELECT Region, count(*) AS n,").replace("FROM dirty),", "FROM dirty GROUP BY Region),")
+         .replace("dup AS (SELECT coalesce", "dup AS (SELECT Region, coalesce").replace("FROM (SELECT count(*) AS n FROM dirty GROUP BY", "FROM (SELECT Region, count(*) AS n FROM dirty GROUP BY Region,")
+         .replace("Country) t)", "Country) t GROUP BY Region)")
+         + VAL_REPORT_SQL.replace("SELECT '", "SELECT Region, '").replace("FROM chk, dup", "FROM chk JOIN dup USING (Region)"))
 
 EMAIL_SQL = r"'^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$'"
 

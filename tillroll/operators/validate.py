@@ -28,8 +28,8 @@ def _num(col: str) -> Column:
     return F.col(col).try_cast(T.DoubleType())
 
 
-def checks(df: DataFrame) -> DataFrame:
-    """V1, V3-V7 in one aggregate: one row of counts."""
+def checks(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """V1, V3-V7 in one aggregate: one row of counts per ``by`` group."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for c in NUMERIC_COLUMNS:
         if c in df.columns:
@@ -38,64 +38,76 @@ def checks(df: DataFrame) -> DataFrame:
                      F.count_if(_num(c) < 0).alias(f"{c}_negative")]
     if "InvoiceDate" in df.columns:
         aggs.append(F.count(F.col("InvoiceDate")).alias("InvoiceDate_present"))
-    return df.agg(*aggs)
+    return df.groupBy(*by).agg(*aggs)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """V5: repeated full rows = rows - distinct rows (copies collapse map-side)."""
     per = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return per.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    return per.groupBy(*by).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def report(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
-    """V8: every failing check as (level, code, count, message); ``is_valid`` = no error.
+def report(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS, by: Sequence[str] = ()) -> DataFrame:
+    """V8: every failing check as (by..., level, code, count, message); a group is valid if it has no error.
 
     Level 'error': empty table, missing columns, all-null numeric/date column, negative
     price. Level 'warning': non-numeric values, duplicate rows, negative quantities.
-    An empty table reports only 'empty', like the studied validator.
+    An empty table reports only 'empty', like the studied validator; a group always has rows. All checks are columns
+    of one row per group, which ``inline`` turns into rows: the input is read once for the checks and once for the
+    duplicates.
     """
-    spark = df.sparkSession
-    c = checks(df).crossJoin(duplicate_rows(df))
+    by = list(by)
+    c, dup = checks(df, by), duplicate_rows(df, by)
+    if by:
+        dup = dup.select(*[F.col(k).alias(f"_{k}") for k in by], "duplicate_rows")
+        cond = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
+        c = c.join(dup, cond, "left").drop(*[f"_{k}" for k in by])
+    else:
+        c = c.crossJoin(F.broadcast(dup))
     missing = [m for m in required if m not in df.columns]
-    rows = []
+    items = []
 
-    def row(level: str, code: str, count: Column, message: Column, cond: Column) -> DataFrame:
-        return c.where(cond).select(F.lit(level).alias("level"), F.lit(code).alias("code"),
-                                    count.cast("bigint").alias("count"), message.alias("message"))
+    def item(level: str, code: str, count: Column, message: Column, cond: Column) -> None:
+        items.append(F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"),
+                                           count.cast("bigint").alias("count"), message.alias("message"))))
 
-    empty = F.col("rows") == 0
-    nonempty = ~empty
-    rows.append(row("error", "empty", F.lit(0), F.lit("File contains no data"), empty))
+    def found(what: str, column: str) -> Column:
+        return F.format_string(f"Found %d {what}", F.col(column))
+
+    some = F.col("rows") > 0
+    item("error", "empty", F.lit(0), F.lit("File contains no data"), ~some)
     if missing:
         msg = "Missing required columns: [" + ", ".join(f"'{m}'" for m in sorted(missing)) + "]"
-        rows.append(row("error", "missing_columns", F.lit(len(missing)), F.lit(msg), nonempty))
+        item("error", "missing_columns", F.lit(len(missing)), F.lit(msg), some)
     for col in NUMERIC_COLUMNS:
         if col in df.columns:
-            rows.append(row("error", f"{col}_all_null", F.col("rows"),
-                            F.lit(f"Column '{col}' is completely empty"), nonempty & (F.col(f"{col}_present") == 0)))
-            rows.append(row("warning", f"{col}_non_numeric", F.col(f"{col}_non_numeric"),
-                            F.lit(f"Column '{col}' is not numeric type"),
-                            nonempty & (F.col(f"{col}_present") > 0) & (F.col(f"{col}_non_numeric") > 0)))
+            present = F.col(f"{col}_present") > 0
+            item("error", f"{col}_all_null", F.col("rows"), F.lit(f"Column '{col}' is completely empty"), some & ~present)
+            item("warning", f"{col}_non_numeric", F.col(f"{col}_non_numeric"), F.lit(f"Column '{col}' is not numeric type"),
+                 some & present & (F.col(f"{col}_non_numeric") > 0))
     if "InvoiceDate" in df.columns:
-        rows.append(row("error", "InvoiceDate_all_null", F.col("rows"),
-                        F.lit("InvoiceDate column is completely empty"), nonempty & (F.col("InvoiceDate_present") == 0)))
-    rows.append(row("warning", "duplicate_rows", F.col("duplicate_rows"),
-                    F.format_string("Found %d duplicate rows", F.col("duplicate_rows")),
-                    nonempty & (F.col("duplicate_rows") > 0)))
+        item("error", "InvoiceDate_all_null", F.col("rows"), F.lit("InvoiceDate column is completely empty"),
+             some & (F.col("InvoiceDate_present") == 0))
+    item("warning", "duplicate_rows", F.col("duplicate_rows"), found("duplicate rows", "duplicate_rows"),
+         some & (F.col("duplicate_rows") > 0))
     if "Quantity" in df.columns:
-        rows.append(row("warning", "negative_quantity", F.col("Quantity_negative"),
-                        F.format_string("Found %d rows with negative quantities", F.col("Quantity_negative")),
-                        nonempty & (F.col("Quantity_negative") > 0)))
+        item("warning", "negative_quantity", F.col("Quantity_negative"), found("rows with negative quantities", "Quantity_negative"),
+             some & (F.col("Quantity_negative") > 0))
     if "UnitPrice" in df.columns:
-        rows.append(row("error", "negative_price", F.col("UnitPrice_negative"),
-                        F.format_string("Found %d rows with negative prices", F.col("UnitPrice_negative")),
-                        nonempty & (F.col("UnitPrice_negative") > 0)))
-    return reduce(DataFrame.unionByName, rows)
+        item("error", "negative_price", F.col("UnitPrice_negative"), found("rows with negative prices", "UnitPrice_negative"),
+             some & (F.col("UnitPrice_negative") > 0))
+    return c.select(*by, F.inline(F.array_compact(F.array(*items))))
+
+
+def is_valid(report_df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``is_valid`` = the report holds no error: one row, or one per group that is in the report."""
+    return report_df.groupBy(*by).agg((F.count_if(F.col("level") == "error") == 0).alias("is_valid"))
 
 
-def is_valid(report_df: DataFrame) -> DataFrame:
-    """One row: ``is_valid`` = the report holds no error."""
-    return report_df.agg((F.count_if(F.col("level") == "error") == 0).alias("is_valid"))
+def rejected(report_df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The groups that have an error, with their messages in the order of their codes."""
+    return (report_df.where("level = 'error'").groupBy(*by)
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "message"))), lambda e: e["message"]).alias("errors")))
 
 
 # --------------------------------------------------------------- value rules over tables

@@ -24,9 +24,9 @@ RAW_SCHEMA = T.StructType([
     T.StructField("Country", T.StringType(), True),
 ])
 
-# Prices keep six decimals; quantities are DECIMAL(18,3) inside products, and a product keeps six decimals.
+# Prices and quantities keep six decimals inside products, and a product keeps six decimals.
 PRICE_TYPE = T.DecimalType(22, 6)
-QTY_DECIMAL = T.DecimalType(18, 3)
+QTY_DECIMAL = T.DecimalType(18, 6)
 VALUE_TYPE = T.DecimalType(38, 6)
 
 # ---------------------------------------------------------------------------------------

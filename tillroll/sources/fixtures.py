@@ -67,9 +67,16 @@ def sales(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
     return j.select(*cols)
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``sales`` rows as text with faults; rows with ``k % 50 = 0`` appear twice."""
-    j = _joined(spark, sf_dir)
+def _date_text(k: Column) -> Column:
+    """The order date as text: mostly day first, at fixed places in three other shapes."""
+    t = F.col("o_orderdate").cast(T.TimestampNTZType())
+    return (F.when(k % 67 == 0, F.date_format(t, "yyyy/MM/dd HH:mm")).when(k % 71 == 0, F.date_format(t, "d MMM yyyy HH:mm"))
+            .when(k % 73 == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(t, "dd/MM/yyyy HH:mm")))
+
+
+def dirty(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    """The ``sales`` rows as text with faults; rows with ``k % 50 = 0`` appear twice. ``keyed`` adds ``Region``."""
+    j = _joined(spark, sf_dir, keyed)
     k = F.col("l_orderkey")
     q = _signed_qty()
     price = F.col("l_extendedprice").cast(CENTS)
@@ -80,18 +87,17 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 17 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit(" "))).alias("Description"),
         F.when(k % 41 == 0, F.lit("n/a")).when(k % 43 == 0, F.lit(None).cast("string"))
-         .when(k % 47 == 0, F.lit("0")).when(k % 991 == 0, (q * 100).cast("bigint").cast("string"))
+         .when(k % 47 == 0, F.lit("0")).when(k % 983 == 0, F.lit("1000000000000000")).when(k % 991 == 0, (q * 100).cast("bigint").cast("string"))
          .otherwise(q.cast("bigint").cast("string")).alias("Quantity"),
-        F.when(k % 53 == 0, F.lit("invalid"))
-         .otherwise(F.date_format(F.col("o_orderdate").cast(T.TimestampNTZType()), "dd/MM/yyyy HH:mm"))
-         .alias("InvoiceDate"),
-        F.when(k % 59 == 0, F.lit("-1.00")).when(k % 61 == 0, F.lit(None).cast("string"))
+        F.when(k % 53 == 0, F.lit("invalid")).otherwise(_date_text(k)).alias("InvoiceDate"),
+        F.when(k % 59 == 0, F.lit("-1.00")).when(k % 61 == 0, F.lit(None).cast("string")).when(k % 79 == 0, F.lit("0.004"))
          .when(k % 997 == 0, (price * 10).cast("string")).otherwise(price.cast("string")).alias("UnitPrice"),
         F.when(k % 20 == 0, F.lit(None).cast("string")).otherwise(F.col("o_custkey").cast("string"))
          .alias("CustomerID"),
         F.when(k % 33 == 0, F.lit(None).cast("string"))
          .when(k % 7 == 0, F.concat(F.lit(" "), F.lower(F.col("n_name")))).otherwise(F.col("n_name"))
          .alias("Country"),
+        *([F.col("r_name").alias("Region")] if keyed else []),
     )
     # One pass: rows with k % 50 = 0 are emitted twice by an explode, not by a self-union
     # that would evaluate the joins a second time.
@@ -140,12 +146,17 @@ DIRTY_SQL = f"""dirty_base AS (
     CASE WHEN l.l_orderkey % 41 = 0 THEN 'n/a'
          WHEN l.l_orderkey % 43 = 0 THEN NULL
          WHEN l.l_orderkey % 47 = 0 THEN '0'
+         WHEN l.l_orderkey % 983 = 0 THEN '1000000000000000'
          WHEN l.l_orderkey % 991 = 0 THEN CAST(CAST((CASE WHEN l.l_returnflag = 'R' THEN -l.l_quantity ELSE l.l_quantity END) * 100 AS BIGINT) AS VARCHAR)
          ELSE CAST(CAST(CASE WHEN l.l_returnflag = 'R' THEN -l.l_quantity ELSE l.l_quantity END AS BIGINT) AS VARCHAR) END AS Quantity,
     CASE WHEN l.l_orderkey % 53 = 0 THEN 'invalid'
+         WHEN l.l_orderkey % 67 = 0 THEN strftime(CAST(o.o_orderdate AS TIMESTAMP), '%Y/%m/%d %H:%M')
+         WHEN l.l_orderkey % 71 = 0 THEN strftime(CAST(o.o_orderdate AS TIMESTAMP), '%-d %b %Y %H:%M')
+         WHEN l.l_orderkey % 73 = 0 THEN strftime(CAST(o.o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ')
          ELSE strftime(CAST(o.o_orderdate AS TIMESTAMP), '%d/%m/%Y %H:%M') END AS InvoiceDate,
     CASE WHEN l.l_orderkey % 59 = 0 THEN '-1.00'
          WHEN l.l_orderkey % 61 = 0 THEN NULL
+         WHEN l.l_orderkey % 79 = 0 THEN '0.004'
          WHEN l.l_orderkey % 997 = 0 THEN CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * 10 AS VARCHAR)
          ELSE CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS UnitPrice,
     CASE WHEN l.l_orderkey % 20 = 0 THEN NULL ELSE CAST(o.o_custkey AS VARCHAR) END AS CustomerID,
