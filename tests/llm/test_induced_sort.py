@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
+from tillroll.llm import induced_sort
 from tillroll.llm.induced_sort import common_prefixes, suffix_arrays
 
 
@@ -19,7 +21,9 @@ def strings():
     return out + [unit * 6, unit * 3 + [1] + unit * 3]
 
 
-def test_orders_and_prefixes_against_sorting():
+@pytest.mark.parametrize("few", [0, 24, 1 << 20])
+def test_orders_and_prefixes_against_sorting(monkeypatch, few):
+    monkeypatch.setattr(induced_sort, "FEW", few)
     some = strings()
     t, start, size = batch(some)
     sa = suffix_arrays(t, start, size, np.full(len(size), 201))

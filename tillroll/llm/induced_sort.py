@@ -2,7 +2,7 @@
 
 The strings of a call lie one after the other in one array. Every step of an induction scan is done for all strings with one
 numpy operation, so a scan costs as many operations as the longest string has symbols, and the work stays linear in the
-total length. The steps are those of induced sorting: classify suffixes as smaller or larger than their successor, sort the
+total length; the ends of the few longest strings are scanned one by one. The steps are those of induced sorting: classify suffixes as smaller or larger than their successor, sort the
 substrings between leftmost smaller (LMS) positions by induction, name them, sort the string of names recursively where names
 repeat, and induce the order of all suffixes from the sorted LMS suffixes.
 
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import numpy as np
 
+FEW = 24  # below so many strings a step by numpy costs more than a step by string
+
 
 class _Scan:
     """Lockstep order of the strings: longest first, so that the strings with a symbol ``i`` are a prefix."""
@@ -26,7 +28,8 @@ class _Scan:
     def induce(self, sa: np.ndarray, bucket: np.ndarray, take: np.ndarray, place: np.ndarray, forward: bool) -> None:
         """Scan the suffix arrays and put each predecessor for which ``take`` holds at its bucket's next place."""
         begins, sizes, step = self.start, self.size, 1 if forward else -1
-        for i, n in enumerate(self.active.tolist()):
+        together = int((self.active >= FEW).sum())
+        for i, n in enumerate(self.active[:together].tolist()):
             at = begins[:n] + i if forward else begins[:n] + sizes[:n] - 1 - i
             before = sa[at] - 1
             # An empty place is -1 and gives -2; the first suffix of a string has no predecessor.
@@ -37,6 +40,22 @@ class _Scan:
                 to = place[b]
                 sa[to] = before
                 place[b] = to + step
+        if together < len(self.active):
+            views = [memoryview(x) for x in (sa, bucket, take, place)]
+            for begin, size in zip(begins[:self.active[together]].tolist(), sizes.tolist()):
+                ends = (begin + together, begin + size) if forward else (begin + size - 1 - together, begin - 1)
+                _induce_one(*views, range(*ends, step), begin, step)
+
+
+def _induce_one(sa: memoryview, bucket: memoryview, take: memoryview, place: memoryview, at: range, begin: int, step: int) -> None:
+    """The rest of the scan of one string, symbol by symbol."""
+    for i in at:
+        before = sa[i] - 1
+        if before >= begin and take[before]:
+            b = bucket[before]
+            to = place[b]
+            sa[to] = before
+            place[b] = to + step
 
 
 def suffix_arrays(t: np.ndarray, start: np.ndarray, size: np.ndarray, sigma: np.ndarray) -> np.ndarray:

@@ -11,21 +11,21 @@ shards by content, so that no shard depends on where a text is stored:
 3. *Shards.* One of each group of equal segments around every other anchor is cut from its text; the segments of an anchor are
    a shard. Shards are sorted by induction, many at a time (``induced_sort``), and neighbours in a suffix array with a common
    prefix of ``LENGTH`` bytes are repeats. A shard of more than ``SHARD_SEGMENTS`` segments (a passage inside very many
-   texts) is split once more by content, into the groups of equal windows, which need no order inside; these are counted
-   with a partial sum, so no group is held by a task.
+   texts) is split again by content: windows with the anchor at about the same place share a longer string than the anchor,
+   and equal windows share all of it. Equal parts collapse before they are shuffled on, so no group is held by a task.
 4. *Spans.* Repeated windows go back to the places of their segments, their union is cut from each text.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing; equal texts of at least ``LENGTH`` bytes lose
 everything, a repeated row included; overlapping repeats inside one text count; an empty table gives no rows. Extra columns are
 ignored. A text and the marks of its anchors must fit a task, as a text is one row; windows of a long text are hashed in
-chunks. Anchors and segments are told apart by 64-bit hashes each, split windows and texts by 128 bits.
+chunks. Texts are told apart by 128 bits, segments by 64 bits beside the 64 of their anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from functools import cache
+from functools import cache, reduce
 from typing import Iterator
 
 import numpy as np
@@ -39,7 +39,8 @@ from tillroll.session import shuffle_partitions
 
 LENGTH, GRAM = 200, 32
 CHUNK = 1 << 18            # bytes whose windows are hashed in one step
-SHARD_SEGMENTS = 64        # a larger shard is split by windows
+SHARD_SEGMENTS = 64        # a larger shard is split
+PARTS = 4                  # segments that a segment of such a shard is split into, at most
 BATCH_BYTES = 2 << 20      # shards of about one size that are sorted together
 SEEN_TEXTS = 1 << 18       # hashes of texts that a task remembers
 
@@ -125,12 +126,12 @@ def _chunks(raw: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.
 
 
 def _places(texts: pa.Array, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per chunk: row of the text, first window (position in the text), windows, anchor offset, anchor hash, segment hash."""
+    """Per chunk: row of the text, first window (position in the text), windows, anchor hash, segment hash."""
     raw, off = text_bytes(texts)
     for piece, ends, row, shift in _chunks(raw, off, length):
-        text, first, final, at, g, s = segments(piece, ends, length, gram)
+        text, first, final, _, g, s = segments(piece, ends, length, gram)
         begin = np.concatenate([[0], ends[:-1]])[text]
-        yield text + row, first - begin + shift, final - first + 1, at - first, g.view(np.int64), s.view(np.int64)
+        yield text + row, first - begin + shift, final - first + 1, g.view(np.int64), s.view(np.int64)
 
 
 def _record(names: str, *columns) -> pa.RecordBatch:
@@ -200,17 +201,16 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def anchor_places(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``g, s, k1, k2, twice, first, windows, offset`` of every segment."""
+    """``g, s, k1, k2, twice, first, windows`` of every segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
             k1, k2, twice = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            for row, first, windows, offset, g, s in _places(piece.column(2), length, gram):
-                yield _record("g s k1 k2 twice first windows offset", g, s, k1[row], k2[row], twice[row], first,
-                              windows.astype(np.int16), offset.astype(np.int16))
+            for row, first, windows, g, s in _places(piece.column(2), length, gram):
+                yield _record("g s k1 k2 twice first windows", g, s, k1[row], k2[row], twice[row], first, windows.astype(np.int16))
 
     return texts.select("k1", "k2", "text", "twice").mapInArrow(
-        run, "g long, s long, k1 long, k2 long, twice boolean, first long, windows short, offset short")
+        run, "g long, s long, k1 long, k2 long, twice boolean, first long, windows short")
 
 
 def repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -219,7 +219,7 @@ def repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
             twice = piece.column(1).to_numpy(zero_copy_only=False)
-            for row, _, _, _, g, s in _places(piece.column(0), length, gram):
+            for row, _, _, g, s in _places(piece.column(0), length, gram):
                 yield _record("g s n", g, s, 1 + twice[row].astype(np.int64))
 
     found = texts.select("text", "twice").mapInArrow(run, "g long, s long, n long")
@@ -227,10 +227,12 @@ def repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
             .where("n > 1").select("g", (F.col("low") == F.col("high")).alias("alike")))
 
 
-def cut_segments(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """``g, s, copies, split, bytes`` of the chosen segments (one place of each), from the bucketed texts."""
+def cut_segments(texts: DataFrame, chosen: DataFrame, length: int, gram: int) -> DataFrame:
+    """``key, g, s, copies, base, low, high, bytes`` of the chosen segments (one place of each), from the bucketed texts:
+    ``bytes`` holds the windows from number ``base`` of segment (g, s) on, ``low`` to ``high`` the string that all windows
+    of the shard ``key`` share (here the anchor)."""
     wanted = chosen.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
-        F.collect_list(F.struct("g", "s", "copies", "split", F.col("at.first").alias("first"), F.col("at.windows").alias("windows"))).alias("cuts"))
+        F.collect_list(F.struct("g", "s", "copies", F.col("at.first").alias("first"), F.col("at.windows").alias("windows"))).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
@@ -238,18 +240,24 @@ def cut_segments(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
             cuts = piece.column(1)
             flat = cuts.flatten()
             row = np.repeat(np.arange(len(cuts)), cuts.value_lengths().to_numpy(zero_copy_only=False))
-            g, s, copies, split, first, windows = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+            g, s, copies, first, windows = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             start = off[row] + first
             size = windows.astype(np.int64) + length - 1
             for a in range(0, len(row), 4096):
                 b = min(a + 4096, len(row))
-                ends = np.concatenate([[0], np.cumsum(size[a:b])])
-                data = raw[np.repeat(start[a:b] - ends[:-1], size[a:b]) + np.arange(ends[-1])]
-                parts = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-                yield _record("g s copies split bytes", g[a:b], s[a:b], copies[a:b], split[a:b], parts)
+                parts = _slices(raw, start[a:b], size[a:b])
+                _, first_window, _, at, _, _ = segments(*_joined_bytes(parts), length, gram)
+                low = at - first_window
+                yield _record("key g s copies base low high bytes", g[a:b], g[a:b], s[a:b], copies[a:b], np.zeros(b - a, np.int64),
+                              low, low + gram, parts)
 
     return texts.join(wanted, ["k1", "k2"]).select("text", "cuts").mapInArrow(
-        run, "g long, s long, copies long, split boolean, bytes binary")
+        run, "key long, g long, s long, copies long, base long, low long, high long, bytes binary")
+
+
+def _joined_bytes(parts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    raw, off = text_bytes(parts)
+    return raw, off[1:]
 
 
 def repeated_windows(shards: list[list[tuple[bytes, int]]], length: int) -> list[list[np.ndarray]]:
@@ -283,66 +291,110 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sort_shards(cuts: DataFrame, length: int) -> DataFrame:
-    """``g, s, begin, end``: runs of repeated windows (positions in the segment) of shards that one task can hold."""
+    """``g, s, begin, end``: runs of repeated windows of shards that one task can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[int, list] = {}
 
         def found(batch: list) -> pa.RecordBatch:
             rows = ([], [], [], [])
-            for (g, shard), flags in zip(batch, repeated_windows([[(b, n) for _, n, b in shard] for _, shard in batch], length)):
-                for (s, _, _), flag in zip(shard, flags):
+            for shard, flags in zip(batch, repeated_windows([[(b, n) for _, _, n, _, b in shard] for shard in batch], length)):
+                for (g, s, _, base, _), flag in zip(shard, flags):
                     begins, ends = _runs(flag)
-                    for out, value in zip(rows, ([g] * len(begins), [s] * len(begins), begins, ends)):
+                    for out, value in zip(rows, ([g] * len(begins), [s] * len(begins), begins + base, ends + base)):
                         out.extend(value)
             return _record("g s begin end", *(pa.array(r, pa.int64()) for r in rows))
 
-        for g, shard in _shards(batches):
-            size = sum(len(b) for _, _, b in shard)
+        for shard in _shards(batches):
+            size = sum(len(row[-1]) for row in shard)
             batch = classes.setdefault(size.bit_length(), [])
-            batch.append((g, shard))
+            batch.append(shard)
             if len(batch) * size > BATCH_BYTES:
                 yield found(classes.pop(size.bit_length()))
         for batch in classes.values():
             yield found(batch)
 
-    return (cuts.where("NOT split").select("g", "s", "copies", "bytes").repartition("g").sortWithinPartitions("g")
+    return (cuts.select("key", "g", "s", "copies", "base", "bytes").repartition("key").sortWithinPartitions("key")
             .mapInArrow(run, "g long, s long, begin long, end long"))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     held, shard = None, []
     for batch in batches:
-        for g, s, n, b in zip(*(c.to_pylist() for c in batch.columns)):
-            if g != held and shard:
-                yield held, shard
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != held and shard:
+                yield shard
                 shard = []
-            held = g
-            shard.append((s, n, b))
+            held = key
+            shard.append(row)
     if shard:
-        yield held, shard
+        yield shard
 
 
-def split_shards(cuts: DataFrame, length: int) -> DataFrame:
-    """``g, s, begin, end`` of the shards that are split by windows."""
+def split(cuts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Every segment of ``cuts`` as up to ``PARTS`` shorter ones, by the place of the common string (the anchor at first)
+    in the window. Windows of one part share a longer common string, which is the key of the new shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                raw, off = text_bytes(part.column(3))
-                count = np.diff(off) - length + 1
-                row = np.repeat(np.arange(len(count)), count)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                start = off[row] + at
-                h1, h2 = (mix(Hashes(raw, w).of(start, start + length)).view(np.int64) for w in (0, 1))
-                g, s, n = (part.column(i).to_numpy()[row] for i in range(3))
-                yield _record("h1 h2 g s begin copies", h1, h2, g, s, at, n)
-
-    rows = cuts.where("split").select("g", "s", "copies", "bytes").mapInArrow(
-        run, "h1 long, h2 long, g long, s long, begin long, copies long")
-    twice = rows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
-    return rows.join(twice, ["h1", "h2"]).select("g", "s", "begin", (F.col("begin") + 1).alias("end"))
+            for a in range(0, batch.num_rows, 4096):
+                piece = batch.slice(a, 4096)
+                key, g, s, copies, base, low, high = (piece.column(i).to_numpy() for i in range(7))
+                raw, off = text_bytes(piece.column(7))
+                size = np.diff(off)
+                span = length - (high - low)  # the common string starts 0 to span bytes after the window
+                part = np.tile(np.arange(PARTS), len(key))
+                row = np.repeat(np.arange(len(key)), PARTS)
+                least, most = (span[row] + 1) * part // PARTS, (span[row] + 1) * (part + 1) // PARTS
+                first = np.maximum(low[row] - most + 1, 0)
+                last = np.minimum(low[row] - least, size[row] - length)
+                some = (least < most) & (first <= last)
+                row, part, least, most, first, last = (x[some] for x in (row, part, least, most, first, last))
+                new_low, new_high = low[row] - least, low[row] - most + 1 + length
+                hashes = Hashes(raw, 1)
+                start = off[row]
+                common = mix(hashes.of(start + new_low, start + new_high) + mix(key[row].view(np.uint64) + part.astype(np.uint64) + np.uint64(1)))
+                content = mix(hashes.of(start + first, start + last + length) + mix((new_low - first + 1).astype(np.uint64)))
+                yield _record("key content g s copies base low high bytes", common.view(np.int64), content.view(np.int64), g[row], s[row],
+                              copies[row], base[row] + first, new_low - first, new_high - first,
+                              _slices(raw, start + first, last - first + length))
+
+    return cuts.select("key", "g", "s", "copies", "base", "low", "high", "bytes").mapInArrow(
+        run, "key long, content long, g long, s long, copies long, base long, low long, high long, bytes binary")
+
+
+def _slices(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.BinaryArray:
+    ends = np.concatenate([[0], np.cumsum(size)])
+    data = raw[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def large_shards(cuts: DataFrame) -> DataFrame:
+    """Keys of shards of more than ``SHARD_SEGMENTS`` segments."""
+    return store(cuts.groupBy("key").count().where(F.col("count") > SHARD_SEGMENTS).select("key", F.lit(True).alias("large")), "large-shards")
+
+
+def repeats(cuts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``g, s, begin, end``: runs of repeated windows of all segments. Shards of up to ``SHARD_SEGMENTS`` segments are sorted,
+    larger ones are split until none is left; at the latest a shard's common string is the whole window. Of equal segments of a
+    split shard one goes on, and all their windows are repeats."""
+    found = []
+    while True:
+        large = large_shards(cuts)
+        if large.isEmpty():
+            found.append(sort_shards(cuts, length))
+            break
+        dealt = cuts.join(large, "key", "left")
+        found.append(sort_shards(dealt.where("large IS NULL"), length))
+        parts = store(split(dealt.where("large"), length, gram), "split-segments")
+        alike = store(parts.groupBy("key", "content").agg(F.sum("copies").alias("n"), F.min(F.struct("g", "s", "base")).alias("one")), "split-kinds")
+        kinds = store(alike.groupBy("key").count().where("count > 1").select("key"), "split-shards")
+        told = parts.join(alike, ["key", "content"])
+        found.append(told.where("n > 1").select("g", "s", F.col("base").alias("begin"),
+                                                (F.col("base") + F.length("bytes") - length + 1).alias("end")))
+        cuts = store(told.where(F.col("one") == F.struct("g", "s", "base")).join(kinds, "key", "left_semi")
+                     .select("key", "g", "s", F.col("n").alias("copies"), "base", "low", "high", "bytes"), "split-next")
+    return reduce(DataFrame.unionByName, found)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -350,19 +402,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     ends excluded)."""
     texts = distinct_texts(docs)
     repeated = store(repeated_anchors(texts, length, gram), "repeated-anchors")
-    marks = store(anchor_places(texts, length, gram).join(repeated, "g"), "repeat-places")
+    # A repeated text goes as a whole; it stays only to be compared with others.
+    marks = store(anchor_places(texts, length, gram).join(repeated, "g").where("NOT (alike AND twice)"), "repeat-places")
     unlike = marks.where("NOT alike")
     one = unlike.groupBy("g", "s").agg(F.sum(F.lit(1) + F.col("twice").cast("long")).alias("copies"),
                                        F.min(F.struct("k1", "k2", "first", "windows")).alias("at"))
     shards = store(one, "segments")
-    sizes = shards.groupBy("g").agg((F.count(F.lit(1)) > SHARD_SEGMENTS).alias("split"))
-    cuts = store(cut_segments(texts, shards.join(sizes, "g"), length), "segment-bytes")
-    found = sort_shards(cuts, length).unionByName(split_shards(cuts, length))
-    # All of a repeated text goes, so it needs no spans.
+    cuts = store(cut_segments(texts, shards, length, gram), "segment-bytes")
+    found = repeats(cuts, length, gram)
+    # A repeated text needs no spans.
     place = unlike.where("NOT twice").select("g", "s", "k1", "k2", "first")
     spans = (place.join(found, ["g", "s"]).select("k1", "k2", (F.col("first") + F.col("begin")).alias("begin"),
                                                   (F.col("first") + F.col("end") - 1 + length).alias("end"))
-             .unionByName(marks.where("alike AND NOT twice").select(
+             .unionByName(marks.where("alike").select(
                  "k1", "k2", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))))
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
