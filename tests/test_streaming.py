@@ -19,7 +19,7 @@ def test_upload_stream_processes_each_file_as_a_dataset(spark):
         df.coalesce(1).write.option("header", True).csv(tmp)
         part = [f for f in os.listdir(tmp) if f.endswith(".csv")][0]
         os.rename(f"{tmp}/{part}", f"{root}/in/{name}")
-    q = uploads.start(spark, f"{root}/in", f"{root}/history", f"{root}/ckpt", available_now=True)
+    q = uploads.start(spark, f"{root}/in", f"{root}/history", f"{root}/ckpt", available_now=True, on_error="clean")
     q.awaitTermination(600)
     assert q.exception() is None
     ds = {r.dataset_id: r.cleaned_rows for r in spark.read.parquet(f"{root}/history/datasets").collect()}

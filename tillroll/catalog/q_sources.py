@@ -4,11 +4,12 @@ the session's reliable checkpoint directory (shared storage on a cluster)."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.catalog import register
+from tillroll.catalog import ORACLE, q_more, register  # noqa: F401  q_more fills ORACLE
 from tillroll.catalog.bases import output, sql, tx
 from tillroll.catalog.q_clean import CLEAN_COLS_SQL
 from tillroll.operators import clean as C
@@ -20,6 +21,7 @@ from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources import files as S
 from tillroll.sources import sinks as K
 from tillroll.sources.fixtures import dirty
+from tillroll.sources.history import History
 from tillroll.sources.tables import table
 
 
@@ -97,19 +99,53 @@ def _missing(s, d):
 register("val_missing_columns", _missing, sql("dirty", f"""
 SELECT c AS "column", c IN ('Country', 'Quantity', 'InvoiceNo') AS present, (SELECT count(InvoiceNo) FROM dirty) AS invoice_rows
 FROM (SELECT unnest([{", ".join(repr(c) for c in REQUIRED_COLUMNS)}]) AS c)"""))
-register("sink_metrics_json", lambda s, d: K.metrics_documents(long_metrics(tx(s, d))))
-register("sink_insights_json", lambda s, d: K.insights_documents(
-    I.key_insights(I.insight_metrics(tx(s, d), ["Country"]), ["Country"]), ["Country"]))
+def _metrics_json(s, d):
+    """Written to a file and read back with the schema of the metric list."""
+    path = scratch(s, "metrics-json")
+    K.write_json(K.metrics_documents(long_metrics(tx(s, d))), path)
+    return K.metrics_rows(K.read_json(s, path, K.metrics_schema()))
+
+
+def _insights_json(s, d):
+    path = scratch(s, "insights-json")
+    K.write_json(K.insights_documents(I.key_insights(I.insight_metrics(tx(s, d), ["Country"]), ["Country"]), ["Country"]), path)
+    return K.insight_rows(K.read_json(s, path, K.insights_schema(["Country"])), ["Country"])
+
+
+register("sink_metrics_json", _metrics_json, f"SELECT * FROM ({ORACLE['kpi_all']}) t WHERE value IS NOT NULL OR text IS NOT NULL")
+register("sink_insights_json", _insights_json, ORACLE["ins_key_insights_by_country"])
+
+
+def _runs(s, d):
+    """Two batches of runs (customers) with their metric records (orders); the first one is written twice, as by a replay,
+    and one run in seven is deleted afterwards."""
+    h = History(s, scratch(s, "history"))
+    runs = table(s, d, "customer", "c_custkey", "c_acctbal").select(F.col("c_custkey").alias("dataset_id"), F.col("c_acctbal").cast("double").alias("amount"))
+    records = table(s, d, "orders", "o_custkey", "o_orderkey", "o_totalprice").select(
+        F.col("o_custkey").alias("dataset_id"), F.col("o_orderkey").alias("record_id"), F.col("o_totalprice").cast("double").alias("amount"))
+    for batch in (0, 1, 0):
+        h.append({"datasets": runs.where(F.col("dataset_id") % 2 == batch), "dataset_metrics": records.where(F.col("dataset_id") % 2 == batch)},
+                 f"batch-{batch}")
+    h.delete(runs.where("dataset_id % 7 = 0"))
+    return h
 
 
 def _history(s, d):
-    root = scratch(s, "history")
-    t = tx(s, d)
-    runs = t.groupBy(F.col("Country").alias("dataset_id")).agg(
-        F.count(F.lit(1)).alias("cleaned_rows"), F.lit("sales.csv").alias("filename"))
-    K.append_history(runs, root, "datasets")
-    K.append_history(runs, root, "datasets")
-    return K.read_history(s, root, "datasets")
+    return _runs(s, d).read("dataset_metrics").select("dataset_id", "record_id", "amount")
+
+
+def _history_versions(s, d):
+    h = _runs(s, d)
+    parts = [h.read(t, v).groupBy(F.lit(v).cast("bigint").alias("version"), F.lit(t).alias("table")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("dataset_id").alias("datasets"))
+        for v in range(1, h.version() + 1) for t in ("datasets", "dataset_metrics")]
+    return reduce(DataFrame.unionByName, parts)
 
 
-register("sink_history", _history)
+register("sink_history", _history, """
+SELECT o_custkey AS dataset_id, o_orderkey AS record_id, CAST(o_totalprice AS DOUBLE) AS amount FROM orders WHERE o_custkey % 7 <> 0""")
+register("sink_history_versions", _history_versions, """
+WITH v AS (SELECT unnest([1, 2, 3]) AS version),
+r AS (SELECT 'datasets' AS "table", c_custkey AS id FROM customer UNION ALL SELECT 'dataset_metrics', o_custkey FROM orders)
+SELECT CAST(version AS BIGINT) AS version, "table", count(*) AS records, count(DISTINCT id) AS datasets
+FROM v JOIN r ON (version > 1 OR id % 2 = 0) AND (version < 3 OR id % 7 <> 0) GROUP BY ALL""")

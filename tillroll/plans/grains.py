@@ -70,6 +70,9 @@ class Grains:
         return df if self.by else self.sparkSession.range(1).select(F.lit(True).alias("_all")).join(
             F.broadcast(df), F.lit(True), "left").drop("_all")
 
+    def rows_per_group(self) -> DataFrame:
+        return self._grain("total").select(*self.by, "n")
+
     def totals(self) -> DataFrame:
         codes = self._grain("product").groupBy(*self.by).agg(F.count_distinct("g_StockCode").alias("_codes"))
         people = self._grain("customer").groupBy(*self.by).agg(F.count("g_CustomerID").alias("_people"))

@@ -38,11 +38,12 @@ def duplicate_counts(deduped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def clean_report(raw: DataFrame, by: Sequence[str] = (), date_formats: Sequence[str] | None = None,
-                 profile: C.RawProfile | None = None) -> DataFrame:
+                 profile: C.RawProfile | None = None, cleaned: DataFrame | None = None) -> DataFrame:
+    """``profile`` and ``cleaned`` may pass what a run has made already; then the raw rows are not read at all."""
     by = list(by)
     p = profile or C.RawProfile(raw, by, date_formats)
     w = p.counts()
-    ends = duplicate_counts(C.dedup(C.valid_rows(raw, by, date_formats, p.mode())), by)
+    ends = duplicate_counts(C.dedup(C.valid_rows(raw, by, date_formats, p.mode())) if cleaned is None else cleaned, by)
     if by:
         other = ends.select(*[F.col(k).alias(f"_{k}") for k in by], *[c for c in ends.columns if c not in by])
         cond = F.lit(True)

@@ -26,10 +26,11 @@ def upload_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: in
     return reader.csv(input_dir).withColumn("dataset_id", F.col("_metadata.file_name"))
 
 
-def process_batch(history_root: str):
-    """foreachBatch handler: the whole upload run for every file of the batch."""
+def process_batch(history_root: str, on_error: str = "reject"):
+    """foreachBatch handler: the whole upload run for every file of the batch. Files with validation errors go to the
+    quarantine with their rows (``on_error="clean"``: are cleaned like others)."""
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        run = upload_run.run(batch, by=["dataset_id"])
+        run = upload_run.run(batch, by=["dataset_id"], on_error=on_error)
         try:
             upload_run.store(run, history_root, by=["dataset_id"], batch=epoch_id)
         finally:
@@ -39,9 +40,9 @@ def process_batch(history_root: str):
 
 def start(spark: SparkSession, input_dir: str, history_root: str, checkpoint_location: str,
           available_now: bool = False, interval: str = "1 minute",
-          max_files_per_trigger: int | None = None) -> StreamingQuery:
+          max_files_per_trigger: int | None = None, on_error: str = "reject") -> StreamingQuery:
     """Start the upload stream. ``available_now`` processes what is there and stops."""
     w = (upload_stream(spark, input_dir, max_files_per_trigger).writeStream
-         .foreachBatch(process_batch(history_root)).option("checkpointLocation", checkpoint_location))
+         .foreachBatch(process_batch(history_root, on_error)).option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
