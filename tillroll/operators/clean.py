@@ -277,18 +277,19 @@ def suspicious(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """NeedsReview = true where an invoice of one ``by`` group has more than 3 rows in one
     minute, else NULL.
 
-    Pairs (invoice, minute) are counted with a partial aggregate and joined back. Pairs with a thousandth of all rows or
-    more, of which there are a thousand at most, are broadcast; their rows take no part in the other join (a hash of the
-    row stands in for their key there), so that no task gets a pair that holds a third of the rows.
+    Pairs (invoice, minute) are counted with a partial aggregate; the flagged ones are stored and joined back. Pairs with a
+    thousandth of all flagged rows or more, of which there are a thousand at most, are broadcast; their rows take no part
+    in the other join (a hash of the row stands in for their key there), so that no task gets a pair that holds a third of
+    the rows.
     """
     if not _has(df, "InvoiceNo", "InvoiceDate"):
         return df
     d = df.withColumn("_minute", F.date_trunc("minute", F.col("InvoiceDate")))
     keys = [*by, "InvoiceNo", "_minute"]
     counts = d.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    flagged = counts.where(F.col("_n") > SUSPICIOUS_MIN_ROWS)
+    flagged = store(counts.where(F.col("_n") > SUSPICIOUS_MIN_ROWS), "suspicious-pairs")
     large = F.col("_n") * HOT_PAIRS >= F.col("_all")
-    marked = flagged.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all"))))
+    marked = flagged.crossJoin(F.broadcast(flagged.agg(F.sum("_n").alias("_all"))))
     hot = marked.where(large).select(*keys, F.lit(True).alias("_hot"))
     rest = marked.where(~large).select(*keys, F.lit(0).cast("bigint").alias("_stand_in"), F.lit(True).alias("_cold"))
     d = d.join(F.broadcast(hot), on=keys, how="left")
@@ -370,15 +371,17 @@ class RawProfile:
 
 def clean(df: DataFrame, by: Sequence[str] = (), date_formats: Sequence[str] | None = None,
           profile: RawProfile | None = None) -> DataFrame:
-    """C17: the whole cleaning chain. The rows are read twice: for the profile (made here if none is passed) and for
-    the chain.
+    """C17: the whole cleaning chain. The raw rows are read twice: for the profile (made here if none is passed) and for
+    the chain, which stores its de-duplicated rows once.
 
     Order of the studied application: fill -> types -> invalid rows -> text -> derived
     columns -> quality flags (thresholds over the rows before de-duplication) -> exact
     de-duplication -> suspicious clusters. Here clusters are marked on the narrow rows, before the derived columns.
     """
     profile = profile or RawProfile(df, by, date_formats)
-    out = suspicious(dedup(valid_rows(df, by, date_formats, profile.mode())), by)
+    # Clusters are counted over the de-duplicated rows and marked in them, so these are stored rather than made twice.
+    rows = store(dedup(valid_rows(df, by, date_formats, profile.mode())), "clean-rows")
+    out = suspicious(rows, by)
     out = transaction_ref(date_parts(revenue_columns(out)))
     if _has(out, "Quantity", "UnitPrice"):
         out = apply_quality_flags(out, profile.thresholds(), by)

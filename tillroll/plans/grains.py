@@ -11,6 +11,7 @@ The KPI operators take a ``Grains`` wherever they take a cleaned table.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 from typing import Sequence
 
@@ -37,9 +38,10 @@ def known(customer: Column | str = "CustomerID") -> Column:
 
 
 class Grains:
-    """Aggregates of ``rows`` per ``by`` group; ``only`` names the grains that are needed (all by default)."""
+    """Aggregates of ``rows`` per ``by`` group; ``only`` names the grains that are needed (all by default), ``with_values`` makes
+    the frequencies of revenue values at once."""
 
-    def __init__(self, rows: DataFrame, by: Sequence[str] = (), only: Sequence[str] = tuple(GRAINS)):
+    def __init__(self, rows: DataFrame, by: Sequence[str] = (), only: Sequence[str] = tuple(GRAINS), with_values: bool = False):
         self.rows, self.by = rows, list(by)
         self.sparkSession = rows.sparkSession
         keys = sorted({k for g in only for k in GRAINS[g]})
@@ -58,7 +60,11 @@ class Grains:
             agg = src.groupingSets(sets, *every).agg(F.grouping_id().alias("_gid"), *figures)
             names = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
             agg = agg.withColumn("grain", names[F.col("_gid").cast("int")]).drop("_gid")
-        self._table = store(agg, "grains", partition_by=["grain"])
+        with ThreadPoolExecutor(max_workers=2) as pool:  # two independent jobs over the rows
+            table = pool.submit(store, agg, "grains", ["grain"])
+            if with_values:
+                pool.submit(lambda: self.values).result()
+            self._table = table.result()
 
     def _grain(self, name: str) -> DataFrame:
         t = self._table.where(F.col("grain") == name)
@@ -136,6 +142,10 @@ class Grains:
         names = [f"_q{i}" for i in range(len(PROBABILITIES))]
         return store(percentiles(every, "_v", PROBABILITIES, [*self.by, "_of"], names=names, weight="_w"), "quantiles")
 
+    def prepare(self) -> None:
+        """Store what the sections share and is made on first use."""
+        self._quantiles  # noqa: B018
+
     def quantiles(self, of: str, wanted: dict[str, float]) -> DataFrame:
         """Percentiles of ``revenue`` (rows), ``spend`` (customers) or ``price`` (products) under the wanted names."""
         rows = self._quantiles.where(F.col("_of") == of)

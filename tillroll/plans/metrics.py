@@ -7,6 +7,7 @@ structs, so there is no driver loop over metrics. An empty input gives a single
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Callable, Sequence
 
@@ -71,9 +72,10 @@ def long_metrics(df: DataFrame | Grains, by: Sequence[str] = (), health: DataFra
     """All sections as rows. ``df`` is a cleaned table or its stored aggregates; ``health`` may pass
     health scores already computed for these rows."""
     by = list(by)
-    df = df if isinstance(df, Grains) else Grains(df, by)
-    parts = []
-    for section, group, source, key, values, texts in SPEC:
+    df = df if isinstance(df, Grains) else Grains(df, by, with_values=True)
+
+    def part(spec: tuple) -> DataFrame:
+        section, group, source, key, values, texts = spec
         src = health if (source == "health" and health is not None) else SOURCES[source](df, by)
         k = F.col(key).cast("string") if key else F.lit("")
         items = [F.struct(F.lit(section).alias("section"), F.lit(f"{group}.{m}" if group else m).alias("metric"),
@@ -82,7 +84,11 @@ def long_metrics(df: DataFrame | Grains, by: Sequence[str] = (), health: DataFra
         items += [F.struct(F.lit(section).alias("section"), F.lit(f"{group}.{m}" if group else m).alias("metric"),
                            k.alias("key"), F.lit(None).cast("double").alias("value"),
                            F.col(m).cast("string").alias("text")) for m in texts]
-        parts.append(src.select(*by, F.inline(F.array(*items))))
+        return src.select(*by, F.inline(F.array(*items)))
+
+    df.prepare()  # stored once, before the sections are planned side by side
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        parts = list(pool.map(part, SPEC))
     empty = df.totals().where(F.col("_start").isNull() & F.col("_rev").isNull() & (F.col("total_transactions") == 0)) \
         .select(*by, F.lit("_metadata").alias("section"), F.lit("error").alias("metric"), F.lit("").alias("key"),
                 F.lit(None).cast("double").alias("value"), F.lit("No data available").alias("text"))

@@ -76,7 +76,7 @@ def run(raw: DataFrame, by: Sequence[str] = (), report: bool = True, on_error: s
     accepted, quarantine = gate(raw_p, errors if on_error == "reject" else errors.limit(0), by)
     profile = RawProfile(accepted, by)
     cleaned = clean(accepted, by, profile=profile).persist(StorageLevel.MEMORY_AND_DISK)
-    grains = Grains(cleaned, by)
+    grains = Grains(cleaned, by, with_values=True)
     m = stored(I.insight_metrics(grains, by), "metrics-row")
     health = m.select(*by, "revenue_health", "customer_health", "product_health", "overall_health")
     metrics = stored(long_metrics(grains, by, health=health), "metrics")
