@@ -361,7 +361,7 @@ h_total_spent AS (SELECT total_spent AS x FROM cs, (SELECT quantile_cont(total_s
 register("histogram", _hist, sql("tx", "\nUNION ALL\n".join(_hist_sql(c, "", "") for c in ["NetRevenue", "Quantity", "total_spent"]),
                                  ctes=HIST_CTES))
 
-BOX = [("Quantity", -50, 50, True), ("UnitPrice", None, 50, False), ("NetRevenue", 1, 200, True)]
+BOX = [("Quantity", -50, 50, True), ("UnitPrice", None, 50_000, False), ("NetRevenue", 1, 200_000, True)]
 
 
 def _box(s, d):

@@ -338,34 +338,83 @@ register("ins_all_by_country", lambda s, d: I.assemble(I.insight_metrics(tx(s, d
 
 PROMPT_SQL = f"""
 SELECT concat_ws(chr(10),
-  'Analyze the following business metrics and generate actionable insights.',
+  'Analyze the following business metrics and generate actionable insights.', '', 'DATASET INFORMATION:',
   '- Time Period: ' || coalesce(date_start, 'N/A') || ' to ' || coalesce(date_end, 'N/A'),
+  '- Total Rows: ' || (SELECT count(*) FROM tx), '- Data Type: Retail transactions', '', 'BUSINESS METRICS:', '', 'SUMMARY METRICS:',
   '- Total Revenue: $' || {MONEY_TXT.format(x='total_revenue')},
   '- Total Transactions: ' || {INT_TXT.format(x='total_transactions')},
   '- Total Customers: ' || {INT_TXT.format(x='total_customers')},
   '- Average Transaction Value: $' || {FIX2.format(x='avg_transaction_value')},
+  '- Total Products: ' || {INT_TXT.format(x='total_products')}, '', 'REVENUE ANALYSIS:',
+  '- Monthly Revenue Trend: [' || (SELECT string_agg('(''' || period || ''', ' || {FIX2.format(x='revenue')} || ')', ', ' ORDER BY period)
+     FROM (SELECT * FROM ({ORACLE["kpi_monthly_revenue"]}) t ORDER BY period DESC LIMIT 3) t) || ']',
   '- Best Performing Day: ' || coalesce(best_day, 'N/A'),
+  (SELECT '- Revenue Distribution - Mean: $' || {FIX2.format(x='mean')} || ', Median: $' || {FIX2.format(x='median')}
+     FROM ({ORACLE["kpi_revenue_distribution"]}) t), '', 'CUSTOMER ANALYSIS:',
+  '- Total Customers: ' || {INT_TXT.format(x='customer_count')},
   '- One-time Customers: ' || {INT_TXT.format(x='one_time_customers')} || ' ('
     || {FIX1.format(x='round(CAST(one_time_customers AS DOUBLE) / greatest(customer_count, 1) * 100, 1)')} || '%)',
   '- Average Customer Value: $' || {FIX2.format(x='avg_customer_value')},
+  '- Segment Distribution: {{' || (SELECT string_agg('''' || segment || ''': ' || customers, ', '
+     ORDER BY customers DESC, list_position(['Low', 'Medium', 'High', 'VIP'], segment)) FROM ({ORACLE["kpi_segment_distribution"]}) t) || '}}',
+  (SELECT '- RFM Scores - Recency: ' || {FIX1.format(x='avg_recency')} || ' days, Frequency: ' || {FIX1.format(x='avg_frequency')}
+     || ', Monetary: $' || {FIX2.format(x='avg_monetary')} FROM ({ORACLE["kpi_rfm_summary"]}) t), '', 'PRODUCT ANALYSIS:',
   '- Total Products: ' || {INT_TXT.format(x='product_rows')},
   '- Top Product: ' || coalesce(top_product_name, 'No data') || ' ($' || {MONEY_TXT.format(x='coalesce(top_product_revenue, 0.0)')} || ')',
-  '- Average Product Price: $' || {FIX2.format(x='avg_product_price')},
+  '- Average Product Price: $' || {FIX2.format(x='avg_product_price')}, '', 'GROWTH METRICS:',
   '- Month-over-Month Growth: ' || coalesce({FIX2.format(x='revenue_mom')}, 'N/A') || '%',
-  '- Overall Trend: ' || coalesce(revenue_trend, 'stable')) AS prompt
+  '- Overall Trend: ' || coalesce(revenue_trend, 'stable'), '',
+  '{I.REPLY_FORMAT}', '', '{I.FOCUS}') AS prompt
 FROM im"""
-register("ins_prompt", lambda s, d: I.prompt_text(I.insight_metrics(tx(s, d))), sql("tx", PROMPT_SQL, ctes=metrics_ctes()))
+register("ins_prompt", lambda s, d: I.prompt_text(I.prompt_metrics(tx(s, d))), sql("tx", PROMPT_SQL, ctes=metrics_ctes()))
 
 VALID_JSON = """(json_valid(props) AND json_type(props) = 'OBJECT')"""
 STRUCT_OK = f"""({VALID_JSON} AND list_contains(json_keys(props), 'executive_summary')
   AND list_contains(json_keys(props), 'key_insights') AND list_contains(json_keys(props), 'top_recommendations')
   AND json_type(props, '$.key_insights') = 'ARRAY' AND json_type(props, '$.top_recommendations') = 'ARRAY')"""
-register("ins_validate_json", lambda s, d: I.validate_replies(table(s, d, "events", "props"), "props"), sql("none", f"""
-SELECT count(*) AS replies, count(*) FILTER (WHERE coalesce({VALID_JSON}, false)) AS parsed_objects,
+def _replies(s, d):
+    """Event payloads as they are, and one reply per nation: a third fit, a third have an object for a list, a third lack a field."""
+    events = table(s, d, "events", "props").select(F.lit("events").alias("kind"), F.col("props").alias("reply"))
+    k = F.col("n_nationkey") % 3
+    lists = F.to_json(F.struct(F.col("n_name").alias("executive_summary"), F.array(F.struct(F.col("n_name").alias("title"))).alias("key_insights"),
+                               F.when(k != 2, F.array("n_name")).alias("top_recommendations")))
+    wrong = F.to_json(F.struct(F.col("n_name").alias("executive_summary"), F.struct(F.col("n_name").alias("title")).alias("key_insights"),
+                               F.array("n_name").alias("top_recommendations")))
+    made = table(s, d, "nation", "n_nationkey", "n_name").select(F.lit("nations").alias("kind"), F.when(k == 1, wrong).otherwise(lists).alias("reply"))
+    return I.validate_replies(events.unionByName(made), "reply", ["kind"])
+
+
+register("ins_validate_json", _replies, sql("none", f"""
+SELECT 'events' AS kind, count(*) AS replies, count(*) FILTER (WHERE coalesce({VALID_JSON}, false)) AS parsed_objects,
   count(*) FILTER (WHERE NOT coalesce({VALID_JSON}, false)) AS malformed,
   count(*) FILTER (WHERE coalesce({STRUCT_OK}, false)) AS valid,
   count(*) FILTER (WHERE coalesce({VALID_JSON}, false) AND NOT coalesce({STRUCT_OK}, false)) AS invalid_structure
-FROM events"""))
+FROM events
+UNION ALL SELECT 'nations', count(*), count(*), 0, count(*) FILTER (WHERE n_nationkey % 3 = 0), count(*) FILTER (WHERE n_nationkey % 3 <> 0)
+FROM nation"""))
+
+
+def _insight_documents(s, d):
+    """All nations are businesses, and one more per region, which has no sales."""
+    names = table(s, d, "nation", "n_name").select(F.col("n_name").alias("Country"))
+    keys = names.unionByName(table(s, d, "region", "r_name").select(F.col("r_name").alias("Country")))
+    docs = I.documents(I.insight_metrics(tx(s, d), ["Country"]), ["Country"], keys)
+    return docs.select("Country", "executive_summary", F.array_join(F.transform("key_insights", lambda x: x["title"]), "|").alias("insights"),
+                       F.array_join(F.transform("growth_opportunities", lambda x: x["opportunity"]), "|").alias("opportunities"),
+                       F.array_join(F.transform("risk_warnings", lambda x: x["risk"]), "|").alias("risks"),
+                       F.array_join("top_recommendations", "|").alias("recommendations"), "note")
+
+
+register("ins_documents", _insight_documents, sql("tx", f"""
+SELECT Country, {SUMMARY_TXT} AS executive_summary,
+  coalesce((SELECT string_agg(title, '|' ORDER BY position) FROM ({key_insights_sql('Country')}) x WHERE x.Country = im.Country), '') AS insights,
+  coalesce((SELECT string_agg(opportunity, '|' ORDER BY position) FROM ({opportunities_sql('Country')}) x WHERE x.Country = im.Country), '') AS opportunities,
+  coalesce((SELECT string_agg(risk, '|' ORDER BY position) FROM ({risks_sql('Country')}) x WHERE x.Country = im.Country), '') AS risks,
+  '{"|".join(I.TOP_RECOMMENDATIONS)}' AS recommendations, CAST(NULL AS VARCHAR) AS note
+FROM im
+UNION ALL
+SELECT name, '{I.FALLBACK_SUMMARY}', '{I.FALLBACK_INSIGHT[0]}', '', '', '{"|".join(I.FALLBACK_RECOMMENDATIONS)}', '{I.FALLBACK_NOTE}'
+FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region) k WHERE name NOT IN (SELECT Country FROM im)""", ctes=metrics_ctes("Country")))
 
 
 # ----------------------------------------------------------------------------------- K21/K22

@@ -15,7 +15,7 @@ from tillroll.operators.windows import monthly_growth
 from tillroll.plans.grains import Grains
 
 
-def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+def join_one(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """Left join on the keys; without keys the right side is an aggregate of at most one
     row (possibly none, e.g. no growth with a single month), broadcast by construction."""
     if by:
@@ -41,7 +41,7 @@ def metrics_row(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     b = kpi.seasonality(df, by).select(*by, "best_day")
     out = s
     for part in (c, p, g, t, b):
-        out = _join(out, part, by)
+        out = join_one(out, part, by)
     return out.fillna({"customer_count": 0, "one_time_customers": 0, "product_rows": 0,
                        "avg_customer_value": 0.0})
 

@@ -11,17 +11,67 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.functions.columns import dround, fmt_label
-from tillroll.operators.health import metrics_row, with_health
-from tillroll.schema import MIN_INVOICES_FOR_AI
+from tillroll.operators import kpi as K
+from tillroll.operators.health import join_one, metrics_row, with_health
+from tillroll.plans.grains import Grains
+from tillroll.schema import MIN_INVOICES_FOR_AI, SEGMENTS
 
 # ---------------------------------------------------------------------------------------
 # Wording, thresholds and confidences of the studied rule set
 # ---------------------------------------------------------------------------------------
+FALLBACK_INSIGHT = ("Data Analysis Complete",
+                    "Metrics have been calculated successfully. Configure OpenAI API key for automated insights.",
+                    "medium", "operational", 1.0, "Add OPENAI_API_KEY to environment variables for AI-powered insights.")
+FALLBACK_RECOMMENDATIONS = ["Configure OpenAI API key for automated insights",
+                            "Upload larger dataset for more comprehensive analysis",
+                            "Schedule regular data uploads for trend tracking"]
+FALLBACK_NOTE = "Mock insights generated - configure AI for real analysis"
+REPLY_FORMAT = """Please provide insights in the following JSON format:
+{
+"executive_summary": "Brief 2-3 sentence overview of business health",
+"key_insights": [
+{
+"title": "Insight title",
+"description": "Detailed explanation",
+"impact": "high/medium/low",
+"category": "revenue/customer/product/operational",
+"confidence": 0.85,
+"recommendation": "Actionable recommendation"
+}
+],
+"growth_opportunities": [
+{
+"opportunity": "Description of opportunity",
+"potential_impact": "Estimated impact",
+"effort_required": "low/medium/high"
+}
+],
+"risk_warnings": [
+{
+"risk": "Description of risk",
+"severity": "high/medium/low",
+"mitigation": "How to mitigate"
+}
+],
+"top_recommendations": [
+"Action 1",
+"Action 2",
+"Action 3"
+]
+}"""
+FOCUS = """Focus on:
+1. Revenue trends and growth opportunities
+2. Customer behavior and retention
+3. Product performance and optimization
+4. Specific, actionable recommendations
+5. Data-driven observations only
+
+Be specific and avoid generic advice. Use the actual numbers provided."""
 STATUS_HEALTHY, STATUS_STABLE, STATUS_ATTENTION = "healthy", "stable", "needs attention"
 REC_REVENUE = "Implement upsell strategies and bundle products to increase average order value."
 REC_CUSTOMER = "Develop a loyalty program and email re-engagement campaigns for one-time buyers."
@@ -184,33 +234,104 @@ def assemble(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                     (F.col("total_transactions") >= MIN_INVOICES_FOR_AI).alias("enough_data"), F.lit("rules").alias("engine"))
 
 
+def prompt_metrics(df: DataFrame | Grains, by: Sequence[str] = ()) -> DataFrame:
+    """The metrics row with what the analysis request shows besides: rows, the last three months, mean and median revenue,
+    segments and RFM means. All from the stored aggregates of the rows."""
+    by = list(by)
+    g = df if isinstance(df, Grains) else Grains(df, by, with_values=True)
+    months = K.monthly_revenue(g, by)
+    last = Window.partitionBy(*by).orderBy(F.desc("period"))  # one row per month and business
+    three = (months.withColumn("_k", F.row_number().over(last)).where("_k <= 3").groupBy(*by)
+             .agg(F.array_sort(F.collect_list(F.struct("period", "revenue"))).alias("last_months")))
+    spread = K.revenue_distribution(g, by).select(*by, dround("mean", 2).alias("mean_revenue"), dround("median", 2).alias("median_revenue"))
+    place = F.array_position(F.array(*[F.lit(x) for x in SEGMENTS]), F.col("segment"))
+    segments = (K.segment_distribution(g, by).groupBy(*by)
+                .agg(F.array_sort(F.collect_list(F.struct((-F.col("customers")).alias("less"), place.alias("place"), "segment", "customers")))
+                     .alias("segments")))
+    out = insight_metrics(g, by)
+    for part in (g.rows_per_group().select(*by, F.col("n").alias("total_rows")), three, spread, segments, K.rfm_summary(g, by)):
+        out = join_one(out, part, by)
+    return out
+
+
 def prompt_text(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """I8: the analysis request text per business (data preparation for an offline batch
-    of model calls; no call is made here)."""
+    """I8: the analysis request text per business, from :func:`prompt_metrics` (data preparation for an offline batch of
+    model calls; no call is made here). Lines have no indentation, and numbers in lists have two digits."""
     one_pct = dround(F.col("one_time_customers").cast("double") / F.greatest(F.col("customer_count"), F.lit(1)) * 100, 1)
+
+    def zero(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(0.0))
+
+    def or_none(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+
+    def line(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    months = F.array_join(F.transform("last_months", lambda x: line("('", x["period"], "', ", _fixed(x["revenue"], 2), ")")), ", ")
+    segments = F.array_join(F.transform("segments", lambda x: line("'", x["segment"], "': ", x["customers"].cast("string"))), ", ")
     lines = [
-        F.lit("Analyze the following business metrics and generate actionable insights."),
-        F.concat(F.lit("- Time Period: "), F.coalesce(F.col("date_start"), F.lit("N/A")), F.lit(" to "),
-                 F.coalesce(F.col("date_end"), F.lit("N/A"))),
-        F.concat(F.lit("- Total Revenue: $"), _money(F.col("total_revenue"))),
-        F.concat(F.lit("- Total Transactions: "), _int(F.col("total_transactions"))),
-        F.concat(F.lit("- Total Customers: "), _int(F.col("total_customers"))),
-        F.concat(F.lit("- Average Transaction Value: $"), _fixed(F.col("avg_transaction_value"), 2)),
-        F.concat(F.lit("- Best Performing Day: "), F.coalesce(F.col("best_day"), F.lit("N/A"))),
-        F.concat(F.lit("- One-time Customers: "), _int(F.col("one_time_customers")), F.lit(" ("),
-                 _fixed(one_pct, 1), F.lit("%)")),
-        F.concat(F.lit("- Average Customer Value: $"), _fixed(F.col("avg_customer_value"), 2)),
-        F.concat(F.lit("- Total Products: "), _int(F.col("product_rows"))),
-        F.concat(F.lit("- Top Product: "), F.coalesce(F.col("top_product_name"), F.lit("No data")), F.lit(" ($"),
-                 _money(F.coalesce(F.col("top_product_revenue"), F.lit(0.0))), F.lit(")")),
-        F.concat(F.lit("- Average Product Price: $"), _fixed(F.col("avg_product_price"), 2)),
-        F.concat(F.lit("- Month-over-Month Growth: "),
-                 F.coalesce(F.col("revenue_mom").cast("string"), F.lit("N/A")), F.lit("%")),
-        F.concat(F.lit("- Overall Trend: "), F.coalesce(F.col("revenue_trend"), F.lit("stable"))),
+        line("Analyze the following business metrics and generate actionable insights."), line(""),
+        line("DATASET INFORMATION:"),
+        line("- Time Period: ", or_none("date_start"), " to ", or_none("date_end")),
+        line("- Total Rows: ", or_none("total_rows")),
+        line("- Data Type: Retail transactions"), line(""),
+        line("BUSINESS METRICS:"), line(""),
+        line("SUMMARY METRICS:"),
+        line("- Total Revenue: $", _money(F.col("total_revenue"))),
+        line("- Total Transactions: ", _int(F.col("total_transactions"))),
+        line("- Total Customers: ", _int(F.col("total_customers"))),
+        line("- Average Transaction Value: $", _fixed(F.col("avg_transaction_value"), 2)),
+        line("- Total Products: ", _int(F.col("total_products"))), line(""),
+        line("REVENUE ANALYSIS:"),
+        line("- Monthly Revenue Trend: ", F.coalesce(line("[", months, "]"), F.lit("N/A"))),
+        line("- Best Performing Day: ", or_none("best_day")),
+        line("- Revenue Distribution - Mean: $", _fixed(zero("mean_revenue"), 2), ", Median: $", _fixed(zero("median_revenue"), 2)), line(""),
+        line("CUSTOMER ANALYSIS:"),
+        line("- Total Customers: ", _int(F.col("customer_count"))),
+        line("- One-time Customers: ", _int(F.col("one_time_customers")), " (", _fixed(one_pct, 1), "%)"),
+        line("- Average Customer Value: $", _fixed(F.col("avg_customer_value"), 2)),
+        line("- Segment Distribution: {", F.coalesce(segments, F.lit("")), "}"),
+        line("- RFM Scores - Recency: ", _fixed(zero("avg_recency"), 1), " days, Frequency: ", _fixed(zero("avg_frequency"), 1),
+             ", Monetary: $", _fixed(zero("avg_monetary"), 2)), line(""),
+        line("PRODUCT ANALYSIS:"),
+        line("- Total Products: ", _int(F.col("product_rows"))),
+        line("- Top Product: ", F.coalesce(F.col("top_product_name"), F.lit("No data")), " ($", _money(zero("top_product_revenue")), ")"),
+        line("- Average Product Price: $", _fixed(zero("avg_product_price"), 2)), line(""),
+        line("GROWTH METRICS:"),
+        line("- Month-over-Month Growth: ", F.coalesce(_fixed(F.col("revenue_mom"), 2), F.lit("N/A")), "%"),
+        line("- Overall Trend: ", F.coalesce(F.col("revenue_trend"), F.lit("stable"))), line(""),
+        line(REPLY_FORMAT), line(""), line(FOCUS),
     ]
     return m.select(*by, F.concat_ws("\n", *lines).alias("prompt"))
 
 
+def documents(m: DataFrame, by: Sequence[str], keys: DataFrame | None = None) -> DataFrame:
+    """I7 in full: one row per business with its summary, insights, opportunities, risks, recommendations and a note. A
+    business of ``keys`` without metrics gets the fallback document. The arrays hold at most as many items as there are
+    rules."""
+    by = list(by)
+
+    def rows(rules: list[tuple[Column, Column]]) -> Column:
+        return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), item) for cond, item in rules]))
+
+    fixed = F.array(*[F.lit(t) for t in TOP_RECOMMENDATIONS])
+    out = m.select(*by, summary_text(m).alias("executive_summary"), rows(_key_insight_rules()).alias("key_insights"),
+                   rows(_opportunity_rules()).alias("growth_opportunities"), rows(_risk_rules()).alias("risk_warnings"),
+                   fixed.alias("top_recommendations"), F.lit(None).cast("string").alias("note"))
+    if keys is None or not by:
+        return out
+    missing = keys.select(*by).distinct().join(m.select(*by), on=by, how="left_anti")
+    title, text, impact, category, confidence, advice = FALLBACK_INSIGHT
+    insight = F.struct(F.lit(title).alias("title"), F.lit(text).alias("description"), F.lit(impact).alias("impact"), F.lit(category).alias("category"),
+                       F.lit(confidence).cast("double").alias("confidence"), F.lit(advice).alias("recommendation"))
+    types = {f.name: f.dataType for f in out.schema.fields}
+    return out.unionByName(missing.select(
+        *by, F.lit(FALLBACK_SUMMARY).alias("executive_summary"), F.array(insight).cast(types["key_insights"]).alias("key_insights"),
+        F.array().cast(types["growth_opportunities"]).alias("growth_opportunities"), F.array().cast(types["risk_warnings"]).alias("risk_warnings"),
+        F.array(*[F.lit(t) for t in FALLBACK_RECOMMENDATIONS]).alias("top_recommendations"), F.lit(FALLBACK_NOTE).alias("note")))
+
+
 def validate_replies(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """JSON replies checked for the three required fields, two of them lists."""
     v = F.col(col)
@@ -227,12 +348,6 @@ def validate_replies(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFra
                                F.count_if(parsed & ~valid).cast("bigint").alias("invalid_structure"))
 
 
-def fallback(keys: DataFrame, m: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Businesses without metrics get the fallback summary (part of I7)."""
-    missing = keys.join(m.select(*by), on=list(by), how="left_anti") if by else keys.limit(0)
-    return missing.select(*by, F.lit(FALLBACK_SUMMARY).alias("executive_summary"))
-
-
 __all__ = ["assemble", "fmt_label", "growth_opportunities", "health_status", "insight_metrics",
            "key_insights", "prompt_text", "recommendations", "risk_warnings", "summary_text",
            "validate_replies"]
