@@ -69,3 +69,38 @@ def test_percentiles_empty_input(spark):
     df = spark.createDataFrame([], "v double")
     r = percentiles(df, "v", [0.5]).collect()
     assert len(r) == 1 and r[0][0] is None
+
+
+def test_running_total_of_decimals_without_keys(spark):
+    from decimal import Decimal
+    data = [(i, Decimal(i % 37).scaleb(-3) + Decimal(10) ** 20) for i in range(500)]
+    df = spark.createDataFrame(data, "id long, v decimal(30,6)")
+    got = running_total(df, [F.col("id").desc()], "v", num_partitions=9).orderBy("_rank").collect()
+    total = Decimal(0)
+    for n, (r, (i, v)) in enumerate(zip(got, reversed(data)), 1):
+        total += v
+        assert (r.id, r._rank, r._running, r._group_rows) == (i, n, total, 500)
+    assert got[-1]._group_total == total and running_total(df.limit(0), [F.col("id").asc()], "v").count() == 0
+
+
+def test_ranks_take_one_shuffle_of_the_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    r = running_total(df, [F.col("id").asc()], None, ["k"], totals=False)
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "RepartitionByExpression" not in plan
+    assert sorted((x.k, x._rank) for x in r.collect()) == sorted((k, i) for k in range(3) for i in range(1, 334 + (k == 0)))
+
+
+def test_pages(spark):
+    from tillroll.plans.prefix import PageIndex
+    data = [(i // 3, f"n{i:04d}") for i in range(1000)]
+    index = PageIndex(spark.createDataFrame(data, "d int, n string").repartition(5), {"d": True, "n": False}, num_partitions=8)
+    want = sorted(data, key=lambda r: (-r[0], r[1]))
+    for skip, limit in ((0, 10), (495, 300), (990, 50), (1000, 5)):
+        got = sorted(index.page(skip, limit).collect(), key=lambda r: r.position)
+        assert [(r.d, r.n) for r in got] == want[skip:skip + limit] and [r.position for r in got] == list(range(skip + 1, min(skip + limit, 1000) + 1))
+        if 0 < skip < 1000:
+            assert [tuple(r) for r in index.after(want[skip - 1], limit).collect()] == want[skip:skip + limit]
+    assert index.total() == 1000 and index.after(want[-1], 5).count() == 0
+    page = index.page(990, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_slice" in page or "_slice" in page

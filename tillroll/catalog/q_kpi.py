@@ -11,6 +11,7 @@ from tillroll.operators import kpi as K
 from tillroll.operators import topk as T
 from tillroll.operators import windows as W
 from tillroll.functions.columns import ratio
+from tillroll.plans.prefix import PageIndex
 from tillroll.sources.fixtures import dirty
 from tillroll.sources.tables import table
 
@@ -270,6 +271,26 @@ SELECT o_orderkey, o_custkey, o_orderdate,
   (SELECT count(*) FROM orders) AS total
 FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100 OFFSET 20) t"""))
 
+
+
+def _pages(s, d):
+    """A deep page by its offset, and the page after the last row of it by its key."""
+    index = PageIndex(table(s, d, "orders", "o_orderkey", "o_custkey", "o_orderdate"), {"o_orderdate": True, "o_orderkey": True})
+    deep = index.page(1200, 50)
+    last = deep.orderBy(F.desc("position")).select("o_orderdate", "o_orderkey").first()  # one row
+    after = index.after(tuple(last), 25)
+    cols = ["o_orderkey", "o_custkey", "o_orderdate"]
+    return (deep.select(F.lit("offset").alias("by"), *cols, "position", F.lit(index.total()).cast("bigint").alias("total"))
+            .unionByName(after.select(F.lit("key").alias("by"), *cols, F.lit(None).cast("bigint").alias("position"),
+                                      F.lit(index.total()).cast("bigint").alias("total"))))
+
+
+register("page_deep", _pages, sql("none", """
+SELECT CASE WHEN position <= 1250 THEN 'offset' ELSE 'key' END AS by, o_orderkey, o_custkey, o_orderdate,
+  CASE WHEN position <= 1250 THEN position END AS position, total
+FROM (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS position,
+  count(*) OVER () AS total FROM orders) t WHERE position > 1200 AND position <= 1275"""))
+
 register("freq_head", lambda s, d: T.frequency_head(tx(s, d)), sql("tx", """
 SELECT transaction_count, count(*) AS customers FROM cs GROUP BY transaction_count
 ORDER BY transaction_count LIMIT 20""", ctes=CS_SQL))

@@ -113,5 +113,5 @@ def history(df: DataFrame, key: str, ts: str, tiebreak: str) -> DataFrame:
     tasks rather than sorted in one.
     """
     order = [F.col(ts).desc(), F.col(tiebreak).desc()]
-    r = running_total(df.where(F.col(key).isNotNull()), order, None, [key])
-    return r.withColumn("seq", F.col("_rank").cast("bigint")).drop("_rank", "_running", "_group_rows", "_group_total")
+    r = running_total(df.where(F.col(key).isNotNull()), order, None, [key], totals=False)
+    return r.withColumnRenamed("_rank", "seq")
