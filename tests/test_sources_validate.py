@@ -82,3 +82,14 @@ def test_csv_files_of_another_header_are_refused(spark):
     upload(d, "b.csv", "Country,InvoiceNo", "UK,I1")
     with pytest.raises(Exception, match="header"):
         S.read_csv(spark, d).collect()
+
+
+def test_encoding_decision_moves_no_rows(spark, tmp_path):
+    from tillroll.sources import files as S
+    (tmp_path / "a.csv").write_bytes("Name,Note\nzoë,1\n".encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes("Name,Note\nzoë,2\n".encode("latin-1"))
+    df = S.read_csv_auto(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("zoë", "1"), ("zoë", "2")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert S.path_exists(spark, str(tmp_path)) and not S.path_exists(spark, str(tmp_path / "none"))

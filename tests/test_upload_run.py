@@ -73,11 +73,16 @@ def test_stream_with_a_valid_and_an_invalid_file(spark):
     for name, rows in (("good.csv", GOOD), ("bad.csv", BAD)):
         with open(f"{root}/in/{name}", "w") as f:
             f.write("\n".join([",".join(RAW_TEXT_SCHEMA.names), *(",".join(r) for r in rows)]) + "\n")
+    # Columns in another order, one more, and latin-1 text.
+    with open(f"{root}/in/other.csv", "w", encoding="latin-1") as f:
+        f.write("\n".join([",".join(["Note", *reversed(RAW_TEXT_SCHEMA.names)]), *(",".join(["x", *reversed([*r[:2], "caf\xe9", *r[3:]])]) for r in GOOD)]) + "\n")
     q = uploads.start(spark, f"{root}/in", f"{root}/history", f"{root}/ckpt", available_now=True)
     q.awaitTermination(600)
     assert q.exception() is None
     runs = {r.dataset_id: (r.status, r.cleaned_rows) for r in spark.read.parquet(f"{root}/history/datasets").collect()}
-    assert runs == {"good.csv": ("success", 40), "bad.csv": ("rejected", 0)}
+    assert runs == {"good.csv": ("success", 40), "bad.csv": ("rejected", 0), "other.csv": ("success", 40)}
+    top = spark.read.parquet(f"{root}/history/dataset_metrics").where("dataset_id = 'other.csv' AND metric = 'top_products.Description'")
+    assert {r.text for r in top.collect()} == {"caf\xe9"}
     kept = spark.read.parquet(f"{root}/history/quarantine")
     assert kept.count() == len(BAD) and kept.where(F.size("errors") == 1).count() == len(BAD)
-    assert [r.dataset_id for r in spark.read.parquet(f"{root}/history/insights").select("dataset_id").collect()] == ["good.csv"]
+    assert [r.dataset_id for r in spark.read.parquet(f"{root}/history/insights").select("dataset_id").orderBy("dataset_id").collect()] == ["good.csv", "other.csv"]

@@ -186,7 +186,7 @@ register("clean_chain", lambda s, d: output(cleaned(s, d)), sql("cleaned", f"SEL
 
 # C18
 register("clean_sanitize",
-         lambda s, d: C.sanitize(table(s, d, "conversations", "conv_id", "turn", "role", "text", spread_out=True),
+         lambda s, d: C.sanitize(table(s, d, "conversations", "conv_id", "turn", "role", "text"),
                                  ["text"]),
          sql("none", f"""
 SELECT conv_id, turn, role,
@@ -290,7 +290,7 @@ register("val_report_by_region", lambda s, d: V.report(dirty(s, d, keyed=True),
 
 EMAIL_SQL = r"'^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$'"
 
-register("dq_email", lambda s, d: V.email_candidates(table(s, d, "documents", "lang", "text", spread_out=True),
+register("dq_email", lambda s, d: V.email_candidates(table(s, d, "documents", "lang", "text"),
                                                     "text", ["lang"]),
          sql("none", f"""
 SELECT lang, count(*) AS candidates, count(*) FILTER (WHERE regexp_matches(t, {EMAIL_SQL})) AS valid,

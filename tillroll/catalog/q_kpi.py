@@ -11,7 +11,9 @@ from tillroll.operators import kpi as K
 from tillroll.operators import topk as T
 from tillroll.operators import windows as W
 from tillroll.functions.columns import ratio
+from tillroll.plans import sketches as SK
 from tillroll.plans.prefix import PageIndex
+from tillroll.session import store
 from tillroll.sources.fixtures import dirty
 from tillroll.sources.tables import table
 
@@ -417,3 +419,26 @@ register("box_stats", _box, sql("tx", "\nUNION ALL\n".join(_box_sql(*b) for b in
 register("freq_distribution", lambda s, d: D.freq_distribution(tx(s, d)), sql("tx", """
 SELECT transaction_count, count(*) AS customers FROM cs GROUP BY transaction_count""", ctes=CS_SQL))
 
+
+# Mergeable approximate quantiles: the sketches of five uploads (regions) are stored and merged; each returned value is then
+# held against the exact ranks of the rows.
+SKETCHED, SKETCH_PROBS = ["NetRevenue", "Quantity", "UnitPrice"], [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+
+
+def _sketches(s, d):
+    rows = keyed(s, d)
+    stored = store(SK.quantile_sketches(rows, SKETCHED, ["Region"]), "upload-sketches")
+    found = SK.sketch_quantiles(SK.merge_sketches(stored), SKETCH_PROBS)
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in SKETCHED]))
+    # One row per column and probability, so the broadcast is bounded.
+    ranks = (rows.select(cells).join(F.broadcast(found), "column").groupBy("column", "n", "probability")
+             .agg(F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto")))
+    share = F.col("probability") * F.col("n")
+    slack = F.col("n") * SK.RANK_ERROR + 1
+    return ranks.select("column", F.col("n").cast("bigint").alias("n"), "probability",
+                        ((F.col("below") <= share + slack) & (F.col("upto") >= share - slack)).alias("within_bound"))
+
+
+register("sketch_quantiles", _sketches, sql("keyed", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, CAST({p} AS DOUBLE) AS probability, true AS within_bound FROM tx"""
+    for c in SKETCHED for p in SKETCH_PROBS)))

@@ -5,15 +5,20 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.schema import SUPPORTED_EXTENSIONS
+from tillroll.session import store
 
+BROADCAST_FILES = 100_000  # file names of some hundred bytes
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = False,
+
+def read_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", multiline: bool = False,
              glob: str | None = None) -> DataFrame:
     """CSV with header, every column read as text (``clean`` types it; dates day-first).
 
@@ -32,7 +37,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline:
     return reader.schema(schema).option("enforceSchema", blank).csv(path)
 
 
-def file_encodings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+def file_encodings(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
     """Per file: is every line valid UTF-8?
 
     The text source keeps the raw bytes of each line, so ``is_valid_utf8`` sees them
@@ -51,20 +56,42 @@ def header_name(name: str) -> str:
         return name
 
 
-def read_csv_auto(spark: SparkSession, path: str, glob: str = "*.csv", multiline: bool = False) -> DataFrame:
-    """UTF-8 files read as UTF-8, the others as latin-1, in one lazy plan.
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First line of each file (one pass over their lines; one row per file reaches the driver)."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    return {r["file"]: r["line"] for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("line")).collect()}
+
+
+def read_uploads(spark: SparkSession, paths: list[str], file_column: str = "dataset_id") -> DataFrame:
+    """Files of any headers and encodings as one table with columns by name; ``file_column`` holds the name of the file. Columns
+    that a file lacks are null, which its validation finds. Files with one header are read together."""
+    groups: dict[str, list[str]] = {}
+    for file, line in sorted(headers(spark, paths).items()):
+        groups.setdefault(line, []).append(file)
+    parts = [read_csv_auto(spark, files, file_column=file_column) for files in groups.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_csv_auto(spark: SparkSession, path: str | list[str], glob: str = "*.csv", multiline: bool = False,
+                  file_column: str | None = None) -> DataFrame:
+    """UTF-8 files read as UTF-8, the others as latin-1; ``file_column`` adds the name of the file.
 
     Spark's CSV reader replaces bad bytes instead of failing. Latin-1 keeps every byte as one
     character, so all files are read that way and the texts of files that hold only valid UTF-8 (see
-    :func:`file_encodings`) are decoded again. The list of files stays a DataFrame.
+    :func:`file_encodings`) are decoded again. The names of the other files are stored, and the decision goes to the tasks
+    that read the rows: up to ``BROADCAST_FILES`` names are broadcast, so the rows are not shuffled. Beyond that they are
+    joined by file, where Spark splits the rows of a large file over several tasks.
     """
     raw = read_csv(spark, path, "ISO-8859-1", multiline, glob)
-    latin = file_encodings(spark, path, glob).where(~F.col("utf8")).select(F.col("file").alias("_latin_file"))
-    tagged = raw.withColumn("_file", F.col("_metadata.file_path"))
+    latin = store(file_encodings(spark, path, glob).where(~F.col("utf8")).select(F.col("file").alias("_latin_file")), "latin-files")
+    if latin.count() <= BROADCAST_FILES:
+        latin = F.broadcast(latin)
+    name = [F.col("_metadata.file_name").alias(file_column)] if file_column else []
+    tagged = raw.select("*", *name, F.col("_metadata.file_path").alias("_file"))
     columns = [(F.col(f"`{name.replace('`', '``')}`"), header_name(name)) for name in raw.columns]
     return tagged.join(latin, F.col("_file") == F.col("_latin_file"), "left").select(*[
         F.when(F.col("_latin_file").isNull(), F.encode(c, "ISO-8859-1").cast("string")).otherwise(c).alias(name)
-        for c, name in columns])
+        for c, name in columns], *([file_column] if file_column else []))
 
 
 def load_file(spark: SparkSession, path: str, extensions: Sequence[str] = SUPPORTED_EXTENSIONS) -> DataFrame:
@@ -85,9 +112,13 @@ def load_file(spark: SparkSession, path: str, extensions: Sequence[str] = SUPPOR
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    try:
+        spark.read.text(path).schema  # noqa: B018  the path is looked up with the schema
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def load_or_sample(spark: SparkSession, path: str, n_rows: int = 10000) -> DataFrame:

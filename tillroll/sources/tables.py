@@ -4,29 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_MIN_BYTES = 4 << 20
 
-
-def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Give a sizeable scan at least ``min_partitions`` (default: the cluster's parallelism)
-    tasks.
-
-    A file written as one row group is read by one task, and after broadcast joins the
-    whole pipeline up to the first shuffle would run in it. Both checks use the plan only
-    (Catalyst's size estimate of a scan is its file size; the partition count comes from the
-    file splits); no job runs. Small tables stay as they are (they are broadcast anyway),
-    and large inputs already have many splits, so at scale this adds no shuffle.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < min_bytes:
-        return df
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_out: bool = False) -> DataFrame:
-    """A test table with only ``columns`` read; ``spread_out`` applies :func:`spread` (for
-    scans that do heavy per-row work before their first shuffle, e.g. text rules)."""
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A test table with only ``columns`` read."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    df = df.select(*columns) if columns else df
-    return spread(df) if spread_out else df
+    return df.select(*columns) if columns else df

@@ -15,22 +15,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.plans import upload_run
-from tillroll.schema import RAW_TEXT_SCHEMA
+from tillroll.schema import RAW_COLUMNS
+from tillroll.sources.files import read_uploads
+
+
+FILES_PER_TRIGGER = 1000  # the names of a batch's files go through the driver
 
 
 def upload_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Rows of newly arrived CSV uploads, each tagged with ``dataset_id`` = its file name."""
-    reader = spark.readStream.schema(RAW_TEXT_SCHEMA).option("header", True).option("pathGlobFilter", "*.csv")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.csv(input_dir).withColumn("dataset_id", F.col("_metadata.file_name"))
+    """Paths of newly arrived CSV uploads (their content is not read here)."""
+    files = "path string, modificationTime timestamp_ltz, length long, content binary"  # the schema of this format
+    reader = spark.readStream.format("binaryFile").schema(files).option("pathGlobFilter", "*.csv")
+    reader = reader.option("maxFilesPerTrigger", max_files_per_trigger or FILES_PER_TRIGGER)
+    return reader.load(input_dir).select("path")
 
 
 def process_batch(history_root: str, on_error: str = "reject"):
-    """foreachBatch handler: the whole upload run for every file of the batch. Files with validation errors go to the
+    """foreachBatch handler: the whole upload run for every file of the batch, read by header names and in its own
+    encoding as by the batch loader; ``dataset_id`` is the file name. Files with validation errors go to the
     quarantine with their rows (``on_error="clean"``: are cleaned like others)."""
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        run = upload_run.run(batch, by=["dataset_id"], on_error=on_error)
+        paths = [r["path"] for r in batch.collect()]
+        if not paths:
+            return
+        raw = read_uploads(batch.sparkSession, paths)
+        missing = [F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS if c not in raw.columns]
+        run = upload_run.run(raw.select("*", *missing), by=["dataset_id"], on_error=on_error)
         try:
             upload_run.store(run, history_root, by=["dataset_id"], batch=epoch_id)
         finally:
