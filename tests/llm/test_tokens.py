@@ -16,7 +16,7 @@ from tillroll.llm.tokens import Encoder
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
 PLAIN.encode_special_tokens = True
-ENC = Encoder(PATH, cache_units=50)
+ENC = Encoder(PATH, cache_bytes=60_000)
 
 
 def plain(text):

@@ -1,7 +1,7 @@
 """Token ids in fixed-width bit-packed blocks.
 
 Each id takes the minimum number of bits of the vocabulary. A block holds whole documents, at least
-``BLOCK_IDS`` ids unless it is the last of its part; its payload is read with vectorised numpy from any
+``BLOCK_IDS`` ids unless it is the last of a slice of text; its payload is read with vectorised numpy from any
 position. Blocks are rows of Parquet files, so that any store that Spark reaches can hold them:
 
 ``part``       writing task; parts follow each other in document order
@@ -38,23 +38,47 @@ BLOCK_SCHEMA = ("part int, part_start long, n_ids long, width int, doc_ids array
                 "payload binary")
 
 
+_BLOCK = pa.schema([("part", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()),
+                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
+
+
 def id_width(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits, bitorder="little").tobytes()
+    """64 ids take ``width`` words of 64 bits; each of the 64 columns is shifted to its place in its word, and what a word
+    cannot hold goes to the next."""
+    rows = -(-len(ids) // 64)
+    columns = np.zeros((rows, 64), np.uint64)
+    columns.ravel()[:len(ids)] = ids
+    words = np.zeros((rows, width + 1), np.uint64)
+    for i in range(64):
+        word, bit = divmod(i * width, 64)
+        words[:, word] |= columns[:, i] << np.uint64(bit)
+        if bit + width > 64:
+            words[:, word + 1] |= columns[:, i] >> np.uint64(64 - bit)
+    return np.ascontiguousarray(words[:, :width], "<u8").view(np.uint8).ravel()[:(len(ids) * width + 7) // 8].tobytes()
 
 
 def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     """Ids ``start`` to ``start + count`` of a block; only their bytes are touched."""
-    first = start * width
-    raw = np.frombuffer(payload, np.uint8)[first // 8:(first + count * width + 7) // 8]
-    bits = np.unpackbits(raw, bitorder="little")[first % 8:first % 8 + count * width].reshape(count, width)
-    wide = np.zeros((count, 32), np.uint8)
-    wide[:, :width] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    skip = start % 64
+    rows = -(-(skip + count) // 64)
+    raw = np.frombuffer(payload, np.uint8)[(start - skip) // 8 * width:(start - skip) // 8 * width + rows * width * 8]
+    words = np.zeros((rows, width + 1), np.uint64)
+    whole = np.zeros(rows * width * 8, np.uint8)
+    whole[:len(raw)] = raw
+    words[:, :width] = whole.view("<u8").reshape(rows, width)
+    out = np.empty((rows, 64), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(64):
+        word, bit = divmod(i * width, 64)
+        value = words[:, word] >> np.uint64(bit)
+        if bit + width > 64:
+            value = value | words[:, word + 1] << np.uint64(64 - bit)
+        out[:, i] = value & mask
+    return out.ravel()[skip:skip + count]
 
 
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int = 0,
@@ -67,31 +91,21 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, done = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        names: list = []
-        lengths: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        held = 0
-
-        def block() -> pa.RecordBatch:
-            row = {"part": part, "part_start": done, "n_ids": held, "width": width, "doc_ids": names,
-                   "lengths": np.concatenate(lengths).tolist(), "payload": pack(np.concatenate(ids), width)}
-            types = pa.schema([("part", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()),
-                               ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
-            return pa.RecordBatch.from_pylist([row], types)
-
-        for piece in text_slices(batches, limit=block_ids * 2):
+        for piece in text_slices(batches):
             found, sizes = encode(piece.column(1).to_pylist())
             # the end id after each document
             found = np.insert(found, np.cumsum(sizes), end_id).astype(np.uint32)
-            names += piece.column(0).to_pylist()
-            lengths.append(sizes + 1)
-            ids.append(found)
-            held += len(found)
-            if held >= block_ids:
-                yield block()
-                done, held, names, lengths, ids = done + held, 0, [], [], []
-        if names:
-            yield block()
+            ends = np.cumsum(sizes + 1)
+            first = 0
+            while first < len(ends):
+                begin = int(ends[first - 1]) if first else 0
+                stop = min(int(np.searchsorted(ends, begin + block_ids)) + 1, len(ends))
+                row = {"part": part, "part_start": done + begin, "n_ids": int(ends[stop - 1]) - begin, "width": width,
+                       "doc_ids": piece.column(0).slice(first, stop - first).to_pylist(), "lengths": (sizes[first:stop] + 1).tolist(),
+                       "payload": pack(found[begin:int(ends[stop - 1])], width)}
+                yield pa.RecordBatch.from_pylist([row], _BLOCK)
+                first = stop
+            done += len(found)
 
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(path)
 

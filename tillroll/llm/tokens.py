@@ -15,9 +15,12 @@ from itertools import chain
 
 import numpy as np
 
-# Distinct units that a task remembers; beyond that it forgets them all and goes on (results stay
-# the same).
-CACHE_UNITS = 600_000
+# Bytes that a worker's remembered units and runs may take, as estimated below; beyond that it forgets them all and goes on
+# (results stay the same). Runs above LONG_RUN characters are not remembered.
+CACHE_BYTES = 96 << 20
+UNIT_BYTES = 150           # of a dictionary entry, its string and number
+RUN_BYTES = 250            # the same with a tuple of ids
+LONG_RUN = 200
 _WIDE_GAP = re.compile(r"\s\s")
 _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _STOPS = frozenset(".,;:!?")
@@ -32,33 +35,59 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
-class _Units(dict):
+class _Numbers:
+    """Numbers of units, and the units that have one but no ids yet."""
+
     def __init__(self):
+        self.n, self.new = 0, []
+
+
+class _Units(dict):
+    """Number of each unit; those after a blank are looked up without it."""
+
+    def __init__(self, numbers: _Numbers, lead: str):
         super().__init__()
-        self.new: list[str] = []
+        self.numbers, self.lead = numbers, lead
 
-    def __missing__(self, unit: str) -> int:
-        at = self[unit] = len(self)
-        self.new.append(unit)
+    def __missing__(self, part: str) -> int:
+        numbers = self.numbers
+        at = self[part] = numbers.n
+        numbers.n += 1
+        numbers.new.append(self.lead + part)
         return at
 
 
+def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    if used + more <= len(array):
+        return array
+    wide = np.zeros(max(2 * len(array), used + more), array.dtype)
+    wide[:used] = array[:used]
+    return wide
+
+
 class Encoder:
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
         self.letters = byte_letters()
-        self.limit = cache_units
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.limit = cache_bytes
         self._forget()
 
     def _forget(self) -> None:
-        self.units = _Units()
-        self.flat = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        self.numbers = _Numbers()
+        self.first, self.led = _Units(self.numbers, ""), _Units(self.numbers, " ")
+        self.runs: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
+        # Ids of all units, one after the other, and their ends; both arrays double when they are full.
+        self.flat, self.n_flat = np.zeros(1 << 12, np.uint32), 0
+        self.ends = np.zeros(1 << 10, np.int64)
+        self.n_units = 0
+
+    def _held(self) -> int:
+        return self.chars + self.numbers.n * UNIT_BYTES + len(self.runs) * RUN_BYTES + self.flat.nbytes + self.ends.nbytes
 
     def _run(self, run: str) -> tuple[int, ...]:
         ids = self.runs.get(run)
@@ -68,7 +97,8 @@ class Encoder:
                 ids = tuple([t.id for t in self.tokenizer.model.tokenize(spelt)])
             else:
                 ids = tuple(self.tokenizer.encode(run, add_special_tokens=False).ids)
-            self.runs[run] = ids
+            if len(run) <= LONG_RUN:
+                self.runs[run] = ids
         return ids
 
     def _unit(self, unit: str) -> tuple[int, ...] | list[int]:
@@ -84,26 +114,30 @@ class Encoder:
         return [i for run in _RUNS.findall(unit) for i in self._run(run)]
 
     def _learn(self) -> None:
-        if self.units.new:
-            ids = [self._unit(u) for u in self.units.new]
+        new = self.numbers.new
+        if new:
+            ids = [self._unit(u) for u in new]
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
-            self.units.new = []
-        if len(self.runs) > self.limit:
-            self.runs = {}
+            total, n = int(lens.sum()), len(ids)
+            self.flat = _room(self.flat, self.n_flat, total)
+            self.ends = _room(self.ends, self.n_units + 1, n)
+            self.flat[self.n_flat:self.n_flat + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.ends[self.n_units + 1:self.n_units + 1 + n] = self.n_flat + np.cumsum(lens)
+            self.n_flat, self.n_units = self.n_flat + total, self.n_units + n
+            self.chars += sum(map(len, new))
+            self.numbers.new = []
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each (null: none)."""
         found, sizes = [], []
-        get = self.units.__getitem__
+        get, get_led = self.first.__getitem__, self.led.__getitem__
         for text in texts:
             if not text:
                 sizes.append(0)
                 continue
             parts = _SINGLE_BLANK.split(text) if _WIDE_GAP.search(text) else text.split(" ")
             found.append(get(parts[0]))
-            found.extend([get(" " + p) for p in parts[1:]])
+            found.extend(map(get_led, parts[1:]))
             sizes.append(len(parts))
         self._learn()
         unit = np.array(found, np.int64)
@@ -112,7 +146,7 @@ class Encoder:
         ends = np.cumsum(lens)
         ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - lens), lens)]
         per_text = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)])
-        if len(self.units) > self.limit:
+        if self._held() > self.limit:
             self._forget()
         return ids, per_text
 
