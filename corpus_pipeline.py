@@ -33,30 +33,40 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep_rows(docs, model, lambda m, texts: m.score(quality_trees.features(texts)) >= 0.5)
 
 
+def free_name(docs: DataFrame) -> str:
+    """A column name that the caller's columns do not have, in any spelling."""
+    taken, name = {c.lower() for c in docs.columns}, "_key"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays: of its smallest id, or without an id if no row of the class has one. Classes are
     of rows, whatever their ids. Rows that are equal in id and text are one row; those without words are in no class."""
     text = F.coalesce(F.concat(F.lit("="), "text"), F.lit(""))
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)))
     classes = jaccard_join.row_classes(docs.select("doc_id", "text", key.alias("key")), SHINGLE, PERCENT)
-    kept = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("_key"))
+    own = free_name(docs)
+    kept = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias(own))
     # Repeats go in the tasks that read them, so that the repeats of a row do not meet in one task.
-    once = docs.withColumn("_key", key).dropDuplicates(["_key"])
-    return once.join(kept.select("_key"), "_key", "left_semi").select(docs.columns)
+    once = docs.withColumn(own, key).dropDuplicates([own])
+    return once.join(kept.select(own), own, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row goes by its own text; only rows that are equal in id and text go together."""
     found = leaks.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
-    bad = found.where(F.size("spans") > 0).select(F.col("key").alias("_key")).distinct()
+    own = free_name(docs)
+    bad = found.where(F.size("spans") > 0).select(F.col("key").alias(own)).distinct()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
             at = [piece.column(piece.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text")]
-            yield piece.append_column("_key", pa.array(map(leaks.row_key, *at), pa.binary()))
+            yield piece.append_column(own, pa.array(map(leaks.row_key, *at), pa.binary()))
 
-    rows = docs.mapInArrow(keyed, T.StructType(docs.schema.fields + [T.StructField("_key", T.BinaryType())]))
-    return rows.join(bad, "_key", "left_anti").select(docs.columns)
+    rows = docs.mapInArrow(keyed, T.StructType(docs.schema.fields + [T.StructField(own, T.BinaryType())]))
+    return rows.join(bad, own, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
