@@ -106,3 +106,10 @@ def test_rows_of_one_id_or_none_are_judged_one_by_one(spark):
 
     clean = [tuple(r) for r in P.drop_contaminated(spark, docs, SF).select("doc_id", "text").collect()]
     assert sorted(clean, key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).selectExpr("*", "doc_id AS _key", "'x' AS _KEY_")
+    for stage in (P.drop_near_duplicates, P.drop_contaminated):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and all(r["_key"] == r.doc_id for r in out.collect())
