@@ -186,3 +186,41 @@ def test_clean_reads_its_profile_per_group(spark):
                                 "g string, " + ", ".join(f"{c} string" for c in RAW_TEXT_SCHEMA.names))
     got = {(r.g, r.InvoiceNo): r.Country for r in C.clean(raw, ["g"]).collect()}
     assert got["a", "I2"] == "X" and got["b", "I3"] == "Y" and got[None, "I0"] == "Unknown"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dates_are_not_parsed_again_by_the_filter(spark):
+    raw = spark.createDataFrame([("I1", "S1", "x", "1", "01/02/2023 10:00", "2.50", "C", "uk")], RAW_TEXT_SCHEMA)
+    filters = [line for line in _plan(C.valid_rows(raw)).splitlines() if "Filter" in line]
+    assert filters and not any("RLIKE" in f or "regexp_replace" in f for f in filters)
+
+
+def test_flags_and_clusters_do_not_make_their_input_again(spark):
+    df = rows(spark, [("I1", "S1", "A", float(i), ts("2023-01-01"), D(10), "C1", "UK") for i in range(1, 6)])
+    for marked in (C.suspicious(df), C.quality_flags(df)):
+        assert "LogicalRDD" not in _plan(marked)
+        assert marked.count() == 5
+    assert C.suspicious(df).where("NeedsReview").count() == 5
+
+
+def test_plain_trim_and_initcap_equal_the_patterns(spark):
+    from tillroll.functions.columns import strip_ws, title_case
+    texts = ["", " ", "\t\n a b \x0b\r", "a \u0085", "a  ", " a  ", "a ", "\x1c a", "unITED  kingdom", "u.s.a", "a\tb", "a\n", "ǆx", "o'neil"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "c string")
+    runs = "array_join(transform(regexp_extract_all(c, '(\\\\p{L}+|[^\\\\p{L}]+)', 1), r -> concat(upper(substring(r, 1, 1)), lower(substring(r, 2)))), '')"
+    for r in df.select(strip_ws("c").alias("a"), F.regexp_replace("c", r"^\s+|\s+$", "").alias("b"),
+                       title_case("c").alias("x"), F.expr(runs).alias("y")).collect():
+        assert r.a == r.b and r.x == r.y
+
+
+def test_dates_of_fixed_width(spark):
+    from tillroll.functions.dates import parse_dates
+    # The same date with seconds takes the general way.
+    texts = ["01/02/2023 10:05", "31/12/2023 23:59", "12/31/2023 00:00", "13/13/2023 10:00", "29.02.2023 10:00", "29-02-2024 24:00",
+             "2023-12-31 08:30", "2023/31/12 08:30", "0000/01/01 08:60", "00-00-2023 10:00", "01/02-2023 10:05", " 01/02/2023 10:05 "]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = df.select("c", parse_dates(F.col("c")).alias("a"), parse_dates(F.concat(F.trim("c"), F.lit(":00"))).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(r.a is not None for r in got) == 6, got

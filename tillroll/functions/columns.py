@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,23 +40,35 @@ def ratio(col, digits: int = 4) -> Column:
     return dround(col, digits)
 
 
+def once(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same rows, with ``columns`` worked out once per row: filters over them are not pushed below this place, where each
+    would repeat the expressions it names."""
+    item = F.explode(F.array(F.struct(*[F.col(c) for c in columns]))).alias("_once")
+    return (df.select(*[c for c in df.columns if c not in columns], item)
+            .select(*[F.col("_once")[c].alias(c) if c in columns else F.col(c) for c in df.columns]))
+
+
 def as_count(col) -> Column:
     return _c(col).cast(T.LongType())
 
 
 def strip_ws(col) -> Column:
-    """Remove leading and trailing whitespace of any kind (not just blanks)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace of any kind (not just blanks). A plain trim, except before a last line
+    separator outside ASCII, which ends a text for ``$``."""
+    c = _c(col)
+    odd = F.endswith(c, F.lit("\u0085")) | F.endswith(c, F.lit("\u2028")) | F.endswith(c, F.lit("\u2029"))
+    return F.when(odd, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(F.btrim(c, F.lit(" \t\n\x0b\f\r")))
 
 
 def title_case(col) -> Column:
     """Title case that restarts after every non-letter (``u.s.a`` -> ``U.S.A``).
 
     ``initcap`` only restarts after white space, so the text is cut into runs of letters
-    and non-letters, each run is capitalised, and the runs are joined again.
+    and non-letters, each run is capitalised, and the runs are joined again. Texts of ASCII letters
+    and blanks, where both are the same, take ``initcap``.
     """
     runs = F.regexp_extract_all(_c(col), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.when(_c(col).isNull(), None).otherwise(
+    return F.when(_c(col).isNull(), None).when(_c(col).rlike("^[A-Za-z ]*\\z"), F.initcap(_c(col))).otherwise(
         F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)),
                                                            F.lower(F.substring(r, 2, 1 << 30)))), ""))
 

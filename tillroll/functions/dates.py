@@ -33,6 +33,8 @@ _SHAPES = [
     (rf"^([A-Za-z]{{3,9}})\.?{_SEP}(\d{{1,2}}),?{_SEP}(\d{{4}}|\d{{2}}){_TIME}", "$3|$1|$2|$4"),
 ]
 _CLOCK = r"^(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,9})?))?\s*([AaPp][Mm])?\s*(?:(Z|UTC|GMT)|([+-])(\d{2}):?(\d{2}))?$"
+_FIXED_DAY_FIRST = r"^[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4} [0-9]{2}:[0-9]{2}\z"
+_FIXED_YEAR_FIRST = r"^[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2} [0-9]{2}:[0-9]{2}\z"
 _CLOCK_PARTS = "$1|$2|$3|$4|$6|$7|$8"
 
 
@@ -50,8 +52,21 @@ def parse_dates(col: Column) -> Column:
         shape = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, order)).otherwise(shape)
     # Day first, unless only the other order makes a date.
     turned = t.rlike(r"^\d{1,2}\D")
-    return _bind(F.split(shape, r"\|", 4), lambda parts: _bind(_clock(parts[3]), lambda clock: _bind(
+    general = _bind(F.split(shape, r"\|", 4), lambda parts: _bind(_clock(parts[3]), lambda clock: _bind(
         turned, lambda may_turn: _stamp(parts, clock, may_turn))))
+    return (F.when(t.rlike(_FIXED_DAY_FIRST), _at(t, 7, 4, 1)).when(t.rlike(_FIXED_YEAR_FIRST), _at(t, 1, 6, 9))
+            .otherwise(general))
+
+
+def _at(t: Column, year: int, month: int, day: int) -> Column:
+    """A text of fixed width, read by position: the two most frequent shapes need no more than one pattern."""
+    def part(start: int, width: int = 2) -> Column:
+        return F.substring(t, start, width).cast("int")
+
+    m, d = part(month), part(day)
+    swap = (m > 12) & (d <= 12) if day < year else F.lit(False)  # as below: only where the day comes first
+    return F.try_make_timestamp_ntz(part(year, 4), F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d), part(12), part(15),
+                                    F.lit(0).cast(T.DecimalType(16, 6)))
 
 
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.functions.columns import dround, strip_ws, title_case
+from tillroll.functions.columns import dround, once, strip_ws, title_case
 from tillroll.functions.dates import parse_dates, strict_dates
 from tillroll.plans.groups import attach
 from tillroll.plans.quantiles import percentiles, percentiles_of
@@ -256,7 +256,8 @@ def quality_flags(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Value > 3 x q99 is extreme; score x0.7 per flag, price flag overrides quantity."""
     if not _has(df, "Quantity", "UnitPrice"):
         return df.withColumn("DataQualityScore", F.lit(1.0))
-    return apply_quality_flags(df, quality_thresholds(df, by), by)
+    rows = store(df, "flag-rows")  # read for the thresholds and again to be flagged
+    return apply_quality_flags(rows, quality_thresholds(rows, by), by)
 
 
 # ------------------------------------------------------------------ C13-C15: duplicates
@@ -277,14 +278,15 @@ def suspicious(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """NeedsReview = true where an invoice of one ``by`` group has more than 3 rows in one
     minute, else NULL.
 
-    Pairs (invoice, minute) are counted with a partial aggregate; the flagged ones are stored and joined back. Pairs with a
+    The rows are stored, as they are read for the counts and marked after them. Pairs (invoice, minute) are counted with a
+    partial aggregate; the flagged ones are stored and joined back. Pairs with a
     thousandth of all flagged rows or more, of which there are a thousand at most, are broadcast; their rows take no part
     in the other join (a hash of the row stands in for their key there), so that no task gets a pair that holds a third of
     the rows.
     """
     if not _has(df, "InvoiceNo", "InvoiceDate"):
         return df
-    d = df.withColumn("_minute", F.date_trunc("minute", F.col("InvoiceDate")))
+    d = store(df, "clean-rows").withColumn("_minute", F.date_trunc("minute", F.col("InvoiceDate")))
     keys = [*by, "InvoiceNo", "_minute"]
     counts = d.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     flagged = store(counts.where(F.col("_n") > SUSPICIOUS_MIN_ROWS), "suspicious-pairs")
@@ -308,7 +310,9 @@ def prepare(df: DataFrame, by: Sequence[str] = (), date_formats: Sequence[str] |
 def valid_rows(df: DataFrame, by: Sequence[str] = (), date_formats: Sequence[str] | None = None,
                mode: DataFrame | None = None) -> DataFrame:
     """Filled, typed, filtered and standardised rows (duplicates still present)."""
-    return standardize_text(filter_invalid(prepare(df, by, date_formats, mode)))
+    typed = prepare(df, by, date_formats, mode)
+    tested = [c for c in ("InvoiceDate", "UnitPrice", "Quantity") if _has(typed, c)]
+    return standardize_text(filter_invalid(once(typed, tested) if tested else typed))
 
 
 class RawProfile:
@@ -379,9 +383,7 @@ def clean(df: DataFrame, by: Sequence[str] = (), date_formats: Sequence[str] | N
     de-duplication -> suspicious clusters. Here clusters are marked on the narrow rows, before the derived columns.
     """
     profile = profile or RawProfile(df, by, date_formats)
-    # Clusters are counted over the de-duplicated rows and marked in them, so these are stored rather than made twice.
-    rows = store(dedup(valid_rows(df, by, date_formats, profile.mode())), "clean-rows")
-    out = suspicious(rows, by)
+    out = suspicious(dedup(valid_rows(df, by, date_formats, profile.mode())), by)
     out = transaction_ref(date_parts(revenue_columns(out)))
     if _has(out, "Quantity", "UnitPrice"):
         out = apply_quality_flags(out, profile.thresholds(), by)
