@@ -104,3 +104,38 @@ def test_pages(spark):
     assert index.total() == 1000 and index.after(want[-1], 5).count() == 0
     page = index.page(990, 5)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_slice" in page or "_slice" in page
+
+
+def test_percentiles_make_their_frequencies_once(spark):
+    df = spark.createDataFrame([(float(i % 50),) for i in range(500)], "v double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = percentiles(df, "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Scan ExistingRDD") == 1, plan
+
+
+def test_grains_of_invoices_in_several_groups(spark):
+    from datetime import datetime
+    from decimal import Decimal
+
+    from tillroll.plans.grains import GRAINS, Grains
+
+    random.seed(11)
+    pick = lambda xs: random.choice([*xs, None])
+    data = [(pick(["I1", "I2", "I3", f"U{i}"]), pick(["S1", "S2"]), "d", pick(["C1", "C2", "Unknown"]), pick(["UK", "FR"]), 2023, pick([1, 2]),
+             pick(["Monday", "Friday"]), pick([Decimal("1.50"), Decimal("-2.25")]), float(i % 7), datetime(2023, 1, 1 + i % 28), pick(["x", "y"]))
+            for i in range(400)]
+    df = spark.createDataFrame(data, "InvoiceNo string, StockCode string, Description string, CustomerID string, Country string, Year int, Month int, "
+                                     "Weekday string, Revenue decimal(38,6), Quantity double, InvoiceDate timestamp_ntz, Shop string")
+    for by in ([], ["Shop"]):
+        g = Grains(df, by)
+        assert "LogicalRDD" not in g.rows._jdf.queryExecution().optimizedPlan().toString()  # the rows are made once
+        for name, keys in GRAINS.items():
+            cols = [c for c in ("rev", "valued", "n", "qty", "tx", "first", "last") if c in g._grain(name).columns]
+            want = df.groupBy(*by, *keys).agg(F.sum("Revenue").alias("rev"), F.count("Revenue").alias("valued"), F.count(F.lit(1)).alias("n"),
+                                              F.sum("Quantity").alias("qty"), F.count_distinct("InvoiceNo").alias("tx"),
+                                              F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last")).select(*by, *keys, *cols)
+            assert sorted(map(str, map(tuple, g._grain(name).select(*by, *[f"g_{k}" for k in keys], *cols).collect()))) == sorted(map(str, map(tuple, want.collect()))), name
+    assert Grains(df.limit(0))._grain("total").count() == 0

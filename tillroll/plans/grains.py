@@ -1,10 +1,11 @@
 """Shared aggregates of a cleaned transaction table: every KPI section reads these instead of the rows.
 
-One GROUPING SETS pass aggregates the rows at all grains at once (the business itself, month, weekday, customer,
-product, country, customer within country) and is stored in the shared checkpoint folder, one folder per grain, so that
-a section reads its own grain only. Distinct invoices are counted in the same pass; distinct products and customers
-follow from the product and customer grains. A second pass, made only if a percentile is asked for, stores how often
-each revenue value occurs; all percentiles of all sections then come from one frequency table.
+The columns that count are stored once in the shared checkpoint folder (unless the rows are persisted). From them the
+rows are summed per invoice, and the invoices at the grains of the business itself, month, weekday, customer, country
+and customer within country, stored one folder per grain, so that a section reads its own grain only; products are
+summed apart, as an invoice has many. Distinct products and customers follow from the product and customer grains. A
+further pass, made only if a percentile is asked for, stores how often each revenue value occurs; all percentiles of
+all sections then come from one frequency table.
 
 The KPI operators take a ``Grains`` wherever they take a cleaned table.
 """
@@ -42,34 +43,61 @@ class Grains:
     the frequencies of revenue values at once."""
 
     def __init__(self, rows: DataFrame, by: Sequence[str] = (), only: Sequence[str] = tuple(GRAINS), with_values: bool = False):
-        self.rows, self.by = rows, list(by)
+        self.by = list(by)
         self.sparkSession = rows.sparkSession
         keys = sorted({k for g in only for k in GRAINS[g]})
         # A business key may also be the key of a grain, so the grains' keys get names of their own.
         src = rows.select(*self.by, *[F.col(k).alias(f"g_{k}") for k in keys], "Revenue", "Quantity", "InvoiceNo", "InvoiceDate")
-        sets = [[F.col(b) for b in self.by] + [F.col(f"g_{k}") for k in GRAINS[g]] for g in only]
-        every = [F.col(b) for b in self.by] + [F.col(f"g_{k}") for k in keys]
-        # Bit i of the grouping id is set if key i (from the right) is aggregated away.
-        ids = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in GRAINS[g]): g for g in only}
-        figures = [F.sum("Revenue").alias("rev"), F.count("Revenue").alias("valued"), F.count(F.lit(1)).alias("n"),
-                   F.sum("Quantity").alias("qty"), F.count_distinct("InvoiceNo").alias("tx"),
-                   F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last")]
-        if len(only) == 1 and not every:
-            agg = src.agg(*figures).where("n > 0").withColumn("grain", F.lit(only[0]))
-        else:
-            agg = src.groupingSets(sets, *every).agg(F.grouping_id().alias("_gid"), *figures)
-            names = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-            agg = agg.withColumn("grain", names[F.col("_gid").cast("int")]).drop("_gid")
-        with ThreadPoolExecutor(max_workers=2) as pool:  # two independent jobs over the rows
-            table = pool.submit(store, agg, "grains", ["grain"])
+        level = rows.storageLevel
+        self.rows = src if level.useMemory or level.useDisk else store(src, "grain-rows")
+        work = {"product": self._product} if "product" in only else {}
+        if others := [g for g in only if g != "product"]:
+            work["invoice"] = lambda: self._by_invoice(others)
+        with ThreadPoolExecutor(max_workers=2) as pool:  # independent jobs over the stored rows
+            jobs = {name: pool.submit(job) for name, job in work.items()}
             if with_values:
                 pool.submit(lambda: self.values).result()
-            self._table = table.result()
+            self._tables = {name: job.result() for name, job in jobs.items()}
+
+    def _product(self) -> DataFrame:
+        return store(self.rows.groupBy(*self.by, *[f"g_{k}" for k in GRAINS["product"]]).agg(
+            F.sum("Revenue").alias("rev"), F.sum("Quantity").alias("qty"), F.count_distinct("InvoiceNo").alias("tx")), "grain-product")
+
+    def _by_invoice(self, only: Sequence[str]) -> DataFrame:
+        """The grains that all lines of an invoice share, as a rule: the rows are first summed per invoice and keys. An invoice
+        with one set of keys counts once in each of its groups; the others are told apart by a distinct count."""
+        keys = [f"g_{k}" for k in sorted({k for g in only for k in GRAINS[g]})]
+        figures = ("rev", "valued", "n", "qty", "first", "last")
+        per = store(self.rows.groupBy(*self.by, "InvoiceNo", *keys).agg(
+            F.sum("Revenue").alias("rev"), F.count("Revenue").alias("valued"), F.count(F.lit(1)).alias("n"), F.sum("Quantity").alias("qty"),
+            F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last")), "invoices")
+        several = store(per.where("InvoiceNo IS NOT NULL").groupBy(*self.by, "InvoiceNo").agg(F.count(F.lit(1)).alias("_sets"))
+                        .where("_sets > 1"), "invoices-in-several-groups")
+        counted = _keyed(per, several, [*self.by, "InvoiceNo"])
+        types = {f.name: f.dataType for f in per.schema.fields}
+
+        def at(grains: Sequence[str]) -> Column:
+            return F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), *[
+                (F.col(k) if k.removeprefix("g_") in GRAINS[g] else F.lit(None).cast(types[k])).alias(k) for k in keys]) for g in grains]))
+
+        def spread(df: DataFrame, *columns: str) -> DataFrame:
+            return df.select(*self.by, *columns, at(only).alias("_at")).select(*self.by, *columns, "_at.*")
+
+        alone = (F.col("InvoiceNo").isNotNull() & F.col("_sets").isNull()).cast("bigint").alias("tx")
+        rows = spread(counted.select(*self.by, *keys, *figures, alone), *figures, "tx")
+        shared = spread(counted.where("_sets IS NOT NULL"), "InvoiceNo").distinct().select(
+            *self.by, "grain", *keys, *[F.lit(0 if c in ("valued", "n") else None).cast(types[c]).alias(c) for c in figures],
+            F.lit(1).cast("bigint").alias("tx"))
+        table = rows.unionByName(shared).groupBy(*self.by, "grain", *keys).agg(
+            *[F.sum(c).alias(c) for c in ("rev", "valued", "n", "qty", "tx")], F.min("first").alias("first"), F.max("last").alias("last"))
+        return store(table, "grains", ["grain"])
 
     def _grain(self, name: str) -> DataFrame:
-        t = self._table.where(F.col("grain") == name)
-        return t.select(*self.by, *[F.col(f"g_{k}").alias(f"g_{k}") for k in GRAINS[name]],
-                        "rev", "valued", "n", "qty", "tx", "first", "last")
+        keys = [f"g_{k}" for k in GRAINS[name]]
+        if name == "product":
+            return self._tables["product"].select(*self.by, *keys, "rev", "qty", "tx")
+        return self._tables["invoice"].where(F.col("grain") == name).select(
+            *self.by, *keys, "rev", "valued", "n", "qty", "tx", "first", "last")
 
     def _one(self, df: DataFrame) -> DataFrame:
         """Without business keys a total is one row even of an empty table."""

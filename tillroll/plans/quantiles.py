@@ -80,24 +80,21 @@ def percentiles_of(df: DataFrame, wanted: dict[str, dict[str, float]], by: Seque
 
 def with_slices(values: DataFrame, slices: int) -> DataFrame:
     """Add ``_s``, the slice of ``_x``: about as many rows in each, whatever their groups. The broadcast
-    side is one row with an array of at most ``slices`` numbers."""
-    cuts = values.agg(F.percentile_approx("_x", F.array(*[F.lit(i / slices) for i in range(1, max(slices, 2))]),
+    side is one row with an array of at most ``slices`` numbers. Both sides use ``_n``, so that Spark makes the frequencies
+    once: without it the cuts would prune the count and need an exchange of their own."""
+    cuts = values.agg(F.percentile_approx(F.when(F.col("_n") > 0, F.col("_x")), F.array(*[F.lit(i / slices) for i in range(1, max(slices, 2))]),
                                           F.lit(max(SKETCH_ACCURACY, 4 * slices))).alias("_cuts"))
-    return (values.crossJoin(F.broadcast(cuts))
-            .withColumn("_s", search(F.col("_x"), F.col("_cuts"), slices.bit_length())).drop("_cuts"))
+    return search(values.crossJoin(F.broadcast(cuts)), "_x", "_cuts", "_s", slices.bit_length()).drop("_cuts")
 
 
-def search(x: Column, ordered: Column, steps: int) -> Column:
-    """How many numbers of an ordered array are below ``x``, by binary search in ``steps`` steps."""
-    def step(state: Column, _: Column) -> Column:
-        lo, hi = state["lo"], state["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        above = (lo < hi) & (F.get(ordered, mid) < x)
-        return F.struct(F.when(above, mid + 1).otherwise(lo).alias("lo"),
-                        F.when(above | (lo >= hi), hi).otherwise(mid).alias("hi"))
-
-    whole = F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), whole, step, lambda state: state["lo"])
+def search(df: DataFrame, x: str, ordered: str, name: str, steps: int) -> DataFrame:
+    """Add ``name``: how many numbers of the ordered array are below ``x``, by binary search. Each step is a column over the
+    one before, which stays in generated code; a fold over the steps would be interpreted for every row."""
+    out = df.withColumn(name, F.lit(0))
+    for size in (1 << i for i in reversed(range(steps))):
+        below = F.get(F.col(ordered), F.col(name) + F.lit(size - 1)) < F.col(x)
+        out = out.withColumn(name, F.when(below, F.col(name) + F.lit(size)).otherwise(F.col(name)))
+    return out
 
 
 def between(lo: Column, hi: Column, place: Column) -> Column:
