@@ -330,7 +330,7 @@ register("describe_numeric", lambda s, d: D.describe_numeric(tx(s, d), DESCRIBE_
 
 
 def _trim_summary(s, d):
-    t = tx(s, d)
+    t = store(tx(s, d).select(*DESCRIBE_COLS), "trim-rows")  # read twice for each column
     parts = []
     for c in DESCRIBE_COLS:
         kept = D.trim_p99(t, c)
@@ -353,7 +353,7 @@ register("trim_p99", _trim_summary, sql("tx", "\nUNION ALL\n".join(_trim_sql(c)
 
 
 def _hist(s, d):
-    t = tx(s, d)
+    t = store(tx(s, d).select("CustomerID", "Revenue", "NetRevenue", "Quantity", "InvoiceNo", "InvoiceDate"), "trim-rows")
     a = D.histogram(D.trim_p99(t, "NetRevenue"), "NetRevenue")
     b = D.histogram(D.trim_p99(t, "Quantity"), "Quantity")
     spend = K.customer_spend(t)
