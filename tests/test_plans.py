@@ -116,10 +116,11 @@ def test_percentiles_make_their_frequencies_once(spark):
     assert plan.count("Scan ExistingRDD") == 1, plan
 
 
-def test_grains_of_invoices_in_several_groups(spark):
+def test_grains_of_invoices_in_several_groups(spark, monkeypatch):
     from datetime import datetime
     from decimal import Decimal
 
+    from tillroll.plans import grains
     from tillroll.plans.grains import GRAINS, Grains
 
     random.seed(11)
@@ -130,7 +131,9 @@ def test_grains_of_invoices_in_several_groups(spark):
     df = spark.createDataFrame(data, "InvoiceNo string, StockCode string, Description string, CustomerID string, Country string, Year int, Month int, "
                                      "Weekday string, Revenue decimal(38,6), Quantity double, InvoiceDate timestamp_ntz, Shop string")
     for by in ([], ["Shop"]):
+        monkeypatch.setattr(grains, "ROWS_A_TASK", 10 if by else 1_000_000)  # dealt out, or as read
         g = Grains(df, by)
+        assert g._dealt().rdd.getNumPartitions() == 40 or not by
         assert "LogicalRDD" not in g.rows._jdf.queryExecution().optimizedPlan().toString()  # the rows are made once
         for name, keys in GRAINS.items():
             cols = [c for c in ("rev", "valued", "n", "qty", "tx", "first", "last") if c in g._grain(name).columns]

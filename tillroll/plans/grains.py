@@ -30,6 +30,8 @@ GRAINS: dict[str, tuple[str, ...]] = {
     "total": (), "month": ("Year", "Month"), "weekday": ("Weekday",), "customer": ("CustomerID",),
     "product": ("StockCode", "Description"), "country": ("Country",), "country_customer": ("Country", "CustomerID")}
 
+ROWS_A_TASK = 1_000_000  # products and invoices form nearly as many pairs as there are rows, so this bounds a task's memory
+
 PROBABILITIES = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
@@ -59,8 +61,15 @@ class Grains:
                 pool.submit(lambda: self.values).result()
             self._tables = {name: job.result() for name, job in jobs.items()}
 
+    def _dealt(self) -> DataFrame:
+        """The rows, dealt out evenly by their number if a task would read many: the files of a large table give few tasks."""
+        n, cores = self.rows.count(), self.sparkSession.sparkContext.defaultParallelism
+        if n <= ROWS_A_TASK * cores:
+            return self.rows
+        return self.rows.withColumn("_row", F.monotonically_increasing_id()).repartition(-(-n // ROWS_A_TASK), "_row")
+
     def _product(self) -> DataFrame:
-        return store(self.rows.groupBy(*self.by, *[f"g_{k}" for k in GRAINS["product"]]).agg(
+        return store(self._dealt().groupBy(*self.by, *[f"g_{k}" for k in GRAINS["product"]]).agg(
             F.sum("Revenue").alias("rev"), F.sum("Quantity").alias("qty"), F.count_distinct("InvoiceNo").alias("tx")), "grain-product")
 
     def _by_invoice(self, only: Sequence[str]) -> DataFrame:
