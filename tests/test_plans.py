@@ -142,3 +142,46 @@ def test_grains_of_invoices_in_several_groups(spark, monkeypatch):
                                               F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last")).select(*by, *keys, *cols)
             assert sorted(map(str, map(tuple, g._grain(name).select(*by, *[f"g_{k}" for k in keys], *cols).collect()))) == sorted(map(str, map(tuple, want.collect()))), name
     assert Grains(df.limit(0))._grain("total").count() == 0
+
+
+def test_grains_deal_rows_by_their_number(spark, monkeypatch):
+    """Few shuffle partitions leave no task with many groups, and rows without an invoice do not meet in one task."""
+    from datetime import datetime
+    from decimal import Decimal
+
+    from tillroll.plans import grains
+    from tillroll.plans.grains import Grains
+
+    data = [(None if i % 3 == 0 else f"I{i // 2}", f"S{i % 50}" if i % 3 else "S", "d", f"C{i % 40}", "UK", 2023, 1, "Monday", Decimal("1.50"), 2.0, datetime(2023, 1, 1))
+            for i in range(3000)]
+    df = spark.createDataFrame(data, "InvoiceNo string, StockCode string, Description string, CustomerID string, Country string, Year int, Month int, "
+                                     "Weekday string, Revenue decimal(38,6), Quantity double, InvoiceDate timestamp_ntz").repartition(3)
+    monkeypatch.setattr(grains, "ROWS_A_TASK", 50)
+    monkeypatch.setattr(grains, "ROWS_A_SHARE", 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        g = Grains(df)
+        for keys in (["g_StockCode", "g_Description"], ["g_CustomerID"]):
+            read = g._dealt(g.rows, keys).groupBy(F.spark_partition_id().alias("p")).count()
+            assert read.agg(F.sum("count"), F.max("count") < 250).first() == (3000, True)
+            groups = g._per_invoice(g.rows, keys, F.count(F.lit(1)).alias("n"))
+            assert groups.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] < 150
+        made = {r.g_StockCode: (r.rev, r.qty, r.tx) for r in g._grain("product").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = df.groupBy("StockCode").agg(F.sum("Revenue"), F.sum("Quantity"), F.count_distinct("InvoiceNo")).collect()
+    assert made == {r[0]: tuple(r[1:]) for r in want} and g._grain("total").first().n == 3000
+
+
+def test_sales_join_deals_lines_by_their_number(spark, monkeypatch):
+    from tillroll.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    before = sorted(map(str, fixtures.sales(spark, sf, keyed=True).collect()))
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", 300)
+    tasks = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 300)
+    dealt = fixtures.sales(spark, sf, keyed=True)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {tasks}") >= 2 and plan.count("RepartitionByExpression") == 2, plan
+    assert sorted(map(str, dealt.collect())) == before and len(before) > 300 * 8

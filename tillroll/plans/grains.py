@@ -3,7 +3,7 @@
 The columns that count are stored once in the shared checkpoint folder (unless the rows are persisted). From them the
 rows are summed per invoice, and the invoices at the grains of the business itself, month, weekday, customer, country
 and customer within country, stored one folder per grain, so that a section reads its own grain only; products are
-summed apart, as an invoice has many. Distinct products and customers follow from the product and customer grains. A
+summed apart, per product and invoice first. Distinct products and customers follow from the product and customer grains. A
 further pass, made only if a percentile is asked for, stores how often each revenue value occurs; all percentiles of
 all sections then come from one frequency table.
 
@@ -23,14 +23,16 @@ from pyspark.sql import types as T
 from tillroll.functions.columns import money, ratio, safe_div
 from tillroll.plans.quantiles import percentiles
 from tillroll.schema import UNKNOWN_CUSTOMER
-from tillroll.session import store
+from tillroll.session import shuffle_partitions, store
 
 # Key columns of each grain beside the business keys.
 GRAINS: dict[str, tuple[str, ...]] = {
     "total": (), "month": ("Year", "Month"), "weekday": ("Weekday",), "customer": ("CustomerID",),
     "product": ("StockCode", "Description"), "country": ("Country",), "country_customer": ("Country", "CustomerID")}
 
-ROWS_A_TASK = 1_000_000  # products and invoices form nearly as many pairs as there are rows, so this bounds a task's memory
+ROWS_A_TASK = 500_000  # products and invoices form nearly as many pairs as there are rows, so this bounds a task's memory
+ROWS_A_SHARE = 65_536  # rows without an invoice that are summed together
+SHARES = 64  # shares of the invoices for each task, so that the tasks get about as many
 
 PROBABILITIES = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
@@ -61,27 +63,47 @@ class Grains:
                 pool.submit(lambda: self.values).result()
             self._tables = {name: job.result() for name, job in jobs.items()}
 
-    def _dealt(self) -> DataFrame:
-        """The rows, dealt out evenly by their number if a task would read many: the files of a large table give few tasks."""
-        n, cores = self.rows.count(), self.sparkSession.sparkContext.defaultParallelism
-        if n <= ROWS_A_TASK * cores:
-            return self.rows
-        return self.rows.withColumn("_row", F.monotonically_increasing_id()).repartition(-(-n // ROWS_A_TASK), "_row")
+    def _tasks(self, rows: DataFrame) -> int:
+        """Tasks of ``ROWS_A_TASK`` rows each; 0 if the session's cores and shuffle partitions have no more rows than that."""
+        n, spark = rows.count(), self.sparkSession
+        return -(-n // ROWS_A_TASK) if n > ROWS_A_TASK * min(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)) else 0
+
+    def _dealt(self, rows: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+        """The rows by ``keys`` and a share of the invoices, so that neither a hot key nor many rows without an invoice meet in
+        one task; as they are if they are few."""
+        rows = self.rows if rows is None else rows
+        tasks = self._tasks(rows)
+        if not tasks:
+            return rows.withColumn("_share", F.lit(None).cast("bigint"))
+        share = F.pmod(F.xxhash64("InvoiceNo"), F.lit(SHARES * tasks))
+        run = -F.floor(F.monotonically_increasing_id() / ROWS_A_SHARE) - 1
+        return rows.withColumn("_share", F.when(F.col("InvoiceNo").isNull(), run).otherwise(share)).repartition(tasks, *keys, "_share")
+
+    def _per_invoice(self, rows: DataFrame, keys: Sequence[str], *figures: Column) -> DataFrame:
+        """Figures per ``keys``, invoice and share: nearly as many groups as there are rows, those without an invoice in parts."""
+        return self._dealt(rows, keys).groupBy(*keys, "InvoiceNo", "_share").agg(*figures)
 
     def _product(self) -> DataFrame:
-        return store(self._dealt().groupBy(*self.by, *[f"g_{k}" for k in GRAINS["product"]]).agg(
-            F.sum("Revenue").alias("rev"), F.sum("Quantity").alias("qty"), F.count_distinct("InvoiceNo").alias("tx")), "grain-product")
+        keys = [*self.by, *[f"g_{k}" for k in GRAINS["product"]]]
+        sums = [F.sum("rev").alias("rev"), F.sum("qty").alias("qty")]
+        pairs = self._per_invoice(self.rows, keys, F.sum("Revenue").alias("rev"), F.sum("Quantity").alias("qty"))
+        if tasks := self._tasks(self.rows):  # products may be many as well; those of a task's rows are summed where they are
+            parts = pairs.groupBy(*keys, "_share").agg(*sums, F.count("InvoiceNo").alias("tx"))
+            whole = parts.repartition(tasks, *keys).groupBy(*keys).agg(*sums, F.sum("tx").alias("tx"))
+        else:
+            whole = pairs.groupBy(*keys).agg(*sums, F.count("InvoiceNo").alias("tx"))
+        return store(whole, "grain-product")
 
     def _by_invoice(self, only: Sequence[str]) -> DataFrame:
         """The grains that all lines of an invoice share, as a rule: the rows are first summed per invoice and keys. An invoice
         with one set of keys counts once in each of its groups; the others are told apart by a distinct count."""
         keys = [f"g_{k}" for k in sorted({k for g in only for k in GRAINS[g]})]
         figures = ("rev", "valued", "n", "qty", "first", "last")
-        per = store(self.rows.groupBy(*self.by, "InvoiceNo", *keys).agg(
-            F.sum("Revenue").alias("rev"), F.count("Revenue").alias("valued"), F.count(F.lit(1)).alias("n"), F.sum("Quantity").alias("qty"),
-            F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last")), "invoices")
-        several = store(per.where("InvoiceNo IS NOT NULL").groupBy(*self.by, "InvoiceNo").agg(F.count(F.lit(1)).alias("_sets"))
-                        .where("_sets > 1"), "invoices-in-several-groups")
+        per = store(self._per_invoice(
+            self.rows, [*self.by, *keys], F.sum("Revenue").alias("rev"), F.count("Revenue").alias("valued"), F.count(F.lit(1)).alias("n"),
+            F.sum("Quantity").alias("qty"), F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last")).drop("_share"), "invoices")
+        several = store(self._per_invoice(per.where("InvoiceNo IS NOT NULL"), self.by, F.count(F.lit(1)).alias("_sets"))
+                        .where("_sets > 1").drop("_share"), "invoices-in-several-groups")
         counted = _keyed(per, several, [*self.by, "InvoiceNo"])
         types = {f.name: f.dataType for f in per.schema.fields}
 

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.session import shuffle_partitions
 from tillroll.sources.tables import table
 
 CENTS = T.DecimalType(18, 2)  # the type of prices in the given tables
+LINES_A_TASK = 1_000_000
 
 
 def _joined(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
@@ -42,6 +44,10 @@ def _joined(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
     pa = table(spark, sf_dir, "part", "p_partkey", "p_name")
     cust = cu.join(F.broadcast(na), cu.c_nationkey == na.n_nationkey)
     orders = od.join(cust, od.o_custkey == cust.c_custkey)
+    # Many lines for few shuffle partitions: more of them, so that a task sorts a bounded number of lines.
+    tasks = -(-li.count() // LINES_A_TASK)
+    if tasks > shuffle_partitions(spark):
+        li, orders = li.repartition(tasks, "l_orderkey").hint("merge"), orders.repartition(tasks, "o_orderkey")
     return li.join(orders, li.l_orderkey == orders.o_orderkey).join(pa, li.l_partkey == pa.p_partkey)
 
 
