@@ -88,5 +88,40 @@ def test_chains_shells_and_edges(spark, monkeypatch, pivots):
     assert sorted(map(tuple, J.near_classes(df).collect()), key=str) == brute(docs)
 
 
+def test_sets_without_a_common_shingle_share_no_cell():
+    rng = np.random.default_rng(4)
+    for percent in (80, 85):
+        sets = [np.unique(rng.integers(0, 2**63, int(n)).astype(np.uint64)) for n in rng.integers(400, 440, 200)]
+        counted = np.unique(np.concatenate([np.unique(J.cells(s, percent)) for s in sets]), return_counts=True)[1]
+        assert (counted > 1).sum() <= 5, percent
+
+
+def test_distances_of_blocks_that_are_split(spark, monkeypatch):
+    monkeypatch.setattr(J, "LEADS", 3)
+    monkeypatch.setattr(J, "FOLLOWERS", 4)
+    rng = random.Random(5)
+    texts = {i: " ".join(f"w{k}" if rng.random() < 0.9 else f"n{rng.random()}" for k in range(60)) for i in range(30)}
+    whole = spark.createDataFrame([*texts.items(), (4, texts[4].upper())], "node long, text string")
+    pairs = [(a, b) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.5]
+    got = J.distances(whole, spark.createDataFrame(pairs, "a long, b long"), 4, 85).collect()
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in pairs}
+    assert len(got) == len(pairs) and {(r["a"], r["b"]) for r in got} == set(want)
+    for r in got:
+        common, union = want[r["a"], r["b"]]
+        assert abs(r["distance"] - (1 - common / union)) < 1e-12 and r["linked"] == (100 * common >= 85 * union)
+
+
+def test_rounds_grow_with_the_logarithm_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(J, "PIVOTS", 1)
+    stored, store = [], J.store
+    monkeypatch.setattr(J, "store", lambda df, name: stored.append(name) or store(df, name))
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(100))
+    docs = [(i, passage + " " + " ".join(f"q{rng.random()}" for _ in range(24))) for i in range(40)]
+    assert sorted(map(tuple, J.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str) == brute(docs)
+    assert 2 < stored.count("open-cells") <= 6
+
+
 def test_empty(spark):
     assert J.near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -14,13 +14,14 @@ next, as boundary documents of a window do.
 *Inner cells.* In each outer cell the first set is the pivot and its exact distance to every member is
 taken. Members are then dealt into shells by that distance; by the triangle inequality two members can
 only be linked if their distances to the pivot differ by at most the threshold, so a shell is joined with
-members in that window alone. Each shell takes new pivots, round after round, until every pair of members
+members in that window alone. Each shell takes new pivots, more in each round, until every pair of members
 is either tested, ruled out by its window or sketch, or already in one component. Every link that joins two
 components is found, without all pairs of a group being formed.
 
 *Sketches.* A set's sketch holds the parity of its shingles in each of 1,024 places. Two sketches differ in at
 most as many bits as the sets differ in shingles, so a pair whose sketches differ in more bits than a link
-allows is ruled out for certain, inside the join, before any set moves. Only what is left is tested on whole sets.
+allows is ruled out for certain, inside the join, before any text moves. Only what is left is tested on whole sets, made again from the texts, which
+move in blocks.
 
 Sets are compared by 64-bit shingle hashes, and equal sets share a 64-bit node number.
 
@@ -33,6 +34,7 @@ members. An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 from typing import Iterator
 
@@ -45,7 +47,9 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import store, text_slices
 
 SHINGLE, PERCENT = 4, 85
-PIVOTS = 64  # pivots that a shell takes in a round
+PIVOTS = 64  # pivots that a shell takes in the first round
+MORE = 4  # times as many in each further one, so that the rounds grow with the logarithm of a shell
+LEADS, FOLLOWERS = 512, 16_384  # sets of a block that are held at once, and those that stream by
 SKETCH = [f"s{i}" for i in range(16)]  # a sketch as columns of 64 bits
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -99,15 +103,29 @@ def size_class(n: int, percent: int = PERCENT) -> tuple[int, int, int]:
         k, low = k + 1, high
 
 
+@lru_cache(None)
+def part_count(least: int, largest: int, percent: int) -> tuple[int, int]:
+    """Most shingles in which two linked sets of ``least`` to ``largest`` shingles differ, and the number of parts: so many more
+    that even small sets nearly always fill more parts than they may differ in. Empty parts count only if a set does
+    not, as they put sets together that have nothing in common."""
+    differ = 2 * largest * (100 - percent) // (100 + percent)
+    parts = differ + 2 + differ // 20
+    while parts < 2 * differ + 8:
+        empty = parts * math.exp(-least / parts)
+        if parts - differ > empty + 3 * math.sqrt(empty):
+            break
+        parts += 1
+    return differ, parts
+
+
 def cells(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Numbers of the outer cells of a set: its parts at the level of its size class and of the next."""
-    k, _, top = size_class(len(s), percent)
+    k, low, top = size_class(len(s), percent)
     out = []
-    for level, largest in ((k, top), (k + 1, size_class(top + 1, percent)[2])):
-        differ = 2 * largest * (100 - percent) // (100 + percent)
+    for level, least, largest in ((k, size_class(max(low - 1, 1), percent)[1], top), (k + 1, low, size_class(top + 1, percent)[2])):
+        differ, parts = part_count(least, largest, percent)
         if not differ:
             continue  # sets of these sizes are linked only if they are equal
-        parts = differ + 2 + differ // 20
         part = (mix(s + np.uint64(level)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         p = part[order]
@@ -175,23 +193,25 @@ def shared_cells(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return store(ordered.mapInArrow(members, "cell long, pivot long, node long"), "shared-cells")
 
 
-def cell_sets(docs: DataFrame, known: DataFrame, shared: DataFrame, size: int) -> DataFrame:
-    """Stored ``node, n, set, s0, s1, ...`` of all sets in shared cells: the texts move once. A node has more
-    than one (equal) row only if rows that share its id have texts that differ in case or white space."""
+def cell_texts(docs: DataFrame, known: DataFrame, shared: DataFrame, size: int) -> DataFrame:
+    """Stored ``node, n, text, s0, s1, ...`` of all sets in shared cells: a text is several times smaller than its set
+    of hashes. A node has more than one row only if rows that share its id have texts that differ in case or white space."""
     first = known.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = shared.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(first, "node")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
-            found = [(n, s) for n, s in zip(piece.column(0).to_pylist(), shingle_sets(piece.column(1).to_pylist(), size)) if node_of(s) == n]
-            marks = np.array([sketch(s) for _, s in found], np.int64).reshape(len(found), len(SKETCH))
+            sets = shingle_sets(piece.column(1).to_pylist(), size)
+            own = [i for i, (n, s) in enumerate(zip(piece.column(0).to_pylist(), sets)) if node_of(s) == n]
+            bits = np.array([sketch(sets[i]) for i in own], np.int64).reshape(len(own), len(SKETCH))
+            found = piece.take(pa.array(own, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
-                 pa.array([s.tobytes() for _, s in found], pa.binary())] + [pa.array(c) for c in marks.T], names=["node", "n", "set", *SKETCH])
+                [found.column(0), pa.array([len(sets[i]) for i in own], pa.int64()), found.column(1)] + [pa.array(c) for c in bits.T],
+                names=["node", "n", "text", *SKETCH])
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
-    schema = "node long, n long, set binary, " + ", ".join(f"{c} long" for c in SKETCH)
-    return store(texts.mapInArrow(sets, schema), "cell-sets")
+    schema = "node long, n long, text string, " + ", ".join(f"{c} long" for c in SKETCH)
+    return store(texts.mapInArrow(marks, schema), "cell-texts")
 
 
 def may_link(x: str, y: str, percent: int):
@@ -202,33 +222,83 @@ def may_link(x: str, y: str, percent: int):
     return (F.abs(F.col(f"{x}n") - F.col(f"{y}n")) * (100 + percent) <= most) & (bits * (100 + percent) <= most)
 
 
-def distances(whole: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Stored ``a, b, distance, linked`` of the distinct ``pairs`` (a, b) of nodes, exactly, from the sets
-    in ``whole`` (node, set)."""
+def compared(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[float, bool]:
+    """Jaccard distance of two sets, and whether they are linked."""
+    if len(x) > len(y):
+        x, y = y, x
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    union = len(x) + len(y) - common
+    return 1 - common / union, 100 * common >= percent * union
+
+
+def distances(whole: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Stored ``a, b, distance, linked`` of the distinct ``pairs`` (a, b) of nodes, exactly, from the texts in ``whole``
+    (node, text). Pairs meet in blocks: those of one ``b`` go to the block of its smallest ``a``, so that the texts of a
+    group of near copies move about once, not once a pair. A block with more than ``LEADS`` sets as ``a`` is split by
+    ``a``, one with more than ``FOLLOWERS`` of them as ``b`` by ``b``."""
+    rows = pairs.groupBy("b").agg(F.min("a").alias("block"), F.collect_set("a").alias("partners"))
+    heavy = (rows.select("block", F.col("b").alias("_b"), F.explode("partners").alias("_a")).groupBy("block")
+             .agg(F.approx_count_distinct("_a").alias("x"), F.approx_count_distinct("_b").alias("y"))
+             .where((F.col("x") > LEADS) | (F.col("y") > FOLLOWERS))
+             .select("block", F.ceil(F.col("x") / LEADS).alias("ka"), F.ceil(F.col("y") / FOLLOWERS).alias("kb")))
+    one = F.lit(1).cast("long")
+    dealt = (rows.join(F.broadcast(heavy), "block", "left").withColumn("ka", F.coalesce("ka", one)).withColumn("kb", F.coalesce("kb", one))
+             .withColumn("at_b", F.pmod(F.xxhash64("b"), "kb"))
+             .withColumn("at_a", F.explode(F.sequence(one - 1, F.col("ka") - 1)))
+             .withColumn("partners", F.expr("filter(partners, a -> pmod(xxhash64(a), ka) = at_a)")).where(F.size("partners") > 0))
+    place = ["block", "at_a", "at_b"]
+    ends = (dealt.select(*place, F.col("b").alias("node"), F.lit(False).alias("lead"), "partners")
+            .unionByName(dealt.select(*place, F.explode("partners").alias("node"), F.lit(True).alias("lead"), F.lit(None).cast("array<long>").alias("partners"))))
+    ends = ends.groupBy(*place, "node").agg(F.max("lead").alias("lead"), F.flatten(F.collect_list("partners")).alias("partners"))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far, near = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                union = len(x) + len(y) - common
-                far.append(1 - common / union)
-                near.append(100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(near, pa.bool_())],
-                                             names=["a", "b", "distance", "linked"])
+        # Rows come block by block, the sets named by others first; those wait until all of them are there.
+        block, leads, waiting, last = None, {}, [], None
+        found: list[tuple] = []
+
+        def test(node: int, s: np.ndarray, partners: list[int]) -> None:
+            found.extend((a, node, *compared(leads[a], s, percent)) for a in partners)
 
-    def side(c: str) -> DataFrame:  # only the sets of these pairs move
-        return whole.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")).join(pairs.select(c), c, "left_semi")
+        def settle() -> None:
+            for row in waiting:
+                test(*row)
+            waiting.clear()
 
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
-    return store(both.mapInArrow(compare, "a long, b long, distance double, linked boolean").dropDuplicates(["a", "b"]), "distances")
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*found)) or [(), (), (), ()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))],
+                                              names=["a", "b", "distance", "linked"])
+
+        for piece in text_slices(batches):
+            *here, node, lead, partners = [piece.column(i).to_pylist() for i in range(6)]
+            for at, n, first, named, s in zip(zip(*here), node, lead, partners, shingle_sets(piece.column(6).to_pylist(), size)):
+                if at != block:
+                    settle()
+                    block, leads, last = at, {}, None
+                if n == last:
+                    continue  # an equal set under the same node
+                last = n
+                if first:
+                    leads[n] = s
+                    if named:
+                        waiting.append((n, s, named))
+                else:
+                    settle()
+                    test(n, s, named)
+            yield out()
+        settle()
+        yield out()
+
+    moved = whole.select("node", "text").join(ends, "node").select(*place, "node", "lead", "partners", "text")
+    moved = moved.repartition(*place).sortWithinPartitions(*place, F.desc("lead"), "node")
+    return store(moved.mapInArrow(compare, "a long, b long, distance double, linked boolean"), "distances")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` (smallest node of the component) of all nodes of ``edges`` (a, b), by alternating
     stars of rising and falling neighbours; every round is stored."""
-    e, before = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -236,25 +306,26 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = store(least.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "stars")
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
+        # Done when every component is one star: no node has two edges downwards, or edges both ways.
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down")))
+        ways = ends.groupBy("x").agg(F.sum("down").alias("down"), F.min("down").alias("top"))
+        if ways.where("down > 1 OR (down = 1 AND top = 0)").isEmpty():
             roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-        before = mark
 
 
 def linked_nodes(docs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, root`` of the nodes that are linked with another one; ``known``: the sizes of ``docs``."""
     delta = 1 - percent / 100 + 1e-9
     shared = shared_cells(docs, size, percent)
-    whole = cell_sets(docs, known, shared, size)
+    whole = cell_texts(docs, known, shared, size)
     marks = whole.select("node", "n", *SKETCH).dropDuplicates(["node"])
-    tested = distances(whole, shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), percent)
+    tested = distances(whole, shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), size, percent)
     roots = components(tested.where("linked").select("a", "b"))
     # Members of cells where the first pivot has not settled everything, in shells around it.
     rest = shared.join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance"), ["pivot", "node"])
     rest = rest.select("cell", "node", "distance", F.floor(F.col("distance") / delta).alias("shell"))
-    done = tested.select("a", "b")
+    done, take = tested.select("a", "b"), PIVOTS
     while True:
         member = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = member.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
@@ -262,7 +333,8 @@ def linked_nodes(docs: DataFrame, known: DataFrame, size: int, percent: int) ->
         if member.isEmpty():
             break
         turn = Window.partitionBy("cell", "shell").orderBy("node")
-        pivot = member.withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= PIVOTS).drop("_r")
+        pivot = member.withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= take).drop("_r")
+        take *= MORE
         p = pivot.join(marks, "node").select("cell", F.col("node").alias("p"), F.col("distance").alias("pd"), F.col("root").alias("proot"),
                                              F.col("n").alias("p_n"), *[F.col(c).alias(f"p_{c}") for c in SKETCH])
         pairs = (member.join(marks, "node").join(p, "cell")
@@ -273,7 +345,7 @@ def linked_nodes(docs: DataFrame, known: DataFrame, size: int, percent: int) ->
         pairs = store(pairs, "window-pairs")
         rest = member.join(pivot.select("cell", "node"), ["cell", "node"], "left_anti").drop("root")
         if not pairs.isEmpty():
-            new = distances(whole, pairs, percent)
+            new = distances(whole, pairs, size, percent)
             done = done.unionByName(new.select("a", "b"))
             links = new.where("linked").select("a", "b")
             if not links.isEmpty():
