@@ -185,3 +185,22 @@ def test_sales_join_deals_lines_by_their_number(spark, monkeypatch):
     plan = dealt._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f", {tasks}") >= 2 and plan.count("RepartitionByExpression") == 2, plan
     assert sorted(map(str, dealt.collect())) == before and len(before) > 300 * 8
+
+
+def test_sales_join_sorts_no_lines_by_part_nor_orders_by_customer(spark, monkeypatch):
+    from tillroll.sources import fixtures
+
+    sf, name = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    want = sorted(map(str, fixtures.sales(spark, sf).collect()))
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", 300)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as if parts and customers were too many to broadcast
+    try:
+        for few, sent, hashed in ((10, 1, 2), (100_000, 2, 1)):
+            monkeypatch.setattr(fixtures, "ROWS_TO_SEND", few)
+            df = fixtures.sales(spark, sf)
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert [plan.count(f"{kind} [") for kind in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")] == [1, sent, hashed], plan
+            assert sorted(map(str, df.collect())) == want
+    finally:
+        spark.conf.set(name, before)

@@ -17,6 +17,7 @@ from tillroll.sources.tables import table
 
 CENTS = T.DecimalType(18, 2)  # the type of prices in the given tables
 LINES_A_TASK = 1_000_000
+ROWS_TO_SEND = 65_536  # rows of the smaller side of a join that are broadcast
 
 
 def _joined(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
@@ -43,14 +44,23 @@ def _joined(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
         na = na.join(F.broadcast(rg), na.n_regionkey == rg.r_regionkey)
     pa = table(spark, sf_dir, "part", "p_partkey", "p_name")
     cust = cu.join(F.broadcast(na), cu.c_nationkey == na.n_nationkey)
-    orders = od.join(cust, od.o_custkey == cust.c_custkey)
-    # Many lines for few shuffle partitions: more of them, so that a task sorts a bounded number of lines.
     tasks = -(-li.count() // LINES_A_TASK)
-    if tasks > shuffle_partitions(spark):
+    many = tasks > min(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))  # AQE may leave no more tasks than cores
+    if many:
+        # Neither orders by customer nor lines by part are sorted: they pass by the rows of the smaller side, so that a
+        # task's memory does not grow with them, nor with a hot customer or part.
+        cust, pa = cust.hint("shuffle_hash"), _beside_many(pa)
+    orders = od.join(cust, od.o_custkey == cust.c_custkey)
+    if many:  # so many tasks that each sorts a bounded number of lines
         li, orders = li.repartition(tasks, "l_orderkey").hint("merge"), orders.repartition(tasks, "o_orderkey")
     return li.join(orders, li.l_orderkey == orders.o_orderkey).join(pa, li.l_partkey == pa.p_partkey)
 
 
+def _beside_many(side: DataFrame) -> DataFrame:
+    """The smaller side of a join with many rows: sent whole to the tasks if it has few rows, else hashed in shuffled shares."""
+    return F.broadcast(side) if side.limit(ROWS_TO_SEND + 1).count() <= ROWS_TO_SEND else side.hint("shuffle_hash")
+
+
 def _signed_qty() -> Column:
     return F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
 
