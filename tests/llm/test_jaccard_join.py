@@ -123,5 +123,16 @@ def test_rounds_grow_with_the_logarithm_of_a_group(spark, monkeypatch):
     assert 2 < stored.count("open-cells") <= 6
 
 
+def test_only_likely_texts_move(spark):
+    for kind in ("long", "string"):
+        rows = spark.range(-1000, 20_000).selectExpr(f"cast(id as {kind}) as doc_id", "concat('t', id) as text")
+        rows = rows.unionByName(rows.where("doc_id % 7 = 0")).unionByName(spark.sql(f"SELECT cast(null as {kind}) AS doc_id, 'x' AS text"))
+        wanted = rows.where("doc_id % 50 = 0").select("doc_id")
+        got = J.likely(rows, "doc_id", wanted)
+        need = sorted(map(tuple, rows.where("doc_id % 50 = 0").collect()))
+        assert got.columns == rows.columns and sorted(map(tuple, got.where("doc_id % 50 = 0").collect())) == need
+        assert got.count() < len(need) + 50 and J.likely(rows, "doc_id", wanted.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert J.near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -50,6 +50,7 @@ SHINGLE, PERCENT = 4, 85
 PIVOTS = 64  # pivots that a shell takes in the first round
 MORE = 4  # times as many in each further one, so that the rounds grow with the logarithm of a shell
 LEADS, FOLLOWERS = 512, 16_384  # sets of a block that are held at once, and those that stream by
+SLOTS = 1 << 25  # bits that tell which texts are needed, 4 MB in all
 SKETCH = [f"s{i}" for i in range(16)]  # a sketch as columns of 64 bits
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -193,11 +194,25 @@ def shared_cells(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return store(ordered.mapInArrow(members, "cell long, pivot long, node long"), "shared-cells")
 
 
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be in ``wanted``, by bitmaps of hash slots (at most ``SLOTS`` bits, broadcast): all that are, and a
+    share of the others that grows with the number of wanted keys. It spares the texts of most others a shuffle."""
+    def placed(df: DataFrame) -> DataFrame:
+        slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
+        return df.withColumn("_map", F.bitmap_bucket_number(slot)).withColumn("_bit", F.bitmap_bit_position(slot))
+
+    maps = placed(wanted.select(key)).select("_map", "_bit").repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(_bit div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    held = F.expr("cast(_bit % 8 as int)")
+    return (placed(rows).join(F.broadcast(maps), "_map")
+            .where(F.get(F.array(*[F.shiftright(byte, i).bitwiseAND(1) for i in range(8)]), held) == 1).select(rows.columns))
+
+
 def cell_texts(docs: DataFrame, known: DataFrame, shared: DataFrame, size: int) -> DataFrame:
     """Stored ``node, n, text, s0, s1, ...`` of all sets in shared cells: a text is several times smaller than its set
     of hashes. A node has more than one row only if rows that share its id have texts that differ in case or white space."""
     first = known.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = shared.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(first, "node")
+    wanted = store(shared.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(first, "node"), "cell-nodes")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
@@ -209,7 +224,7 @@ def cell_texts(docs: DataFrame, known: DataFrame, shared: DataFrame, size: int)
                 [found.column(0), pa.array([len(sets[i]) for i in own], pa.int64()), found.column(1)] + [pa.array(c) for c in bits.T],
                 names=["node", "n", "text", *SKETCH])
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
+    texts = likely(docs.select("doc_id", "text"), "doc_id", wanted).join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
     schema = "node long, n long, text string, " + ", ".join(f"{c} long" for c in SKETCH)
     return store(texts.mapInArrow(marks, schema), "cell-texts")
 
