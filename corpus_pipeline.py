@@ -48,10 +48,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)))
     classes = jaccard_join.row_classes(docs.select("doc_id", "text", key.alias("key")), SHINGLE, PERCENT)
     own = free_name(docs)
-    kept = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias(own))
-    # Repeats go in the tasks that read them, so that the repeats of a row do not meet in one task.
-    once = docs.withColumn(own, key).dropDuplicates([own])
-    return once.join(kept.select(own), own, "left_semi").select(docs.columns)
+    each = store(classes.groupBy("class", "key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")), "class-keys")
+    kept = each.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first"))
+    stays = F.col("key") == F.col("first")
+    doubtful = store(each.join(kept, "class").where(~stays | (F.col("rows") > 1)).select(F.col("key").alias(own), stays.alias("stays")), "near-copies")
+    # Most texts are in no class with others and stay where they are. Repeats of a row go in the tasks that
+    # read them first, so that they do not meet in one task.
+    some, others = jaccard_join.split(docs.withColumn(own, key), own, doubtful)
+    some = some.dropDuplicates([own]).join(doubtful.where(~F.col("stays")), own, "left_anti")
+    return some.select(docs.columns).unionByName(others.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

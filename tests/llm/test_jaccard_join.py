@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
+from tillroll.llm import common
 from tillroll.llm import jaccard_join as J
 from tillroll.llm.queries import QUERIES
 
@@ -96,6 +98,72 @@ def test_sets_without_a_common_shingle_share_no_cell():
         assert (counted > 1).sum() <= 5, percent
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_first_parts_of_linked_sets_meet(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(2000):  # as far apart as a link allows, from the least sizes up
+        n = int(rng.integers(2, 60 if rng.random() < 0.7 else 700))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        differ = int(rng.integers(1, 2 * n * (100 - percent) // (100 + percent) + 2))
+        less = int(rng.integers(0, differ + 1))
+        b = np.unique(np.concatenate([a[less:], rng.integers(0, 2**63, differ - less).astype(np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if len(b) and 100 * common >= percent * (len(a) + len(b) - common) and len(a) + len(b) != 2 * common:
+            assert set(J.cells(a, percent).tolist()) & set(J.cells(b, percent).tolist()), (len(a), len(b), common)
+
+
+def test_a_common_passage_puts_few_sets_together():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 2**63, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 2**63, int(rng.integers(400, 500))).astype(np.uint64)])) for _ in range(200)]
+    for percent in (80, 85):
+        numbers = [np.unique(J.cells(s, percent)) for s in sets]
+        counted = dict(zip(*np.unique(np.concatenate(numbers), return_counts=True)))
+        assert sum(any(counted[c] > 1 for c in x) for x in numbers) < 60, percent
+
+
+def test_pivots_are_counted_off_not_joined_off(spark, monkeypatch):
+    monkeypatch.setattr(J, "PIVOTS", 1)
+    plans, store = [], J.store
+
+    def spied(df, name):
+        if name == "open-cells":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(J, "store", spied)
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(100))
+    docs = [(i, passage + " " + " ".join(f"q{rng.random()}" for _ in range(24))) for i in range(12)]
+    assert sorted(map(tuple, J.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str) == brute(docs)
+    assert len(plans) > 1 and not any("LeftAnti" in p for p in plans)
+
+
+def test_split_keeps_every_row_once(spark):
+    rows = spark.range(2000).selectExpr("if(id % 9 = 0, null, id) as k", "concat('t', id) as text").repartition(4)
+    rows = rows.unionByName(rows.where("k % 7 = 0"))
+    for wanted in (rows.where("k % 50 = 0").select("k"), rows.limit(0).select("k")):
+        some, others = J.split(rows, "k", wanted)
+        assert some.columns == others.columns == rows.columns
+        assert sorted(map(str, some.unionByName(others).collect())) == sorted(map(str, rows.collect()))
+        assert others.join(wanted, "k", "left_semi").count() == 0 and some.count() <= wanted.count() + 20
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return set(re.findall(r"/(shuffle_\d+_\d+)_", found))
+
+    kept, before = spark.conf.get(common.CLEANUP, None), files()
+    stored = common.store(spark.range(5000).repartition("id").groupBy("id").count(), "counts")
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.CLEANUP, None) == kept and stored.count() == 5000
+
+
 def test_distances_of_blocks_that_are_split(spark, monkeypatch):
     monkeypatch.setattr(J, "LEADS", 3)
     monkeypatch.setattr(J, "FOLLOWERS", 4)

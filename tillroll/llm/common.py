@@ -18,6 +18,7 @@ from tillroll.session import ensure_checkpoint_dir
 # Text that one step of a Python task works on at a time. Texts are never cut: a longer text
 # makes a slice of its own.
 SLICE_BYTES = 2 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -32,10 +33,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back. The lineage is cut
-    and a lost executor loses nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and a lost executor loses nothing. Shuffle files go when the table is written, not when the driver's
+    JVM happens to collect its garbage."""
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",

@@ -104,38 +104,50 @@ def size_class(n: int, percent: int = PERCENT) -> tuple[int, int, int]:
         k, low = k + 1, high
 
 
+def most_differ(n: int, m: int, percent: int) -> int:
+    """Most shingles in which linked sets of ``n`` and at most ``m`` shingles differ."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
 @lru_cache(None)
-def part_count(least: int, largest: int, percent: int) -> tuple[int, int]:
-    """Most shingles in which two linked sets of ``least`` to ``largest`` shingles differ, and the number of parts: so many more
-    that even small sets nearly always fill more parts than they may differ in. Empty parts count only if a set does
-    not, as they put sets together that have nothing in common."""
-    differ = 2 * largest * (100 - percent) // (100 + percent)
-    parts = differ + 2 + differ // 20
-    while parts < 2 * differ + 8:
-        empty = parts * math.exp(-least / parts)
-        if parts - differ > empty + 3 * math.sqrt(empty):
-            break
-        parts += 1
-    return differ, parts
+def part_count(least: int, largest: int, percent: int) -> int:
+    """Number of parts of a level with sets of ``least`` to ``largest`` shingles: a tenth more than the largest may differ in, and so
+    many that even small sets nearly always fill more parts than they may differ in."""
+    most = most_differ(largest, largest, percent)
+    parts = most + 2 + most // 10
+    for n in (least, largest):
+        differ = most_differ(n, min(largest, n * 100 // percent), percent)
+        while parts < 2 * most + 8:
+            empty = parts * math.exp(-n / parts)
+            if parts - differ > empty + 3 * math.sqrt(empty):
+                break
+            parts += 1
+    return parts
 
 
 def cells(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Numbers of the outer cells of a set: its parts at the level of its size class and of the next."""
-    k, low, top = size_class(len(s), percent)
+    """Numbers of the outer cells of a set. At the level of its size class it meets the sets of the class below, at the next level
+    those of its own class and the one above. Linked sets that differ in ``d`` shingles differ in at most ``d`` parts, so in an
+    order of all parts that is the same for every set, their first ``d + 1`` parts have one in common (the prefix
+    principle). The order has parts with many shingles first: a part with one is shared by chance far more often."""
+    n = len(s)
+    k, low, top = size_class(n, percent)
+    above = size_class(top + 1, percent)[2]
     out = []
-    for level, least, largest in ((k, size_class(max(low - 1, 1), percent)[1], top), (k + 1, low, size_class(top + 1, percent)[2])):
-        differ, parts = part_count(least, largest, percent)
-        if not differ:
-            continue  # sets of these sizes are linked only if they are equal
+    for level, least, partner, largest in ((k, size_class(max(low - 1, 1), percent)[1], low - 1, top), (k + 1, low, min(n * 100 // percent, above), above)):
+        differ = most_differ(n, partner, percent)
+        if not differ or 100 * partner < percent * n:
+            continue  # sets of these sizes are linked only if they are equal, or not at all
+        parts = part_count(least, largest, percent)
         part = (mix(s + np.uint64(level)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         p = part[order]
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        number, body = p[first], np.add.reduceat(mix(s ^ _ODD)[order], first)
-        if len(number) <= differ:  # too few parts are filled: empty ones count as well
-            number, body = np.concatenate([number, np.setdiff1d(np.arange(parts), number)]), np.concatenate(
-                [body, np.zeros(parts - len(number), np.uint64)])
-        out.append(mix(body + mix(number.astype(np.uint64) * _ODD + np.uint64(level))))
+        filled, body = np.zeros(parts, np.int64), np.zeros(parts, np.uint64)
+        filled[p[first]] = np.diff(np.append(first, n))
+        body[p[first]] = np.add.reduceat(mix(s ^ _ODD)[order], first)
+        number = mix(body + mix(np.arange(parts, dtype=np.uint64) * _ODD + np.uint64(level)))
+        out.append(number[np.lexsort((number, -filled))[:differ + 1]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -194,9 +206,9 @@ def shared_cells(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return store(ordered.mapInArrow(members, "cell long, pivot long, node long"), "shared-cells")
 
 
-def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key may be in ``wanted``, by bitmaps of hash slots (at most ``SLOTS`` bits, broadcast): all that are, and a
-    share of the others that grows with the number of wanted keys. It spares the texts of most others a shuffle."""
+def split(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in ``wanted``, and those whose key is not, by bitmaps of hash slots (at most ``SLOTS`` bits,
+    broadcast). The first has a share of the others that grows with the number of wanted keys."""
     def placed(df: DataFrame) -> DataFrame:
         slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
         return df.withColumn("_map", F.bitmap_bucket_number(slot)).withColumn("_bit", F.bitmap_bit_position(slot))
@@ -204,8 +216,15 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     maps = placed(wanted.select(key)).select("_map", "_bit").repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(_bit div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
     held = F.expr("cast(_bit % 8 as int)")
-    return (placed(rows).join(F.broadcast(maps), "_map")
-            .where(F.get(F.array(*[F.shiftright(byte, i).bitwiseAND(1) for i in range(8)]), held) == 1).select(rows.columns))
+    found = F.get(F.array(*[F.shiftright(byte, i).bitwiseAND(1) for i in range(8)]), held) == 1
+    some = placed(rows).join(F.broadcast(maps), "_map").where(found)
+    none = placed(rows).join(F.broadcast(maps), "_map", "left").where(~F.coalesce(found, F.lit(False)))
+    return some.select(rows.columns), none.select(rows.columns)
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be in ``wanted``: all that are, and few others. It spares the texts of most others a shuffle."""
+    return split(rows, key, wanted)[0]
 
 
 def cell_texts(docs: DataFrame, known: DataFrame, shared: DataFrame, size: int) -> DataFrame:
@@ -340,16 +359,19 @@ def linked_nodes(docs: DataFrame, known: DataFrame, size: int, percent: int) ->
     # Members of cells where the first pivot has not settled everything, in shells around it.
     rest = shared.join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance"), ["pivot", "node"])
     rest = rest.select("cell", "node", "distance", F.floor(F.col("distance") / delta).alias("shell"))
-    done, take = tested.select("a", "b"), PIVOTS
+    turn = F.row_number().over(Window.partitionBy("cell", "shell").orderBy("node"))
+    done, had, take = tested.select("a", "b"), 0, PIVOTS
     while True:
         member = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = member.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
-        member = store(member.join(mixed, "cell"), "open-cells")
+        member = member.join(mixed, "cell")
+        member = store(member if had else member.withColumn("turn", turn), "open-cells")
         if member.isEmpty():
             break
-        turn = Window.partitionBy("cell", "shell").orderBy("node")
-        pivot = member.withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= take).drop("_r")
+        # A shell keeps its order, so those that were pivots before are not there any more.
+        had += take
         take *= MORE
+        pivot = member.where(F.col("turn") <= had)
         p = pivot.join(marks, "node").select("cell", F.col("node").alias("p"), F.col("distance").alias("pd"), F.col("root").alias("proot"),
                                              F.col("n").alias("p_n"), *[F.col(c).alias(f"p_{c}") for c in SKETCH])
         pairs = (member.join(marks, "node").join(p, "cell")
@@ -358,7 +380,7 @@ def linked_nodes(docs: DataFrame, known: DataFrame, size: int, percent: int) ->
                  .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
                  .join(done, ["a", "b"], "left_anti"))
         pairs = store(pairs, "window-pairs")
-        rest = member.join(pivot.select("cell", "node"), ["cell", "node"], "left_anti").drop("root")
+        rest = member.where(F.col("turn") > had).drop("root")
         if not pairs.isEmpty():
             new = distances(whole, pairs, size, percent)
             done = done.unionByName(new.select("a", "b"))
