@@ -49,7 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = jaccard_join.row_classes(docs.select("doc_id", "text", key.alias("key")), SHINGLE, PERCENT)
     own = free_name(docs)
     each = store(classes.groupBy("class", "key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")), "class-keys")
-    kept = each.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first"))
+    # Stored, so that Spark can split a large class in the join.
+    kept = store(each.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first")), "class-firsts")
     stays = F.col("key") == F.col("first")
     doubtful = store(each.join(kept, "class").where(~stays | (F.col("rows") > 1)).select(F.col("key").alias(own), stays.alias("stays")), "near-copies")
     # Most texts are in no class with others and stay where they are. Repeats of a row go in the tasks that

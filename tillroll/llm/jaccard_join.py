@@ -6,10 +6,11 @@ document would have to be copied into every cell. The join therefore has two lev
 
 *Outer cells.* The pivots are small sets of shingles. Shingles are dealt by their hash into parts; two
 sets that are linked differ in at most ``H`` shingles (a bound from their size class), so of more than ``H``
-parts that are not empty at least one is the same in both. A document goes to the cell of each of its own
-parts. This puts any linked pair into a common cell and almost nothing else; a passage that many documents
-share fills no cell, as whole parts must be equal. A document takes part in its own size class and the
-next, as boundary documents of a window do.
+parts at least one is the same in both, and so is one of the first ``H + 1`` parts of each, in an order of parts
+that all sets have in common. A document goes to the cells of these, parts with many shingles first. This puts
+any linked pair into a common cell and almost nothing else; a passage that many documents share fills no
+cell, as whole parts must be equal. A document takes part in its own size class and the next, as boundary
+documents of a window do.
 
 *Inner cells.* In each outer cell the first set is the pivot and its exact distance to every member is
 taken. Members are then dealt into shells by that distance; by the triangle inequality two members can
